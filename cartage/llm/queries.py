@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
 from . import license_scan as _license
+from . import repeats as _repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _license.scan_licenses(_table(spark, sf_dir, "documents")).drop("phrases")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan}
+def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
