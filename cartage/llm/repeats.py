@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .scratch import broadcast_if, materialize
 
-LENGTH, GRAM, MAX_WINDOWS, BLOCK = 100, 28, 256, 1_000_000
+LENGTH, GRAM, MAX_WINDOWS, BLOCK = 100, 28, 256, 300_000
 NO_ID = -(2**63)
 STRETCH = "mh long, sk long, doc long, start int, windows int, done boolean"
 
@@ -171,40 +171,46 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of at least ``least`` bytes, in order, and the longest common prefix of each with the one before it.
+    """Suffixes whose first ``least`` bytes occur again, in order, and the longest common prefix of each with the one before.
 
-    A suffix ends where its text ends.  Ranks of 7 bytes double until they span the longest text.
+    A suffix ends where its text ends.  Only prefixes of ``least`` bytes and more are of interest, so the order starts
+    with a hash of that prefix and goes on with the bytes after it; suffixes with a common prefix still stand together.
     """
-    n = len(buf)
-    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    left = off[owner + 1] - np.arange(n)
-    wide = buf.astype(np.int64) + 1
-    key = np.zeros(n, np.int64)
-    for i in range(7):
-        step = np.zeros(n, np.int64)
-        step[: n - i] = wide[i:]
-        key = (key << 9) | np.where(left > i, step, 0)
-    ranks, size = [np.unique(key, return_inverse=True)[1] + 1], 7
-    while size < int(left.max(initial=0)):
-        r = ranks[-1]
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - size] = r[size:]
-        ranks.append(np.unique(r * (n + 2) + np.where(left > size, nxt, 0), return_inverse=True)[1] + 1)
-        size *= 2
-    starts = np.flatnonzero(left >= least)
-    sa = starts[np.argsort(ranks[-1][starts], kind="stable")]
+    owner = np.repeat(np.arange(len(off) - 1), np.maximum(np.diff(off) - least + 1, 0))
+    starts = np.arange(len(owner)) + (off[:-1] - np.concatenate([[0], np.cumsum(np.maximum(np.diff(off) - least + 1, 0))])[:-1])[owner]
+    head = K.span_hash(K.prefix_sums(buf), starts, starts + least)
+    order = np.argsort(head, kind="stable")
+    same = head[order][1:] == head[order][:-1]
+    again = np.zeros(len(order), bool)
+    again[1:] = same
+    again[:-1] |= same
+    order = order[again]
+    starts, head, room = starts[order], head[order], off[owner[order] + 1] - starts[order] - least
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.int64)
+    keys = []
+    for word in range((int(room.max(initial=0)) + 6) // 7):
+        key = np.zeros(len(starts), np.int64)
+        for i in range(7 * word, 7 * word + 7):
+            at = np.minimum(starts + least + i, len(buf))
+            key = (key << 9) | np.where(room > i, padded[at] + 1, 0)
+        keys.append(key)
+    order = np.lexsort((*keys[::-1], head))
+    sa, head = starts[order], head[order]
     lcp = np.zeros(len(sa), np.int64)
     if len(sa) > 1:
-        i, j, got = sa[:-1].copy(), sa[1:].copy(), np.zeros(len(sa) - 1, np.int64)
-        room = np.minimum(left[i], left[j])
-        for level in range(len(ranks) - 1, -1, -1):
-            a, b = np.minimum(i + got, n - 1), np.minimum(j + got, n - 1)
-            same = (got < room) & (ranks[level][a] == ranks[level][b])
-            got[same] += 7 << level
-        for _ in range(6):
-            a, b = np.minimum(i + got, n - 1), np.minimum(j + got, n - 1)
-            got[(got < room) & (buf[a] == buf[b])] += 1
-        lcp[1:] = np.minimum(got, room)
+        got, equal = np.full(len(sa) - 1, least), head[1:] == head[:-1]
+        lcp_open = equal.copy()
+        for key in keys:
+            key = key[order]
+            diff = key[1:] ^ key[:-1]
+            whole = lcp_open & (diff == 0)
+            part = lcp_open & (diff != 0)
+            for k in range(1, 7):
+                got[part] += (diff[part] >> (63 - 9 * k)) == 0
+            got[whole] += 7
+            lcp_open = whole
+        left = room[order] + least
+        lcp[1:] = np.where(equal, np.minimum(got, np.minimum(left[1:], left[:-1])), 0)
     return sa, lcp
 
 
@@ -264,7 +270,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
     for b in batches:
         for mh, doc, start, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if size > 2_000_000 and mh != held[-1][0]:
+            if size > 1_000_000 and mh != held[-1][0]:
                 yield settle()
                 size = 0
             held.append((mh, doc, start, body))
@@ -282,7 +288,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int32())], names=["digest", "doc", "start"])
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 20_000, max_rows: int = 5_000_000) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 20_000, max_rows: int = 2_000_000) -> DataFrame:
     """(doc, start, bytes) of spans that are covered by a repeated string of ``length`` bytes; they may overlap."""
     gram = min(gram, length)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -323,7 +329,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(cols[i], pa.int64()) for i in range(4)), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, max_rows: int = 5_000_000, **options: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, max_rows: int = 2_000_000, **options: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans and the bytes that are kept."""
     spans = materialize(removed_spans(docs, id_col, text_col, length, max_rows=max_rows, **options))
     found = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "bytes")).alias("spans"))
