@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import broadcast_if, materialize
+from .scratch import broadcast_if, materialize, small_batches
 
 LENGTH, GRAM, MAX_WINDOWS, BLOCK = 100, 28, 256, 300_000
 NO_ID = -(2**63)
@@ -225,27 +225,26 @@ def maximal_repeats(buf: np.ndarray, off: np.ndarray, least: int) -> Iterator[tu
     starts = np.zeros(len(buf) + 1, bool)
     starts[off] = True
     before = np.where(starts[sa], -1, buf[sa - 1].astype(np.int64))
-    close = np.flatnonzero(lcp >= least)
-    if not len(close):
-        return
-    breaks = np.flatnonzero(np.diff(close) > 1) + 1
-    for run in np.split(close, breaks):
-        lb0, depths, chars = int(run[0]) - 1, lcp[run].tolist(), before[run[0] - 1 : run[-1] + 1].tolist()
+    # Suffixes with one prefix of ``least`` bytes stand in a run; where all have the same byte on the left, no interval counts.
+    heads = np.flatnonzero(lcp < least)
+    ends = np.append(heads[1:], len(sa))
+    low, high = np.minimum.reduceat(before, heads), np.maximum.reduceat(before, heads)
+    open_runs = (ends - heads > 1) & ((low != high) | (low < 0))
+    depth_of, left_of = lcp.tolist(), before.tolist()
+    for lo, hi in zip(heads[open_runs].tolist(), ends[open_runs].tolist(), strict=True):
         stack: list[list[int]] = []  # depth, first index, left byte (-1: they differ)
-        for k, depth in enumerate([*depths, 0]):
-            lb, char = lb0 + k, chars[k]
+        for k in range(lo + 1, hi + 1):
+            depth = depth_of[k] if k < hi else 0
+            first, char = k - 1, left_of[k - 1]
             while stack and stack[-1][0] > depth:
                 d, first, c = stack.pop()
-                c = c if c == char else -1
-                if c == -1:
-                    yield d, sa[first : lb0 + k + 1]
-                lb, char = first, c
-            if not depth:
-                break
-            if stack and stack[-1][0] == depth:
-                stack[-1][2] = stack[-1][2] if stack[-1][2] == char else -1
-            else:
-                stack.append([depth, lb, char])
+                char = c if c == char else -1
+                if char == -1:
+                    yield d, sa[first:k]
+            if depth and stack and stack[-1][0] == depth:
+                stack[-1][2] = char if stack[-1][2] == char else -1
+            elif depth:
+                stack.append([depth, first, char])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -257,15 +256,18 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         docs, at = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
         off = np.concatenate([[0], np.cumsum([len(x[3]) for x in held])]).astype(np.int64)
         buf = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
-        spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for depth, places in maximal_repeats(buf, off, length):
-            own = np.searchsorted(off, places, "right") - 1
-            d, s = docs[own], at[own] + places - off[own]
-            first = np.lexsort((s, d))[0]
-            keep = (d != d[first]) | (s != s[first])
-            spans.append((d[keep], s[keep], s[keep] + depth))
+        groups = list(maximal_repeats(buf, off, length))
         held.clear()
-        d, s, e = merged(*(np.concatenate(x) for x in zip(*spans, strict=True))) if spans else (np.zeros(0, np.int64),) * 3
+        sizes = np.array([len(g[1]) for g in groups], np.int64)
+        depth, group = np.repeat(np.array([g[0] for g in groups], np.int64), sizes), np.repeat(np.arange(len(groups)), sizes)
+        places = np.concatenate([g[1] for g in groups]) if groups else np.zeros(0, np.int64)
+        own = np.searchsorted(off, places, "right") - 1
+        d, s = docs[own], at[own] + places - off[own]
+        order = np.lexsort((s, d, group))
+        d, s, depth = d[order], s[order], depth[order]
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keep = (d != d[first]) | (s != s[first])
+        d, s, e = merged(d[keep], s[keep], s[keep] + depth[keep])
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32))], names=["doc", "start", "bytes"])
 
     for b in batches:
@@ -290,6 +292,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 20_000, max_rows: int = 2_000_000) -> DataFrame:
     """(doc, start, bytes) of spans that are covered by a repeated string of ``length`` bytes; they may overlap."""
+    small_batches(docs.sparkSession)
     gram = min(gram, length)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     cut = rows.where(F.octet_length("text") >= length).mapInArrow(partial(_cut, length=length, gram=gram), STRETCH)

@@ -51,3 +51,9 @@ def broadcast_if(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """
     small = df.count() <= max_rows
     return (F.broadcast(df) if small else df), small
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on in this session: texts are long, and a batch lies in memory whole."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
