@@ -214,12 +214,8 @@ def suffix_array(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarr
     return sa, lcp
 
 
-def maximal_repeats(buf: np.ndarray, off: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, all start positions) of every repeat of ``least`` bytes or more that can't be extended on either side.
-
-    A stack scan of the common-prefix intervals; an interval counts if what stands left of its occurrences differs.
-    """
-    sa, lcp = suffix_array(buf, off, least)
+def maximal_intervals(buf: np.ndarray, off: np.ndarray, sa: np.ndarray, lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(depth, first, last + 1) of the common-prefix intervals whose left extensions differ, inner before outer: a stack scan."""
     if len(sa) < 2:
         return
     starts = np.zeros(len(buf) + 1, bool)
@@ -230,23 +226,69 @@ def maximal_repeats(buf: np.ndarray, off: np.ndarray, least: int) -> Iterator[tu
     ends = np.append(heads[1:], len(sa))
     low, high = np.minimum.reduceat(before, heads), np.maximum.reduceat(before, heads)
     open_runs = (ends - heads > 1) & ((low != high) | (low < 0))
-    depth_of, left_of = lcp.tolist(), before.tolist()
     for lo, hi in zip(heads[open_runs].tolist(), ends[open_runs].tolist(), strict=True):
+        depth_of, left_of = lcp[lo:hi].tolist(), before[lo:hi].tolist()
         stack: list[list[int]] = []  # depth, first index, left byte (-1: they differ)
-        for k in range(lo + 1, hi + 1):
-            depth = depth_of[k] if k < hi else 0
+        for k in range(1, hi - lo + 1):
+            depth = depth_of[k] if k < hi - lo else 0
             first, char = k - 1, left_of[k - 1]
             while stack and stack[-1][0] > depth:
                 d, first, c = stack.pop()
                 char = c if c == char else -1
                 if char == -1:
-                    yield d, sa[first:k]
+                    yield d, lo + first, lo + k
             if depth and stack and stack[-1][0] == depth:
                 stack[-1][2] = char if stack[-1][2] == char else -1
             elif depth:
                 stack.append([depth, first, char])
 
 
+def maximal_repeats(buf: np.ndarray, off: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, all start positions) of every repeat of ``least`` bytes or more that can't be extended on either side."""
+    sa, lcp = suffix_array(buf, off, least)
+    for depth, lo, hi in maximal_intervals(buf, off, sa, lcp, least):
+        yield depth, sa[lo:hi]
+
+
+def later_occurrences(buf: np.ndarray, off: np.ndarray, least: int, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of each occurrence of a maximal repeat but the first, for the longest repeat that it is not the first of.
+
+    Text i is what document doc[i] has from at[i] on.  Intervals come inner first, so an occurrence is settled once, by
+    the deepest interval in which another one stands before it; only the first ones go on to the outer interval.
+    """
+    sa, lcp = suffix_array(buf, off, least)
+    own = np.searchsorted(off, sa, "right") - 1
+    d, s = doc[own], at[own] + sa - off[own]
+    order = np.lexsort((s, d))
+    step = np.ones(len(sa), np.int64)
+    step[1:] = (d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1])
+    rank_at = np.empty(len(sa), np.int64)
+    rank_at[order] = np.cumsum(step)
+    rank = rank_at.tolist()
+    skip, depth_of = list(range(len(sa) + 1)), np.zeros(len(sa), np.int64)
+
+    def open_from(k: int) -> int:
+        root = k
+        while skip[root] != root:
+            root = skip[root]
+        while skip[k] != root:
+            skip[k], k = root, skip[k]
+        return root
+
+    for depth, lo, hi in maximal_intervals(buf, off, sa, lcp, least):
+        members, k = [], open_from(lo)
+        while k < hi:
+            members.append(k)
+            k = open_from(k + 1)
+        first = min((rank[k] for k in members), default=0)
+        for k in members:
+            if rank[k] > first:
+                depth_of[k] = depth
+                skip[k] = k + 1
+    late = depth_of > 0
+    return d[late], s[late], s[late] + depth_of[late]
+
+
 def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows (mh, doc, start, body), sorted by mh.  Out: removed spans (doc, start, bytes)."""
     held: list[tuple[int, int, int, bytes]] = []
@@ -256,18 +298,8 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         docs, at = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
         off = np.concatenate([[0], np.cumsum([len(x[3]) for x in held])]).astype(np.int64)
         buf = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
-        groups = list(maximal_repeats(buf, off, length))
         held.clear()
-        sizes = np.array([len(g[1]) for g in groups], np.int64)
-        depth, group = np.repeat(np.array([g[0] for g in groups], np.int64), sizes), np.repeat(np.arange(len(groups)), sizes)
-        places = np.concatenate([g[1] for g in groups]) if groups else np.zeros(0, np.int64)
-        own = np.searchsorted(off, places, "right") - 1
-        d, s = docs[own], at[own] + places - off[own]
-        order = np.lexsort((s, d, group))
-        d, s, depth = d[order], s[order], depth[order]
-        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        keep = (d != d[first]) | (s != s[first])
-        d, s, e = merged(d[keep], s[keep], s[keep] + depth[keep])
+        d, s, e = merged(*later_occurrences(buf, off, length, docs, at))
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32))], names=["doc", "start", "bytes"])
 
     for b in batches:
@@ -290,7 +322,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int32())], names=["digest", "doc", "start"])
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 20_000, max_rows: int = 2_000_000) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 5_000, max_rows: int = 2_000_000) -> DataFrame:
     """(doc, start, bytes) of spans that are covered by a repeated string of ``length`` bytes; they may overlap."""
     small_batches(docs.sparkSession)
     gram = min(gram, length)
