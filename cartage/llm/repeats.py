@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import broadcast_if, materialize, small_batches
+from .scratch import materialize, small_batches
 
 LENGTH, GRAM, MAX_WINDOWS, BLOCK = 100, 28, 256, 300_000
 NO_ID = -(2**63)
@@ -322,7 +322,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int32())], names=["digest", "doc", "start"])
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 5_000, max_rows: int = 2_000_000) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 5_000) -> DataFrame:
     """(doc, start, bytes) of spans that are covered by a repeated string of ``length`` bytes; they may overlap."""
     small_batches(docs.sparkSession)
     gram = min(gram, length)
@@ -331,7 +331,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(cut.repartition(parts, "mh").sortWithinPartitions("mh", "sk", "doc", "start").mapInArrow(_meet, STRETCH))
     spans = met.where("done").select("doc", "start", (F.col("windows") + F.lit(length - 1)).alias("bytes"))
-    firsts, _ = broadcast_if(met.where("NOT done").select("mh", F.col("doc").alias("of"), "start", "windows"), max_rows)
+    firsts = met.where("NOT done").select("mh", F.col("doc").alias("of"), "start", "windows")
     body = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("windows") + F.lit(length - 1))
     full = rows.withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
     bodies = materialize(full.join(firsts, F.col("doc") == F.col("of")).select("mh", "doc", "start", body.alias("body")))
@@ -364,12 +364,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(cols[i], pa.int64()) for i in range(4)), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, max_rows: int = 2_000_000, **options: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans and the bytes that are kept."""
-    spans = materialize(removed_spans(docs, id_col, text_col, length, max_rows=max_rows, **options))
+    spans = materialize(removed_spans(docs, id_col, text_col, length, **options))
     found = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "bytes")).alias("spans"))
-    if spans.count() <= max_rows:
-        found = F.broadcast(found)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     both = rows.join(found, F.coalesce("id", F.lit(NO_ID)) == F.col("doc"), "left")
     return both.select("id", "text", F.col("spans.start").alias("starts"), F.col("spans.bytes").alias("sizes")).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
