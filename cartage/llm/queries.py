@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import dart_minhash as _dart
 from . import exact_dedup as _exact
 from . import license_scan as _license
 from . import repeats as _repeats
@@ -30,7 +31,11 @@ def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dart.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal, "op9_near_dedup": op9_near_dedup}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """

@@ -57,3 +57,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows from now on in this session: texts are long, and a batch lies in memory whole."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``groups``, as a left join, without sending a hot group to one task.
+
+    Groups of at least one in ``share`` rows are no more than ``share``; they are broadcast, the others are shuffled.
+    ``rows`` is read twice, so it should be a table.
+    """
+    groups = materialize(groups)
+    floor = max(1, (groups.agg(F.sum(size)).first()[0] or 0) // share)
+    big = F.broadcast(groups.where(F.col(size) >= floor).withColumn("__hit", F.lit(True)))
+    hit = rows.join(big, keys).drop("__hit")
+    rest = rows.join(big.select(*keys), keys, "left_anti").join(groups.where(F.col(size) < floor), keys, "left")
+    return hit.unionByName(rest)
