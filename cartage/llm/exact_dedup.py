@@ -3,8 +3,8 @@
 Length groups first, then a hash of a short prefix inside them, then a full digest of the texts that are left.  Each level
 passes on only keys that two or more rows share.  The key sets prune through broadcasts of a checked size; a set beyond
 ``max_keys`` prunes nothing at that level, which costs hashing but changes no result.  No text is ever shuffled: rows are
-met again by (length, prefix hash, digest), and only groups of two or more are joined back, so a hot group is split by
-the adaptive skew join.
+met again by (length, prefix hash, digest), and only groups of two or more are joined back: the few largest, bounded in
+number, by broadcast, the others by shuffle.
 
 Defined cases: null text counts as empty; all empty texts are one group; a null id is smaller than any other; rows that
 repeat an id with the same text are all members and share the verdict; other columns are ignored; an empty table gives
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import attach_groups, materialize
 
 
 def _shared(rows: DataFrame, key: str, max_keys: int) -> DataFrame | None:
@@ -44,7 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = materialize(rows.select("id", "n_bytes", "prefix", "alive", (full if digest_all else F.when(F.col("alive"), full)).alias("digest")))
     groups = keys.where("alive").groupBy("n_bytes", "prefix", "digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
     keys = keys.withColumn("prefix", F.when(F.col("alive"), F.col("prefix")))
-    out = keys.join(groups, ["n_bytes", "prefix", "digest"], "left")
+    out = attach_groups(keys, groups, ["n_bytes", "prefix", "digest"], "size")
     keep = F.when(F.col("size").isNotNull(), F.col("keep")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "digest")
 
