@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from . import dart_minhash as _dart
 from . import exact_dedup as _exact
 from . import license_scan as _license
+from . import mixing as _mixing
+from . import packing as _packing
 from . import repeats as _repeats
+from . import toxicity as _toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +38,34 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dart.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal, "op9_near_dedup": op9_near_dedup}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = _mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.round("__rate", 9).alias("rate"), F.col("__copies").alias("copies"), F.col("__copy").alias("copy"), F.col("__order").alias("order_key"), "text")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal, "op4_mixing": op4_mixing, "op6_packing": op6_packing, "op9_near_dedup": op9_near_dedup, "op10_toxicity": op10_toxicity}
 
 ORACLE: dict[str, str] = {
+    "op4_mixing": """
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, (sqrt(n) / sum(sqrt(n)) OVER ()) * sum(n) OVER () / n AS rate FROM c),
+d AS (SELECT doc_id, documents.source, text, rate,
+             ('0x' || substr(md5('mix-1:' || doc_id), 1, 12))::BIGINT / 281474976710656.0 AS u
+      FROM documents JOIN r ON documents.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT source, i, sum(exp(-rate + i * ln(rate) - lgamma(i + 1.0))) OVER (PARTITION BY source ORDER BY i) AS step
+      FROM r, range(0, 64) t(i)),
+m AS (SELECT d.doc_id, count(k.step)::INTEGER AS copies FROM d LEFT JOIN k ON k.source = d.source AND k.step <= d.u GROUP BY d.doc_id)
+SELECT doc_id, source, round(rate, 9) AS rate, copies, copy::INTEGER AS copy,
+       ('0x' || substr(md5('mix-1/order:' || doc_id || ':' || copy), 1, 12))::BIGINT / 281474976710656.0 AS order_key, text
+FROM d JOIN m USING (doc_id), LATERAL (SELECT unnest(range(0, copies)) AS copy)""",
     "op1_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
