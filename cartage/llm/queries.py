@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from . import dart_minhash as _dart
 from . import exact_dedup as _exact
 from . import license_scan as _license
+from . import media as _media
 from . import mixing as _mixing
 from . import packing as _packing
 from . import repeats as _repeats
+from . import token_counts as _counts
 from . import toxicity as _toxicity
 
 
@@ -51,7 +53,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal, "op4_mixing": op4_mixing, "op6_packing": op6_packing, "op9_near_dedup": op9_near_dedup, "op10_toxicity": op10_toxicity}
+def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal, "op4_mixing": op4_mixing, "op5_media_chunks": op5_media_chunks, "op6_packing": op6_packing, "op8_token_counts": op8_token_counts, "op9_near_dedup": op9_near_dedup, "op10_toxicity": op10_toxicity}
 
 ORACLE: dict[str, str] = {
     "op4_mixing": """
