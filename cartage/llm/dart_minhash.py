@@ -207,17 +207,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vertices = sig.where("size > 0").groupBy("v").agg(F.min("bands").alias("bands"))
     at = materialize(vertices.select("v", F.explode("bands").alias("b")))
     shared = at.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
-    inside = materialize(at.join(shared, "b").select("b", "v", F.lit(True).alias("open"), F.lit(False).alias("led")))
+    inside = materialize(at.join(shared, "b").select("b", "v", F.col("v").alias("c"), F.lit(True).alias("open"), F.lit(False).alias("led"), F.lit(True).alias("may")))
     wanted, _ = broadcast_if(materialize(inside.select("v").distinct()), 1_000_000)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     sets = materialize(texts.mapInArrow(partial(_sets, width=width), "v long, blob binary").join(wanted, "v", "left_semi").groupBy("v").agg(F.min("blob").alias("blob")))
     seen = links = labels = None
     leaders = 1
     while not inside.isEmpty():
-        # In each bucket, ``leaders`` slots of open vertices each put forward one; all members are compared with them.
+        # In each bucket, ``leaders`` slots of open vertices outside its largest class each put forward one.  Members of
+        # other classes are compared with them: of two classes, one is not the largest, so no pair is left out.
         slot = F.pmod(F.xxhash64("v", F.lit(leaders)), F.lit(leaders))
-        lead = materialize(inside.where("open").groupBy("b", slot.alias("slot")).agg(F.min("v").alias("lead")).select("b", "lead"))
-        met = inside.join(lead, "b").where("v <> lead")
+        lead = materialize(inside.where("open AND may").groupBy("b", slot.alias("slot")).agg(F.min(F.struct("v", "c")).alias("x")).select("b", F.col("x.v").alias("lead"), F.col("x.c").alias("of")))
+        met = inside.join(lead, "b").where("c <> of")
         pairs = met.select(F.least("v", "lead").alias("x"), F.greatest("v", "lead").alias("y")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["x", "y"], "left_anti")
@@ -230,13 +231,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sim = seen.select(F.col("x").alias("v"), F.col("y").alias("lead"), "sim").unionByName(seen.select(F.col("y").alias("v"), F.col("x").alias("lead"), "sim"))
         verdict = met.join(sim, ["v", "lead"]).groupBy("b", "v").agg(F.max("sim").alias("most"), F.max(F.when(F.col("sim") < threshold, F.col("sim"))).alias("border"))
         heads = lead.select("b", F.col("lead").alias("v"), F.lit(True).alias("now_led"))
-        state = inside.join(verdict, ["b", "v"], "left").join(heads, ["b", "v"], "left").join(labels, "v", "left")
+        state = inside.drop("c", "may").join(verdict, ["b", "v"], "left").join(heads, ["b", "v"], "left").join(labels, "v", "left")
         led = F.col("led") | F.coalesce("now_led", F.lit(False))
         near = F.coalesce(F.col("border") >= 2 * threshold - 1, F.lit(False))
         still = ~led & (near | (F.col("open") & F.coalesce(F.col("most") < threshold, F.lit(True))))
         state = materialize(state.select("b", "v", still.alias("open"), led.alias("led"), F.coalesce("c", "v").alias("c")))
-        left = state.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bool_or("open").alias("any")).where("any AND lo <> hi").select("b")
-        inside = materialize(state.join(left, "b").select("b", "v", "open", "led"))
+        largest = state.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max(F.struct("n", "c")).alias("m")).select("b", F.col("m.c").alias("main"))
+        judged = materialize(state.join(largest, "b").withColumn("may", F.col("c") != F.col("main")).drop("main"))
+        inside = materialize(judged.join(judged.where("open AND may").select("b").distinct(), "b", "left_semi"))
         leaders = min(leaders * 4, 1 << 20)
     rowsets = sig.select("doc_id", "v", "size")
     if labels is not None:
