@@ -114,12 +114,13 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, skip, lend in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             skip, lend = set(skip or ()), set(lend or ())
             media = to_wav(payload_of(text)[0])
-            own = [{"pos": i, "digest": d, "bytes": x} for i, (d, x) in enumerate(chunks_of(media)) if i not in skip]
-            out.append((own, [c for c in own if c["pos"] in lend], not skip))
-        cols = list(zip(*out, strict=True)) or [()] * 3
+            parts = list(chunks_of(media))
+            own = [{"pos": i, "digest": d, "bytes": x} for i, (d, x) in enumerate(parts) if i not in skip]
+            out.append((own, [c for c in own if c["pos"] in lend], not skip, hashlib.sha256(media).digest(), [d for d, _ in parts]))
+        cols = list(zip(*out, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([[{**c, "bytes": None} if c["pos"] in {x["pos"] for x in lent} else c for c in own] for own, lent in zip(cols[0], cols[1], strict=True)], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.bool_())],
-            names=["t", "own", "lent", "whole"],
+            [b.column(0), pa.array([[{**c, "bytes": None} if c["pos"] in {x["pos"] for x in lent} else c for c in own] for own, lent in zip(cols[0], cols[1], strict=True)], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.binary()))],
+            names=["t", "own", "lent", "whole", "media", "list"],
         )
 
 
@@ -143,7 +144,7 @@ VALUES = "t binary, payload_bytes long, payload_sha256 string, tail_crc32 long,
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, max_exceptions: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """Write the chunk store; (lists: doc_id, t, n_bytes, media, list; store: t, own, lent, whole)."""
+    """Write the chunk store; (lists: doc_id, t, n_bytes, media, list; store: t, own, lent, whole, media, list)."""
     spark = docs.sparkSession
     small_batches(spark)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -160,31 +161,29 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies, _ = broadcast_if(materialize(copies.distinct()), max_exceptions)
     firsts = rows.join(copies, rows["doc_id"].eqNullSafe(copies["doc_id"]) & (rows["t"] == copies["t"]), "left_anti")
     path = path or f"{scratch_root(spark)}/media-{uuid.uuid4().hex}"
-    written = firsts.join(plan, "t", "left").select("t", "text", "skip", "lend").mapInArrow(_store, f"t binary, own {CHUNK}, lent {CHUNK}, whole boolean")
+    written = firsts.join(plan, "t", "left").select("t", "text", "skip", "lend").mapInArrow(_store, f"t binary, own {CHUNK}, lent {CHUNK}, whole boolean, media binary, list array<binary>")
     written.write.option("compression", "zstd").parquet(path)
     _delete_on_exit(spark, path)
     return lists, spark.read.schema(written.schema).parquet(path)
 
 
-def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
+def read_media(store: DataFrame) -> DataFrame:
     """(t, values of the media read back), one row for each distinct file."""
-    wanted = lists.groupBy("t").agg(F.min("media").alias("media"), F.min("list").alias("list"))
     # Files with all chunks in their own row need no other rows.
-    near = store.where("whole").select("t", F.concat("own", "lent").alias("parts"))
+    near = store.where("whole").select("t", "media", "list", F.concat("own", "lent").alias("parts"))
     lent = store.select(F.explode("lent").alias("c")).select("c.digest", "c.bytes").dropDuplicates(["digest"])
     rest = store.where("NOT whole")
     have = rest.select("t", F.explode(F.concat("own", "lent")).alias("c")).where("c.bytes IS NOT NULL")
-    need = rest.select("t").distinct().join(wanted, "t").select("t", F.posexplode("list").alias("pos", "digest"))
-    need = need.join(rest.select("t", F.explode("own.pos").alias("pos")).distinct(), ["t", "pos"], "left_anti")
+    need = rest.select("t", F.posexplode("list").alias("pos", "digest"))
+    need = need.join(rest.select("t", F.explode("own.pos").alias("pos")), ["t", "pos"], "left_anti").distinct()
     borrowed = need.join(lent, "digest").select("t", F.struct("pos", "digest", "bytes").alias("c"))
-    far = have.unionByName(borrowed).groupBy("t").agg(F.collect_list("c").alias("parts"))
-    both = [x.join(wanted, "t").select("t", "media", "list", "parts") for x in (near, far)]
-    return both[0].unionByName(both[1]).mapInArrow(_rebuild, VALUES)
+    far = have.unionByName(borrowed).groupBy("t").agg(F.collect_list("c").alias("parts")).join(rest.select("t", "media", "list").dropDuplicates(["t"]), "t")
+    return near.unionByName(far.select("t", "media", "list", "parts")).mapInArrow(_rebuild, VALUES)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per row of ``docs`` with the values of its media, read back from the store."""
     lists, store = store_media(docs, id_col, text_col, path)
-    values = materialize(read_media(lists, store)).dropDuplicates(["t"])
+    values = materialize(read_media(store)).dropDuplicates(["t"])
     sizes = lists.groupBy("t").agg(F.count(F.lit(1)).alias("copies"))
     return attach_groups(lists.select("doc_id", "t", "n_bytes"), values.join(sizes, "t"), ["t"], "copies").drop("t", "copies")
