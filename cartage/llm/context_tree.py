@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .scratch import materialize, small_batches
 
-DEPTH, MAX_NODES, MAX_TOKENS = 4, 6_000_000, 4_000_000
+DEPTH, MAX_NODES, MAX_TOKENS = 4, 6_000_000, 1_000_000
 END_TOKEN = np.uint64(0x5EED0E4D)
 _U = np.uint64
 
@@ -210,6 +210,7 @@ def train(rows: DataFrame, depth: int = DEPTH, max_nodes: int = MAX_NODES, max_t
     context = (1 << (8 * (use + 1))) - 1
     seen = strings.select(F.col("key").bitwiseAND(context).alias("key")).groupBy("key").count()
     ready = materialize(seen.select("key").mapInArrow(partial(_known, model=tree), "key long, lp double"))
+    tree.unpersist()
     key, lp = _columns(ready.select("key", F.col("lp").cast("float")).orderBy("key"))
     tkey, tn = _columns(frequent.orderBy("key"))
     return {"depth": use, "levels": arrays, "key": key.view(np.uint64), "lp": lp, "token": tkey, "n": tn, "total": total, "distinct": distinct, "all": rare is None}, rare
@@ -280,7 +281,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model, rare = train(rows.where(~held_out(F.col("doc_id"))), depth, max_nodes, max_tokens)
+    total, distinct = int(model["total"]), int(model["distinct"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model
     row = F.xxhash64("doc_id", "text")
     out = rows.select("doc_id", "text", row.alias("row")).mapInArrow(partial(_score, model=shared), "doc_id long, row long, n_tokens long, n_known long, log_c double, score double, n_bytes long, rare array<long>")
     if rare is not None:
@@ -290,6 +293,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = each.join(rare, "key").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("l")).join(again, "row")
         more = more.select("row", (F.col("k") / F.col("same")).cast("long").alias("k"), (F.col("l") / F.col("same")).alias("l"))
         out = out.join(more, "row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("k", F.lit(0))).withColumn("log_c", F.col("log_c") + F.coalesce("l", F.lit(0.0)))
-    base = F.col("log_c") - F.col("n_tokens") * F.log10(F.lit(float(model["total"] + model["distinct"] + 1)))
+    base = F.col("log_c") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     bits = -F.col("score") * F.lit(3.321928094887362) / (F.col("n_bytes") + 1)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model["total"])).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
