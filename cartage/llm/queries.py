@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import context_tree as _tree
 from . import dart_minhash as _dart
 from . import exact_dedup as _exact
@@ -66,7 +68,7 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree.score_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal, "op4_mixing": op4_mixing, "op5_media_chunks": op5_media_chunks, "op6_packing": op6_packing, "op7_lm_scores": op7_lm_scores, "op8_token_counts": op8_token_counts, "op9_near_dedup": op9_near_dedup, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal, "op4_mixing": op4_mixing, "op5_media_chunks": op5_media_chunks, "op6_packing": op6_packing, "op7_lm_scores": op7_lm_scores, "op8_token_counts": op8_token_counts, "op9_near_dedup": op9_near_dedup, "op10_toxicity": op10_toxicity, "pipeline": corpus_pipeline.run}
 
 ORACLE: dict[str, str] = {
     "op4_mixing": """
