@@ -3,15 +3,16 @@
 A byte is eight binary decisions; each decision has a tree of contexts of 0 to ``depth`` bytes before it.  Every node has
 counts of zeros and ones and a Krichevsky-Trofimov estimate; the weighted probability of a node is half its own estimate
 and half the product of its children's.  Trained in a batch, a node's own share is fixed, so a decision's probability is
-mixed along one path from the deepest known context up.
+mixed along one path from the root down.
 
-Counting: tasks count (depth + 1)-byte strings over all training rows; Spark adds them up, splits them into decisions and
-folds the tree level by level, each level one aggregation.  The tree is broadcast for scoring, at most ``max_nodes`` nodes:
-the depth is the largest, up to ``depth``, that fits (depth 2 always does when ``max_nodes`` is 16.8 million or more).
-
-The base score is an add-one unigram over blank-separated tokens.  Token counts are kept by 64-bit hash.  The most
-frequent ``max_tokens`` are broadcast; the rest reach their documents through a shuffle join, so no vocabulary is too
-large and none is cut.
+1. Tasks count (depth + 1)-byte strings and tokens over all rows; Spark adds them up.  Counts of training rows make the
+   model, counts of all rows say how often a string will be looked up.
+2. Strings are split into decisions and folded up the tree, each level one aggregation; the shares are then carried down,
+   each level one join with its parents.  The tree is a set of tables of any size; its depth is the same for every corpus.
+3. Every distinct string gets its probability from the tree by joins.  The base score, an add-one unigram over
+   blank-separated tokens (by 64-bit hash), gets a value for each token in the same way.
+4. Documents look up the most used strings and tokens, at most ``max_keys`` of each, in a broadcast; the others reach their
+   documents through a shuffle join.  None is cut, and the scores do not depend on ``max_keys``.
 
 Defined cases: null text is empty; an empty text is one end; null ids train (crc32 of null is not 2); repeated rows count
 and score each; without training rows every decision has probability 1/2; other columns are ignored; an empty table gives
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .scratch import materialize, small_batches
 
-DEPTH, MAX_NODES, MAX_TOKENS = 4, 6_000_000, 1_000_000
-END_TOKEN = np.uint64(0x5EED0E4D)
+DEPTH, MAX_KEYS = 4, 1_000_000
 _U = np.uint64
+#: Keys of tokens have this bit and are negative as signed numbers; those of byte strings are not.
+TOKEN_BIT = _U(1 << 63)
+END_TOKEN = TOKEN_BIT | _U(0x5EED0E4D)
 
 
 def held_out(id_col: Column) -> Column:
@@ -64,52 +67,51 @@ def grams(buf: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.
 def tokens(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of every token and one end for each document."""
     s, e = K.runs(~K.SPACE_BYTE[low], off)
-    h = K.span_hash(K.prefix_sums(low), s, e)
+    h = K.span_hash(K.prefix_sums(low), s, e) | TOKEN_BIT
     n = len(off) - 1
     return np.concatenate([h, np.full(n, END_TOKEN)]), np.concatenate([np.searchsorted(off, s, "right") - 1, np.arange(n)])
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _added(keys: np.ndarray, n: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with its sums."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
-
-
-def _uniques(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(x)
-    head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[head], np.diff(np.append(head, len(x)))
+    keys, n, uses = keys[order], n[order], uses[order]
+    if not len(keys):
+        return keys, n, uses
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[head], np.add.reduceat(n, head), np.add.reduceat(uses, head)
 
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): kind 0 for byte strings, 1 for tokens.  A task adds up before it sends; it sends when it holds much."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
-    size = {0: 0, 1: 0}
+    """Rows (held out, text) to (key, n: uses in training rows, uses).  A task adds up before it sends; it sends when it holds much."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
 
-    def send(kind: int) -> Iterator[pa.RecordBatch]:
-        keys, counts = held[kind][0]
-        for i in range(0, len(keys), 100_000):
-            j = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[j]), kind, np.int32)), pa.array(keys[j].view(np.int64)), pa.array(counts[j].astype(np.int64))], names=["kind", "key", "n"])
-        held[kind], size[kind] = [], 0
+    def send() -> Iterator[pa.RecordBatch]:
+        for i in range(0, size, 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].view(np.int64)) for x in held[0]], names=["key", "n", "uses"])
+        held.clear()
 
     for b in batches:
-        for _, _, buf, off in K.slices(b.column(0)):
+        out = np.asarray(b.column(0).to_numpy(zero_copy_only=False), bool)
+        for lo, hi, buf, off in K.slices(b.column(1)):
             low = K.LOWER[buf]
-            for kind, found in ((0, grams(low, off, depth)[0]), (1, tokens(low, off)[0])):
-                held[kind].append(_uniques(found))
-                size[kind] += len(held[kind][-1][0])
-                if size[kind] > 2_000_000 and len(held[kind]) > 1:
-                    held[kind] = [_added(held[kind])]
-                    size[kind] = len(held[kind][0][0])
-                    if size[kind] > 1_500_000:
-                        yield from send(kind)
-    for kind in (0, 1):
-        if held[kind]:
-            held[kind] = [_added(held[kind])]
-            yield from send(kind)
+            strings, edge = grams(low, off, depth)
+            words, of = tokens(low, off)
+            key = np.concatenate([strings, words])
+            train = ~out[lo:hi][np.concatenate([np.repeat(np.arange(hi - lo), np.diff(edge)), of])]
+            held.append(_added(key, train.astype(np.int64), np.ones(len(key), np.int64)))
+            size += len(held[-1][0])
+            if size > 4_000_000 and len(held) > 1:
+                held[:] = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > 3_000_000:
+                    yield from send()
+                    size = 0
+    if held:
+        held[:] = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+        size = len(held[0][0])
+        yield from send()
 
 
 def log_gamma(x: Column) -> Column:
@@ -126,19 +128,25 @@ def log_kt(n0: Column, n1: Column) -> Column:
     return log_gamma(n0 + F.lit(0.5)) + log_gamma(n1 + F.lit(0.5)) - log_gamma(n0 + n1 + F.lit(1.0)) - F.lit(1.1447298858494002)
 
 
-def fold_tree(counts: DataFrame, depth: int, from_depth: int) -> list[DataFrame]:
+def decisions() -> Column:
+    """The eight decisions of a string's last byte: (d: the bits before it after a 1, bit)."""
+    byte = F.col("key").bitwiseAND(255)
+    return F.explode(F.array(*[F.struct(F.expr(f"(1 << {i}) | shiftright(key & 255, {8 - i})").cast("long").alias("d"), F.shiftright(byte, 7 - i).bitwiseAND(1).alias("bit")) for i in range(8)]))
+
+
+def node_at(depth: int) -> Column:
+    """The node of a string's decision whose context is the last ``depth`` bytes before it."""
+    context = F.shiftright("key", 8).bitwiseAND((1 << (8 * depth)) - 1)
+    return F.shiftleft(context, 8).bitwiseOR(F.col("x.d"))
+
+
+def fold_tree(counts: DataFrame, depth: int) -> list[DataFrame]:
     """Levels ``depth`` to 0 of the tree: (node, n0, n1, share of the node's own estimate).
 
-    ``counts`` has (key, n) of byte strings of from_depth + 1 bytes; a node's key is its context, then the decision
-    (the byte's leading bits after a 1).
+    ``counts`` has (key, n) of byte strings of depth + 1 bytes; a node's key is its context, then the decision.
     """
-    mask = (1 << (8 * (depth + 1))) - 1
-    byte = F.col("key").bitwiseAND(255)
-    context = F.shiftright(F.col("key").bitwiseAND(mask), 8)
-    bits = F.explode(F.array(*[F.struct(F.expr(f"(1 << {i}) | shiftright(key & 255, {8 - i})").cast("long").alias("d"), F.shiftright(byte, 7 - i).bitwiseAND(1).alias("bit")) for i in range(8)]))
-    rows = counts.select(context.alias("c"), bits.alias("x"), "n")
-    node = F.shiftleft(F.col("c"), 8).bitwiseOR(F.col("x.d"))
-    level = rows.groupBy(node.alias("node")).agg(F.sum(F.when(F.col("x.bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("n0"), F.sum(F.when(F.col("x.bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("n1"))
+    rows = counts.select("key", decisions().alias("x"), "n")
+    level = rows.groupBy(node_at(depth).alias("node")).agg(F.sum(F.when(F.col("x.bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("n0"), F.sum(F.when(F.col("x.bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("n1"))
     levels = [materialize(level.withColumn("lw", log_kt(F.col("n0"), F.col("n1"))).withColumn("share", F.lit(1.0)))]
     for d in range(depth - 1, -1, -1):
         keep = (1 << (8 * d)) - 1
@@ -151,148 +159,137 @@ def fold_tree(counts: DataFrame, depth: int, from_depth: int) -> list[DataFrame]
     return levels
 
 
-def path_log10(key: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 of the probability of each key's lowest byte after the bytes above; ``levels`` by depth from 0: node, p1, share."""
-    total = np.zeros(len(key))
-    byte = (key & _U(255)).astype(np.int64)
-    for i in range(8):
-        decision = (1 << i) | (byte >> (8 - i))
-        p = np.full(len(key), 0.5)
-        for d in range(len(levels) - 1, -1, -1):
-            nodes, p1, share = levels[d]
-            want = (((key >> _U(8)) & _U((1 << (8 * d)) - 1)).astype(np.int64) << 8) | decision
-            at = np.minimum(np.searchsorted(nodes, want), max(len(nodes) - 1, 0))
-            known = nodes[at] == want if len(nodes) else np.zeros(len(key), bool)
-            s = np.where(known, share[at] if len(nodes) else 0.0, 0.0)
-            p = np.where(known, s * (p1[at] if len(nodes) else 0.5) + (1 - s) * p, p)
-        one = (byte >> (7 - i)) & 1
-        total += np.log10(np.where(one == 1, p, 1 - p))
-    return total
-
-
-def _known(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        key = np.asarray(b.column(0)).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(path_log10(key, model.value["levels"]))], names=["key", "lp"])
-
-
-def _columns(df: DataFrame) -> list[np.ndarray]:
-    t = df.toArrow()
-    return [t.column(i).to_numpy() for i in range(t.num_columns)]
-
-
-def train(rows: DataFrame, depth: int = DEPTH, max_nodes: int = MAX_NODES, max_tokens: int = MAX_TOKENS) -> tuple[dict, DataFrame | None]:
-    """The model's bounded tables, and (key, n) of the tokens that are not among them."""
-    spark = rows.sparkSession
-    raw = materialize(rows.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(partial(_count, depth=depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    strings, words = raw.where("kind = 0").select("key", "n"), raw.where("kind = 1").select("key", "n")
-    use = depth
-    levels = fold_tree(strings, use, depth)
-    while use > 2 and sum(x.count() for x in levels) > max_nodes:
-        use -= 1
-        levels = fold_tree(strings, use, depth)
-    sums = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    total, distinct = sums[0] or 0, sums[1]
-    if distinct <= max_tokens:
-        frequent, rare = words, None
-    else:  # the smallest count with which at most max_tokens tokens are left
-        table = words.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-        left, least = 0, None
-        for r in table:
-            left += r["count"]
-            if left > max_tokens:
-                break
-            least = r["n"]
-        least = least if least is not None else 1 << 62
-        frequent, rare = words.where(F.col("n") >= least), words.where(F.col("n") < least)
-    arrays = [_columns(x.select("node", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)).cast("float"), F.col("share").cast("float")).orderBy("node")) for x in reversed(levels)]
-    tree = spark.sparkContext.broadcast({"levels": arrays})
-    context = (1 << (8 * (use + 1))) - 1
-    seen = strings.select(F.col("key").bitwiseAND(context).alias("key")).groupBy("key").count()
-    ready = materialize(seen.select("key").mapInArrow(partial(_known, model=tree), "key long, lp double"))
-    tree.unpersist()
-    key, lp = _columns(ready.select("key", F.col("lp").cast("float")).orderBy("key"))
-    tkey, tn = _columns(frequent.orderBy("key"))
-    return {"depth": use, "levels": arrays, "key": key.view(np.uint64), "lp": lp, "token": tkey, "n": tn, "total": total, "distinct": distinct, "all": rare is None}, rare
+def carry_down(levels: list[DataFrame]) -> list[DataFrame]:
+    """Levels 0 to depth: (node, a, b).  The probability of a one is a + b * what the node below on the path says.
+
+    A node has at most 256 children, so no join key is hot.
+    """
+    out: list[DataFrame] = []
+    for d, level in enumerate(reversed(levels)):
+        own = level.select("node", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)).alias("p1"), "share")
+        if out:
+            up = F.shiftleft(F.shiftright("node", 8).bitwiseAND((1 << (8 * (d - 1))) - 1), 8).bitwiseOR(F.col("node").bitwiseAND(255))
+            own = own.withColumn("up", up).join(out[-1].select(F.col("node").alias("up"), "a", "b"), "up")
+        else:
+            own = own.withColumn("a", F.lit(0.0)).withColumn("b", F.lit(1.0))
+        out.append(materialize(own.select("node", (F.col("a") + F.col("b") * F.col("share") * F.col("p1")).alias("a"), (F.col("b") * (1 - F.col("share"))).alias("b"))))
+    return out
+
+
+def string_values(strings: DataFrame, tree: list[DataFrame]) -> DataFrame:
+    """(key, uses, v): log10 of the probability of each string's last byte after the bytes above.  ``strings``: key, n, uses."""
+    depth = len(tree) - 1
+    log = F.log10(F.when(F.col("x.bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    each = strings.select("key", "uses", decisions().alias("x"), "n")
+    # Strings of the training rows have all their nodes; the deepest one, whose share is 1, says it all.
+    seen = each.where("n > 0").withColumn("node", node_at(depth)).join(tree[depth], "node").withColumn("p", F.col("a"))
+    new = each.where("n = 0")
+    p = F.lit(0.5)
+    for d in range(depth + 1):  # the deepest known node decides
+        side = tree[d].select(F.col("node").alias(f"node{d}"), (F.col("a") + F.col("b") * 0.5).alias(f"p{d}"))
+        new = new.withColumn(f"node{d}", node_at(d)).join(F.broadcast(side) if d < 2 else side, f"node{d}", "left")  # depths 0 and 1 have at most 65 536 nodes
+        p = F.coalesce(f"p{d}", p)
+    both = seen.select("key", "uses", "x", "p").unionByName(new.select("key", "uses", "x", p.alias("p")))
+    return both.groupBy("key").agg(F.first("uses").alias("uses"), F.sum(log).alias("v"))
+
+
+def most_used(values: DataFrame, max_keys: int) -> Column:
+    """Whether a row of (key, uses) is among the most used ones, at most ``max_keys``: a bound on uses, from a table of counts by size."""
+    size = F.floor(F.log2("uses") * 4).cast("int")
+    table = values.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()  # at most 4 * 64 rows
+    left, least = max_keys, 1 << 20
+    for r in table:
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["size"]
+    return size >= least
+
+
+def train(rows: DataFrame, depth: int = DEPTH, max_keys: int = MAX_KEYS) -> tuple[dict, DataFrame]:
+    """The model's bounded tables, and (key, v) of the strings and tokens that are not among them.  ``rows``: held, text."""
+    raw = materialize(rows.mapInArrow(partial(_count, depth=depth), "key long, n long, uses long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")))
+    strings, words = raw.where("key >= 0"), raw.where("key < 0")
+    sums = words.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
+    tree = carry_down(fold_tree(strings.where("n > 0").select("key", "n"), depth))
+    tables, rare = {"depth": depth, "total": sums[0] or 0, "distinct": sums[1]}, []
+    for name, found in (("string", string_values(strings, tree)), ("token", words.select("key", "uses", F.log10(F.col("n") + 1.0).alias("v")))):
+        found = materialize(found)
+        often = most_used(found, max_keys)
+        t = found.where(often).select("key", "v").toArrow()  # at most max_keys rows
+        key, v = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
+        order = np.argsort(key)
+        tables[name] = (key[order], v[order])
+        rare.append(found.where(~often).select("key", "v"))
+    return tables, rare[0].unionByName(rare[1])
 
 
 class Lookup:
-    """A direct-mapped table over the known byte strings; what it misses is searched, what is unknown is mixed anew."""
+    """Values of keys: a direct-mapped table before a search of the sorted keys."""
 
     BITS = 21
 
-    def __init__(self, model: dict) -> None:
-        self.m = model
-        slot = self._slot(model["key"])
-        self.key = np.full(1 << self.BITS, np.uint64(2**64 - 1))
-        self.lp = np.zeros(1 << self.BITS, np.float32)
-        self.key[slot], self.lp[slot] = model["key"], model["lp"]
+    def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
+        self.known, self.value = key, value
+        self.key = np.zeros(1 << self.BITS, np.int64) - 1
+        slot = self._slot(key)
+        self.key[slot] = np.arange(len(key))
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.BITS)).astype(np.int64)
 
-    def __call__(self, key: np.ndarray) -> np.ndarray:
-        slot = self._slot(key)
-        out = self.lp[slot].astype(float)
-        miss = np.flatnonzero(self.key[slot] != key)
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, 0 where unknown; whether they are known)."""
+        if not len(self.known):
+            return np.zeros(len(key)), np.zeros(len(key), bool)
+        at = np.maximum(self.key[self._slot(key)], 0)
+        hit = self.known[at] == key
+        miss = np.flatnonzero(~hit)
         if len(miss):
-            want, back = np.unique(key[miss], return_inverse=True)
-            known, found = self.m["key"], np.zeros(len(want))
-            at = np.minimum(np.searchsorted(known, want), max(len(known) - 1, 0))
-            hit = known[at] == want if len(known) else np.zeros(len(want), bool)
-            found[hit] = self.m["lp"][at[hit]]
-            if not hit.all():
-                found[~hit] = path_log10(want[~hit], self.m["levels"])
-            out[miss] = found[back]
-        return out
-
-
-def _doc_sums(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(doc, weights=values, minlength=n)
+            at[miss] = np.minimum(np.searchsorted(self.known, key[miss]), len(self.known) - 1)
+            hit[miss] = self.known[at[miss]] == key[miss]
+        return np.where(hit, self.value[at], 0.0), hit
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, row); ``rare`` has the keys that the broadcast lacks."""
     m = model.value
-    lookup = Lookup(m)
+    string_of, token_of = Lookup(*m["string"]), Lookup(*m["token"])
     for b in batches:
         for lo, hi, buf, off in K.slices(b.column(1)):
             n, low = hi - lo, K.LOWER[buf]
             key, edge = grams(low, off, m["depth"])
-            score = np.add.reduceat(lookup(key), edge[:-1])
-            token, doc = tokens(low, off)
-            want = token.view(np.int64)
-            at = np.minimum(np.searchsorted(m["token"], want), max(len(m["token"]) - 1, 0))
-            hit = m["token"][at] == want if len(m["token"]) else np.zeros(len(want), bool)
-            c = np.where(hit, m["n"][at] if len(m["n"]) else 0, 0)
-            log_c = _doc_sums(np.log10(c + 1.0), doc, n)
-            rare: list = [None] * n
-            if not m["all"]:
-                left = np.flatnonzero(~hit)
-                left = left[np.argsort(doc[left], kind="stable")]
-                parts = np.split(want[left], np.searchsorted(doc[left], np.arange(1, n)))
-                rare = [p.tolist() for p in parts]
-            count = np.bincount(doc, minlength=n)
-            cols = [count.astype(np.int64), _doc_sums(hit, doc, n).astype(np.int64), log_c, score, np.diff(off).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(2)[lo:hi], *map(pa.array, cols), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "row", "n_tokens", "n_known", "log_c", "score", "n_bytes", "rare"])
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_nodes: int = MAX_NODES, max_tokens: int = MAX_TOKENS) -> DataFrame:
+            word, of = tokens(low, off)
+            v, hit = string_of(key)
+            log_c, met = token_of(word)
+            rest = np.concatenate([key[~hit], word[~met]])
+            whose = np.concatenate([np.repeat(np.arange(n), np.diff(edge))[~hit], of[~met]])
+            order = np.argsort(whose, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=n))]).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(rest[order].view(np.int64)))
+            sums = (np.bincount(of, minlength=n), np.bincount(of[log_c > 0], minlength=n), np.bincount(of, log_c, n), np.add.reduceat(v, edge[:-1]), np.diff(off).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(2)[lo:hi], *map(pa.array, sums), rare], names=["doc_id", "row", "n_tokens", "n_known", "log_c", "score", "n_bytes", "rare"])
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_keys: int = MAX_KEYS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model, rare = train(rows.where(~held_out(F.col("doc_id"))), depth, max_nodes, max_tokens)
+    model, rare = train(rows.select(held_out(F.col("doc_id")).alias("held"), "text"), depth, max_keys)
     total, distinct = int(model["total"]), int(model["distinct"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     del model
-    row = F.xxhash64("doc_id", "text")
-    out = rows.select("doc_id", "text", row.alias("row")).mapInArrow(partial(_score, model=shared), "doc_id long, row long, n_tokens long, n_known long, log_c double, score double, n_bytes long, rare array<long>")
-    if rare is not None:
-        out = materialize(out)
-        each = out.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("k"))
-        again = out.groupBy("row").agg(F.count(F.lit(1)).alias("same"))
-        more = each.join(rare, "key").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("l")).join(again, "row")
-        more = more.select("row", (F.col("k") / F.col("same")).cast("long").alias("k"), (F.col("l") / F.col("same")).alias("l"))
-        out = out.join(more, "row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("k", F.lit(0))).withColumn("log_c", F.col("log_c") + F.coalesce("l", F.lit(0.0)))
+    found = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(partial(_score, model=shared), "doc_id long, row long, n_tokens long, n_known long, log_c double, score double, n_bytes long, rare array<long>")
+    if not rare.isEmpty():
+        found = materialize(found)
+        which = ["row", "n_bytes"]
+        each = found.select(*which, F.explode("rare").alias("key")).groupBy(*which, "key").agg(F.count(F.lit(1)).alias("k"))
+        token = F.col("key") < 0
+        more = each.join(rare, "key").groupBy(*which).agg(F.sum(F.when(token & (F.col("v") > 0), F.col("k"))).alias("known"), F.sum(F.when(token, F.col("k") * F.col("v"))).alias("l"), F.sum(F.when(~token, F.col("k") * F.col("v"))).alias("s"))
+        same = found.where(F.size("rare") > 0).groupBy(*which).agg(F.count(F.lit(1)).alias("same"))  # equal rows have gathered together
+        more = more.join(same, which).select(*which, *[F.coalesce(F.col(c) / F.col("same"), F.lit(0.0)).alias(c) for c in ("known", "l", "s")])
+        gain = lambda c: F.coalesce(c, F.lit(0.0))
+        found = found.join(more, which, "left").select("doc_id", "n_tokens", (F.col("n_known") + gain("known")).cast("long").alias("n_known"), (F.col("log_c") + gain("l")).alias("log_c"), (F.col("score") + gain("s")).alias("score"), "n_bytes")
     base = F.col("log_c") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     bits = -F.col("score") * F.lit(3.321928094887362) / (F.col("n_bytes") + 1)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))

@@ -51,11 +51,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are not kept; of rows that repeat an id and text, one stays.  Columns are unchanged."""
-    losers = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), "digest")
+    losers = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("digest").alias("__digest"))
     body = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
     losers = materialize(losers.distinct())
     side = F.broadcast(losers) if losers.count() <= 1_000_000 else losers
-    stay = docs.join(side, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.unhex(body) == F.col("digest")), "left_anti")
+    stay = docs.join(side, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.unhex(body) == F.col("__digest")), "left_anti")
     again = materialize(stay.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"))
     if again.isEmpty():
         return stay

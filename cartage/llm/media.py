@@ -6,7 +6,7 @@ file.  A rolling gear hash cuts the file where the bytes say so, so shared passa
 1. A scan without bytes makes each file's ordered chunk list (digests and sizes).
 2. Equal files are one; Spark joins on the digests choose one owner for every distinct chunk.
 3. A second scan writes each owner's chunks, one row a file; files that repeat chunks skip them.  Which to skip is a table
-   of exceptions only, broadcast while it has at most ``max_exceptions`` rows, else shuffled.
+   of exceptions only, broadcast while it lists at most ``max_exceptions`` chunks, else shuffled.
 4. Files are put together from their chunk lists: most have all their chunks in their own row; others borrow shared ones
    through a join.  Sizes and sha-256 must match the list, or the job fails.
 
@@ -156,7 +156,9 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = attach_groups(uses, owners, ["digest"], "refs").where("refs > 1")
     mine = (F.col("t") == F.col("at.t")) & (F.col("pos") == F.col("at.pos"))
     plan = shared.groupBy("t").agg(F.collect_list(F.when(~mine, F.col("pos"))).alias("skip"), F.collect_list(F.when(mine, F.col("pos"))).alias("lend"))
-    plan, _ = broadcast_if(materialize(plan), max_exceptions)
+    plan = materialize(plan)
+    if (plan.agg(F.sum(F.size("skip") + F.size("lend"))).first()[0] or 0) <= max_exceptions:
+        plan = F.broadcast(plan)
     copies = lists.join(files.where("n > 1").select("t", "owner"), "t").where(~F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "t")
     copies, _ = broadcast_if(materialize(copies.distinct()), max_exceptions)
     firsts = rows.join(copies, rows["doc_id"].eqNullSafe(copies["doc_id"]) & (rows["t"] == copies["t"]), "left_anti")

@@ -4,8 +4,9 @@ A document is a run of tokens (words between blanks, and one end); runs longer t
 ``max_len`` and a rest, so nothing is dropped.  The histogram of piece lengths has at most ``max_len`` rows whatever the
 corpus; dynamic programming over it puts ``buckets`` upper bounds where the total padding is least.  In a bucket of
 bound b, batches hold budget // b pieces.  Pieces are numbered without a single-task window: each bucket is dealt to
-``shards`` by a hash, numbered inside its shard, and the shard's offset, from a table of at most buckets * shards rows,
-is added; so a hot bucket is spread, and only the last batch of a bucket is partly filled.
+shards by a hash of id and piece, numbered inside its shard, and the shard's offset is added; so a hot bucket and a very
+long document are spread, and only the last batch of a bucket is partly filled.  There is a shard for every ``per_shard``
+rows, at least 256 and at most 65 536, so the table of offsets has at most buckets * 65 536 rows.
 
 Defined cases: null and empty texts are one end token; null ids are dealt together by text hash; rows that repeat an id
 are packed each; other columns are ignored; an empty table gives an empty result.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-MAX_LEN, BUCKETS, BUDGET, SHARDS = 2048, 8, 16384, 256
+MAX_LEN, BUCKETS, BUDGET, PER_SHARD = 2048, 8, 16384, 500_000
 
 
 def token_length(text: Column) -> Column:
@@ -60,14 +61,16 @@ def optimal_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
     return sorted(bounds)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, shards: int = SHARDS, length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, per_shard: int = PER_SHARD, length: Column | None = None) -> DataFrame:
     """One row per piece: doc_id, piece (from 0), start (token), length, bucket (its bound), batch, slot, capacity, padding."""
     n = token_length(F.col(text_col).cast("string")) if length is None else F.greatest(length.cast("long"), F.lit(1).cast("long"))
-    salt = F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(shards)).cast("int")
-    runs = materialize(docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), salt.alias("shard")))
+    salt = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
+    runs = materialize(docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), salt.alias("salt")))
+    shards = min(max(256, runs.count() // per_shard), 65_536)
     many = F.ceil(F.col("n") / F.lit(max_len)).cast("int")
     pieces = runs.withColumn("piece", F.explode(F.sequence(F.lit(0), many - 1)))
     pieces = pieces.withColumn("start", F.col("piece").cast("long") * max_len).withColumn("length", F.least(F.lit(max_len).cast("long"), F.col("n") - F.col("start")))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("salt", "piece"), F.lit(shards)).cast("int"))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most max_len rows
     bounds = optimal_bounds(histogram, buckets)
     upper = F.lit(None).cast("long")

@@ -90,7 +90,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     fit = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = [fit.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in (0, 1)]
     chosen = F.broadcast(materialize(ids[0].union(ids[1]).distinct()))  # at most 2 * sample rows
-    return materialize(docs.join(chosen, "doc_id").select("toxic", F.col("text").cast("string").alias("text")))
+    return materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("toxic", "text"))
 
 
 def _weights(rows: DataFrame, keep: set[str] | None = None) -> tuple[DataFrame, int, int]:
