@@ -6,10 +6,13 @@ are thrown up to a bound that gives about k ln k + 2k darts a document, so the w
 elements times coordinates.  A dart falls on one of ``k`` coordinates and each coordinate keeps its earliest dart; where one
 stays empty the bound is doubled.  Two documents agree on a coordinate with the probability of their weighted similarity.
 
-Bands of coordinates are joined; inside a bucket every document is compared exactly (set similarity of shingles) with
-leaders, never all pairs: a document that reaches the threshold with a leader is settled there; the others lead in turn,
-and a settled one leads too if it came near another leader's group, as then a link between the groups is possible
-(one minus similarity is a metric).  Links become classes by label propagation with pointer jumping on shared tables.
+Bands of coordinates are joined.  Inside a bucket every document is compared exactly (set similarity of shingles) with one
+leader, its most central member, never all pairs.  Members that reach the threshold are settled.  What a member lacks or has
+beyond the leader is its difference; the symmetric difference of two members is that of their differences, so a link of an
+open member to any other needs shared elements of the differences, which are few: both are met by their rarest elements
+(prefix filter with positions), then compared exactly.  Open members of a bucket meet again under a leader of their own;
+at the last level all open pairs are met by their differences.  No pair that a bucket holds is left out.  Links become
+classes by label propagation with pointer jumping on shared tables.
 
 Vertices are distinct shingle sets, so copies cost one row in one aggregation.
 
@@ -32,6 +35,8 @@ from . import kernel as K
 from .scratch import attach_groups, broadcast_if, materialize, small_batches
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
+#: Leaders a bucket has in turn; the last one's open members are met with each other.
+LEVELS = 3
 _U = np.uint64
 
 
@@ -167,29 +172,65 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return src.mapInArrow(partial(_sign, bands=bands, rows=rows, width=width), "doc_id long, v long, size long, bands array<long>")
 
 
-def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similarity(batches: Iterator[pa.RecordBatch], differences: bool) -> Iterator[pa.RecordBatch]:
+    """Set similarity of two blobs, the sets' sizes and, if asked for, the elements of one of them only."""
     for b in batches:
-        sims = []
+        sims, sizes, diffs = [], [[], []], []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            p, q = np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))
+            apart = np.setxor1d(p, q, assume_unique=True)
             both = len(p) + len(q)
-            common = both - len(np.union1d(p, q)) if both else 0
+            common = (both - len(apart)) // 2
             sims.append(common / (both - common) if both else 1.0)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], names=["x", "y", "sim"])
+            sizes[0].append(len(p))
+            sizes[1].append(len(q))
+            diffs.append(apart.view("<i4") if differences else None)
+        arrays = [b.column(0), b.column(1), pa.array(sims, pa.float64()), *(pa.array(n, pa.int32()) for n in sizes), pa.array(diffs, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["x", "y", "sim", "nx", "ny", "diff"])
 
 
-def classes_of(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(v, c): the smallest vertex that links lead to, for every vertex of ``links`` (x, y); ``labels`` may give a start.
+def _compare(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """(x, y, sim, nx, ny, diff) of every pair (x, y)."""
+    full = pairs.join(sets.select(F.col("v").alias("x"), F.col("blob").alias("p")), "x").join(sets.select(F.col("v").alias("y"), F.col("blob").alias("q")), "y")
+    return full.select("x", "y", "p", "q").mapInArrow(partial(_similarity, differences=differences), "x long, y long, sim double, nx int, ny int, diff array<int>")
+
+
+def _meet_by_differences(compared: DataFrame, threshold: float, among_open: bool) -> DataFrame:
+    """Pairs (x, y) under one leader that may link: an open member with a settled one and, if asked, with an open one.
+
+    With k = (1 - t) / (1 + t) a link needs a symmetric difference of at most k (|x| + |y|), so the differences to the leader
+    share at least (dx + dy - k (|x| + |y|)) / 2 elements, which is positive if one of the two is open.
+    """
+    k = (1 - threshold) / (1 + threshold)
+    uneven = compared.groupBy("x").agg(F.max(F.col("sim") < threshold).alias("any_open"), F.count(F.lit(1)).alias("n")).where("any_open AND n > 1").select("x")
+    size, lead, d = F.col("ny"), F.col("nx"), F.size("diff")
+    settled = F.col("sim") >= threshold
+    # The least overlap any partner asks for: partners are at most |v| / t long and differ from the leader by d - (1 - t) / t |v| at least.
+    least = F.greatest(d - (1 - threshold) / threshold * size, F.when(settled, (d + k * (lead - size)) / 2).otherwise((d - k * (size + lead)) / 2))
+    prefix = d - F.greatest(F.lit(1), F.ceil(least - 1e-6)) + 1
+    cell = compared.join(uneven, "x", "left_semi").where(d > 0).select(F.col("x").alias("m"), F.col("y").alias("v"), size.alias("s"), d.alias("d"), (~settled).alias("open"), prefix.cast("int").alias("prefix"), F.explode("diff").alias("e"))
+    cell = materialize(cell)
+    often = cell.groupBy("m", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Elements nobody else has come first and meet nobody; they only move the others back.
+    shared = cell.join(often, ["m", "e"]).groupBy("m", "v", "s", "d", "open", "prefix").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("es"))
+    alone = F.col("d") - F.size("es")
+    post = shared.where(alone < F.col("prefix")).select("m", "v", "s", "d", "open", alone.alias("alone"), F.posexplode(F.slice("es", F.lit(1), F.col("prefix") - alone)).alias("i", "h"))
+    post = materialize(post.select("m", F.col("h.e").alias("e"), "v", "s", "open", "d", (F.col("d") - F.col("alone") - F.col("i")).alias("left")))
+    x, y = post.where("open").alias("x"), (post if among_open else post.where("NOT open")).alias("y")
+    enough = F.least("x.left", "y.left") >= (F.col("x.d") + F.col("y.d") - k * (F.col("x.s") + F.col("y.s"))) / 2 - 1e-6
+    alike = F.least("x.s", "y.s") >= threshold * F.greatest("x.s", "y.s") - 1e-6
+    once = ~F.col("y.open") | (F.col("x.v") < F.col("y.v"))
+    met = x.join(y, (F.col("x.m") == F.col("y.m")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.v") != F.col("y.v")) & once & enough & alike)
+    return met.select(F.least("x.v", "y.v").alias("x"), F.greatest("x.v", "y.v").alias("y")).distinct()
+
+
+def classes_of(links: DataFrame) -> DataFrame:
+    """(v, c): the smallest vertex that links lead to, for every vertex of ``links`` (x, y).
 
     Each step takes the smallest label among the neighbours, then the label's label; the tables are cut each time.
     """
     both = materialize(links.select(F.col("x").alias("v"), F.col("y").alias("w")).union(links.select("y", "x")).distinct())
-    own = both.select("v").distinct()
-    if labels is None:
-        labels = own.select("v", F.col("v").alias("c"))
-    else:
-        labels = own.join(labels, "v", "left").select("v", F.coalesce("c", "v").alias("c"))
-    labels = materialize(labels)
+    labels = materialize(both.select("v").distinct().select("v", F.col("v").alias("c")))
     while True:
         near = both.join(labels.select(F.col("v").alias("w"), "c"), "w").groupBy("v").agg(F.min("c").alias("m"))
         step = labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "m").alias("c"))
@@ -206,40 +247,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = materialize(signatures(docs, id_col, text_col, bands, rows, width))
     vertices = sig.where("size > 0").groupBy("v").agg(F.min("bands").alias("bands"))
     at = materialize(vertices.select("v", F.explode("bands").alias("b")))
-    shared = at.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
-    inside = materialize(at.join(shared, "b").select("b", "v", F.col("v").alias("c"), F.lit(True).alias("open"), F.lit(False).alias("led"), F.lit(True).alias("may")))
-    wanted, _ = broadcast_if(materialize(inside.select("v").distinct()), 1_000_000)
+    shared = at.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    inside = materialize(at.join(shared, "b"))
+    central = materialize(inside.groupBy("v").agg(F.sum("n").alias("w")))
+    inside = materialize(inside.select("b", "v").join(central, "v"))
+    wanted, _ = broadcast_if(central.select("v"), 1_000_000)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     sets = materialize(texts.mapInArrow(partial(_sets, width=width), "v long, blob binary").join(wanted, "v", "left_semi").groupBy("v").agg(F.min("blob").alias("blob")))
-    seen = links = labels = None
-    leaders = 1
-    while not inside.isEmpty():
-        # In each bucket, ``leaders`` slots of open vertices outside its largest class each put forward one.  Members of
-        # other classes are compared with them: of two classes, one is not the largest, so no pair is left out.
-        slot = F.pmod(F.xxhash64("v", F.lit(leaders)), F.lit(leaders))
-        lead = materialize(inside.where("open AND may").groupBy("b", slot.alias("slot")).agg(F.min(F.struct("v", "c")).alias("x")).select("b", F.col("x.v").alias("lead"), F.col("x.c").alias("of")))
-        met = inside.join(lead, "b").where("c <> of")
-        pairs = met.select(F.least("v", "lead").alias("x"), F.greatest("v", "lead").alias("y")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["x", "y"], "left_anti")
-        pairs = materialize(pairs)
-        full = pairs.join(sets.select(F.col("v").alias("x"), F.col("blob").alias("p")), "x").join(sets.select(F.col("v").alias("y"), F.col("blob").alias("q")), "y")
-        new = full.select("x", "y", "p", "q").mapInArrow(_similarity, "x long, y long, sim double")
-        seen = materialize(new if seen is None else seen.unionByName(new))
-        links = seen.where(F.col("sim") >= threshold).select("x", "y")
-        labels = classes_of(links, labels)
-        sim = seen.select(F.col("x").alias("v"), F.col("y").alias("lead"), "sim").unionByName(seen.select(F.col("y").alias("v"), F.col("x").alias("lead"), "sim"))
-        verdict = met.join(sim, ["v", "lead"]).groupBy("b", "v").agg(F.max("sim").alias("most"), F.max(F.when(F.col("sim") < threshold, F.col("sim"))).alias("border"))
-        heads = lead.select("b", F.col("lead").alias("v"), F.lit(True).alias("now_led"))
-        state = inside.drop("c", "may").join(verdict, ["b", "v"], "left").join(heads, ["b", "v"], "left").join(labels, "v", "left")
-        led = F.col("led") | F.coalesce("now_led", F.lit(False))
-        near = F.coalesce(F.col("border") >= 2 * threshold - 1, F.lit(False))
-        still = ~led & (near | (F.col("open") & F.coalesce(F.col("most") < threshold, F.lit(True))))
-        state = materialize(state.select("b", "v", still.alias("open"), led.alias("led"), F.coalesce("c", "v").alias("c")))
-        largest = state.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max(F.struct("n", "c")).alias("m")).select("b", F.col("m.c").alias("main"))
-        judged = materialize(state.join(largest, "b").withColumn("may", F.col("c") != F.col("main")).drop("main"))
-        inside = materialize(judged.join(judged.where("open AND may").select("b").distinct(), "b", "left_semi"))
-        leaders = min(leaders * 4, 1 << 20)
+    links = None
+    for level in range(LEVELS):
+        if inside.isEmpty():
+            break
+        lead = materialize(inside.groupBy("b").agg(F.max(F.struct("w", "v")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("b", F.col("m.v").alias("m")))
+        met = materialize(inside.join(lead, "b").where("v <> m"))
+        compared = materialize(_compare(met.select(F.col("m").alias("x"), F.col("v").alias("y")).distinct(), sets, True))
+        maybe = materialize(_meet_by_differences(compared, threshold, level == LEVELS - 1))
+        tried = materialize(compared.select("x", "y", "sim").unionByName(_compare(maybe, sets).select("x", "y", "sim")))
+        new = tried.where(F.col("sim") >= threshold).select("x", "y")
+        links = new if links is None else links.unionByName(new)
+        still = compared.where(F.col("sim") < threshold).select(F.col("x").alias("m"), F.col("y").alias("v"))
+        inside = materialize(met.join(still, ["m", "v"]).select("b", "v", "w"))
+    labels = classes_of(links) if links is not None else None
     rowsets = sig.select("doc_id", "v", "size")
     if labels is not None:
         rowsets = materialize(rowsets.join(labels, "v", "left").select("doc_id", F.coalesce("c", "v").alias("c"), "size"))

@@ -89,8 +89,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_near_duplicate_classes_are_the_brute_force(spark):
-    data = [(i, t) for i, t, *_ in rows()]
+def classes_by_force(data):
     sets = [shingle_set(t) for _, t in data]
     parent = list(range(len(data)))
 
@@ -109,14 +108,59 @@ def test_near_duplicate_classes_are_the_brute_force(spark):
         size[root(k)] += 1
         if i is not None:
             first[root(k)] = min(first.get(root(k), i), i)
-    want = sorted((str(i), str(first.get(root(k), i)), size[root(k)]) for k, (i, _) in enumerate(data))
+    return sorted((str(i), str(first.get(root(k), i)), size[root(k)]) for k, (i, _) in enumerate(data)), set(first.values())
+
+
+def test_near_duplicate_classes_are_the_brute_force(spark):
+    want, first = classes_by_force([(i, t) for i, t, *_ in rows()])
     got = sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in dart_minhash.near_duplicates(documents(spark)).collect())
     assert got == want
     out = dart_minhash.drop_near_duplicates(documents(spark))
-    assert {r.doc_id for r in out.collect()} >= {v for v in first.values()}
+    assert {r.doc_id for r in out.collect()} >= first
     assert dart_minhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def family(rng, base, count, edits):
+    out = []
+    for _ in range(count):
+        w = list(base)
+        for _ in range(rng.randrange(edits)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice((0, 1, 1))] = [f"w{rng.randrange(40)}"]
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicate_classes_of_large_groups_are_the_brute_force(spark):
+    rng = random.Random(11)
+    base = words(rng, 90).split()
+    second = base[:30] + words(rng, 8).split() + base[36:]  # a second centre in the same buckets
+    data = list(enumerate(family(rng, base, 120, 9) + family(rng, second, 80, 6) + family(rng, words(rng, 40).split(), 40, 4)))
+    got = sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in dart_minhash.near_duplicates(documents(spark, texts(data))).collect())
+    assert got == classes_by_force(data)[0]
+
+
+def test_differences_meet_all_links_of_open_members(spark):
+    rng = random.Random(5)
+    base = [rng.randrange(2**32) for _ in range(60)]
+    sets = {}
+    for v in range(1, 161):
+        own = list(sets[rng.randrange(1, v)]) if v > 1 and rng.random() < 0.5 else list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(len(own))] = rng.randrange(2**32)
+        sets[v] = set(own[rng.randrange(4) :])
+    sets[0] = set(base)
+    blobs = spark.createDataFrame([(v, bytearray(np.array(sorted(s), "<u4").tobytes())) for v, s in sets.items()], "v long, blob binary")
+    compared = dart_minhash._compare(spark.createDataFrame([(0, v) for v in range(1, 161)], "x long, y long"), blobs, True)
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    links = [(a, b) for a in range(1, 161) for b in range(a + 1, 161) if alike(a, b)]
+    for among_open in (False, True):
+        met = {tuple(r) for r in dart_minhash._meet_by_differences(compared, 0.8, among_open).collect()}
+        want = {(a, b) for a, b in links if not (alike(0, a) and alike(0, b)) and (among_open or alike(0, a) or alike(0, b))}
+        assert len(want) > 10 and met >= want
+        assert not any(alike(0, a) and alike(0, b) for a, b in met)
+
+
 def test_dart_signatures_agree_as_often_as_weighted_sets_overlap():
     rng = np.random.default_rng(3)
     shared, own = rng.integers(1, 2**62, 300, dtype=np.uint64), rng.integers(1, 2**62, 100, dtype=np.uint64)
