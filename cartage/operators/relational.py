@@ -82,3 +82,24 @@ def latest_generation(chunks: DataFrame, parent: str = "parent_id") -> DataFrame
 def revert_batch(rows: DataFrame, batch: str) -> DataFrame:
     """All rows but the imported ones of one batch."""
     return rows.where(~((F.col("source") == "import") & F.col("import_batch_id").eqNullSafe(batch)))
+
+
+def month_grid(months: DataFrame, month: str = "month") -> DataFrame:
+    """(month, cell, day): the days of each month in weeks of seven from Sunday; cells before and after the month have no day."""
+    first = F.trunc(F.col(month), "month")
+    lead = F.dayofweek(first) - 1
+    days = F.dayofmonth(F.last_day(first))
+    cells = (F.ceil((lead + days) / 7) * 7).cast("int")
+    at = months.select(first.alias("month"), lead.alias("lead"), days.alias("days"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
+    nth = F.col("cell") - F.col("lead")
+    return at.select("month", "cell", F.when((nth >= 0) & (nth < F.col("days")), F.date_add("month", nth)).alias("day"))
+
+
+def backfill_plan(stored: DataFrame, wanted: DataFrame, parent: str = "parent_id") -> DataFrame:
+    """(parent, plan): current where the stored pieces (index, hash) are the wanted ones in order, else index or remove.
+
+    A parent's pieces meet in one array, so a parent must be a document, not a tenant.
+    """
+    pieces = lambda df, name: df.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content_hash"))).alias(name))
+    both = pieces(stored, "had").join(pieces(wanted, "want"), parent, "full")
+    return both.select(parent, F.when(F.col("want").isNull(), "remove").when(F.col("had").eqNullSafe(F.col("want")), "current").otherwise("index").alias("plan"))

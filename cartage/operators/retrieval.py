@@ -83,3 +83,18 @@ def agreement(left: Column, right: Column) -> Column:
         .when((F.size(left) == 0) & (F.size(right) == 0), "both_empty").when(F.size(right) == 0, "left_only").when(F.size(left) == 0, "right_only")
         .when(left == right, "identical").when((common == F.size(left)) & (common == F.size(right)), "same_set").when(common > 0, "overlap").otherwise("disjoint")
     )
+
+
+def hashed_vectors(rows: DataFrame, key: str, text_col: str, dims: int = 256) -> DataFrame:
+    """(key, dim, weight): a deterministic unit vector of each text; only dims that are not 0.
+
+    Every token's SHA-256 adds 1 at its first four bytes modulo ``dims`` and takes 0.5 at its next four.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    tokens = rows.select(key, F.explode(words).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+    digest = F.sha2("w", 256)
+    at = lambda k: F.conv(F.substring(digest, k, 8), 16, 10).cast("long") % dims
+    spots = F.array(F.struct(at(1).alias("dim"), F.col("n").cast("double").alias("x")), F.struct(at(9).alias("dim"), (F.col("n") * -0.5).cast("double").alias("x")))
+    sums = tokens.select(key, F.inline(spots)).groupBy(key, "dim").agg(F.sum("x").alias("x")).where("x <> 0")
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
+    return sums.select(key, "dim", (F.col("x") / norm).alias("weight"))

@@ -65,3 +65,12 @@ def upper_median(value: str) -> Column:
 
 def numbered(rows: DataFrame, tenant: str, *order: str) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(tenant).orderBy(*order)))
+
+
+def permuted(rows: DataFrame, tenant: str, key: str, value: str, seed: int = 99) -> DataFrame:
+    """``rows`` (tenant, key, value) with ``permuted``: the values of each tenant dealt to its keys anew, by a hash of seed and key."""
+    shuffle = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    x = rows.select(tenant, key, value)
+    own = x.withColumn("__r", F.row_number().over(Window.partitionBy(tenant).orderBy(key)))
+    dealt = x.select(tenant, F.row_number().over(Window.partitionBy(tenant).orderBy(shuffle, key)).alias("__r"), F.col(value).alias("permuted"))
+    return own.join(dealt, [tenant, "__r"]).drop("__r")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartage.functions import parse, text
-from cartage.operators import pricing, relational, retrieval, similarity, stats
+from cartage.operators import pricing, relational, retrieval, similarity, stats, validation
 from cartage.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,15 +164,22 @@ p AS (SELECT *, (hours * map {2: 140, 3: 190, 4: 240, 5: 290}[crew])::DECIMAL(18
 SELECT l_orderkey, l_linenumber, crew AS crew_size, hours::DOUBLE AS estimated_hours, (round(sub, 2) * 100)::BIGINT AS subtotal_cents, (round((sub * f)::DECIMAL(24,8), 2) * 100)::BIGINT AS total_cents,
 (round((sub * f * 0.88)::DECIMAL(28,8), 0) * 100)::BIGINT AS amount_min_cents, (round((sub * f * 1.12)::DECIMAL(28,8), 0) * 100)::BIGINT AS amount_max_cents FROM p""")
 def price_kernel(spark, d):
+    return _jobs(spark, d).withColumn("p", _priced()).select("l_orderkey", "l_linenumber", "p.crew_size", "p.estimated_hours", "p.subtotal_cents", "p.total_cents", "p.amount_min_cents", "p.amount_max_cents")
+
+
+def _jobs(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def _priced(change=None):
+    """The price of a row of ``_jobs``; ``change`` replaces its packing or floor."""
     size = F.element_at(F.array(*map(F.lit, similarity.HOME_SIZES)), F.least(F.col("l_linenumber"), F.lit(6)))
-    packing = F.element_at(F.array(*map(F.lit, similarity.PACKING)), (F.col("l_orderkey") % 3 + 1).cast("int"))
     n = F.col("l_quantity").cast("int")
+    own = {"packing": F.element_at(F.array(*map(F.lit, similarity.PACKING)), (F.col("l_orderkey") % 3 + 1).cast("int")), "floor": n % 6} | (change or {})
     items = F.element_at(F.array(F.array().cast("array<string>"), F.array(F.lit("piano")), F.array(F.lit("safe")), F.array(F.lit("harp"))), (F.col("l_partkey") % 4 + 1).cast("int"))
     ground = {"floor": F.lit(1), "flights": F.lit(0), "elevator": F.lit(False)}
-    cost = pricing.price(size, packing, items, {"floor": n % 6, "flights": n % 3, "elevator": F.col("l_orderkey") % 2 == 0}, ground, F.col("l_quantity"), F.col("day"))
-    return x.withColumn("p", cost).select("l_orderkey", "l_linenumber", "p.crew_size", "p.estimated_hours", "p.subtotal_cents", "p.total_cents", "p.amount_min_cents", "p.amount_max_cents")
+    return pricing.price(size, own["packing"], items, {"floor": own["floor"], "flights": n % 3, "elevator": F.col("l_orderkey") % 2 == 0}, ground, F.col("l_quantity"), F.col("day"))
 
 
 @query("""WITH x AS (SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS a, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_tax END AS m, CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE 1 END AS f, l_discount * 200 AS p FROM lineitem)
@@ -381,3 +388,70 @@ def inferred_formats(spark, d):
 @query()
 def chunk_pack(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(text.chunk_text(text.normalize(F.col("text")))).alias("c")).select("doc_id", "c.chunk_index", "c.token_count", "c.content_hash")
+
+
+@query("""WITH x AS (SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice <= 20000 THEN 'total' END, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'date' END) AS errors,
+  concat_ws(',', CASE WHEN o_totalprice > 300000 THEN 'total' END, CASE WHEN o_orderpriority LIKE '%LOW%' THEN 'priority' END) AS warnings FROM orders)
+SELECT o_orderkey, errors, warnings, CASE WHEN errors <> '' THEN 'error' WHEN warnings <> '' THEN 'warning' ELSE 'ok' END AS status FROM x""")
+def row_verdicts(spark, d):
+    return _verdicts(spark, d).select("o_orderkey", F.array_join("errors.field", ",").alias("errors"), F.array_join("warnings.field", ",").alias("warnings"), "status")
+
+
+def _verdicts(spark, d):
+    total, day = F.col("o_totalprice"), F.col("o_orderdate")
+    rules = [
+        ("total", "error", total <= 20000, "too small"), ("date", "error", day >= F.lit("1998-01-01").cast("timestamp"), "in the future"),
+        ("total", "warning", total > 300000, "unusually large"), ("priority", "warning", F.col("o_orderpriority").contains("LOW"), "not urgent"),
+    ]
+    return validation.verdicts(t(spark, d, "orders"), rules)
+
+
+@query(f"""SELECT count(*) AS n_rows, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'warning') AS n_warning, count(*) FILTER (status = 'error') AS n_error FROM ({ORACLE["row_verdicts"]})""")
+def verdict_counts(spark, d):
+    return validation.verdict_counts(_verdicts(spark, d))
+
+
+@query("""WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders),
+g AS (SELECT month, dayofweek(month) AS lead, day(last_day(month)) AS days, unnest(range(((dayofweek(month) + day(last_day(month)) + 6) // 7) * 7)) AS cell FROM m)
+SELECT month::VARCHAR AS month, cell::BIGINT AS cell, CASE WHEN cell >= lead AND cell - lead < days THEN (month + (cell - lead)::INT)::VARCHAR END AS day FROM g""")
+def month_grid(spark, d):
+    months = t(spark, d, "orders").select(F.trunc("o_orderdate", "month").alias("month")).distinct()
+    return relational.month_grid(months).select(F.col("month").cast("string").alias("month"), F.col("cell").cast("long").alias("cell"), F.col("day").cast("string").alias("day"))
+
+
+@query("""WITH old AS (SELECT l_orderkey AS parent_id, list(l_linenumber::VARCHAR || ':' || md5(l_returnflag) ORDER BY l_linenumber, md5(l_returnflag)) AS had FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1),
+new AS (SELECT l_orderkey AS parent_id, list(l_linenumber::VARCHAR || ':' || md5(l_returnflag) ORDER BY l_linenumber, md5(l_returnflag)) AS want FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
+SELECT parent_id, CASE WHEN want IS NULL THEN 'remove' WHEN had IS NOT DISTINCT FROM want THEN 'current' ELSE 'index' END AS plan FROM old FULL JOIN new USING (parent_id)""")
+def backfill_plan(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent_id"), F.col("l_linenumber").alias("chunk_index"), F.md5("l_returnflag").alias("content_hash"), "l_shipdate", "l_returnflag")
+    return relational.backfill_plan(x.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp")), x.where("l_returnflag <> 'R'"))
+
+
+@query("""WITH x AS (SELECT c_nationkey AS company_id, o_orderkey, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey),
+a AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY o_orderkey) AS r FROM x),
+b AS (SELECT company_id, v AS permuted, row_number() OVER (PARTITION BY company_id ORDER BY md5('99:' || o_orderkey::VARCHAR), o_orderkey) AS r FROM x)
+SELECT company_id, o_orderkey, v, permuted FROM a JOIN b USING (company_id, r)""")
+def label_permutation(spark, d):
+    o = t(spark, d, "orders").join(t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("company_id")), F.col("o_custkey") == F.col("c_custkey"))
+    return stats.permuted(o.select("company_id", "o_orderkey", F.col("o_totalprice").alias("v")), "company_id", "o_orderkey", "v")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n, sha256(w) AS h FROM w GROUP BY 1, 2),
+s AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 256 AS dim, n::DOUBLE AS x FROM n UNION ALL SELECT doc_id, ('0x' || substr(h, 9, 8))::BIGINT % 256, n * -0.5::DOUBLE FROM n),
+v AS (SELECT doc_id, dim, sum(x) AS x FROM s GROUP BY 1, 2 HAVING sum(x) <> 0) SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 9) AS weight FROM v""")
+def hashed_vectors(spark, d):
+    return retrieval.hashed_vectors(t(spark, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 9))
+
+
+_AFTER = ORACLE["price_kernel"].replace("['none', 'partial', 'full'][(l_orderkey % 3 + 1)::BIGINT]", "'full'").replace("(l_quantity::INT % 6) AS floor", "1 AS floor")
+
+
+@query(f"""SELECT l_orderkey, before_cents, after_cents, after_cents - before_cents AS delta_cents, after_hours - before_hours AS delta_hours FROM
+(SELECT l_orderkey, sum(total_cents)::BIGINT AS before_cents, sum(estimated_hours) AS before_hours FROM ({ORACLE["price_kernel"]}) GROUP BY 1)
+JOIN (SELECT l_orderkey, sum(total_cents)::BIGINT AS after_cents, sum(estimated_hours) AS after_hours FROM ({_AFTER}) GROUP BY 1) USING (l_orderkey)""")
+def requote_preview(spark, d):
+    """What each order's jobs would cost with full packing from the first floor; both prices are made in one pass."""
+    before, after = _priced(), _priced({"packing": F.lit("full"), "floor": F.lit(1)})
+    x = _jobs(spark, d).select("l_orderkey", before.alias("b"), after.alias("a")).groupBy("l_orderkey")
+    sums = x.agg(F.sum("b.total_cents").alias("before_cents"), F.sum("a.total_cents").alias("after_cents"), F.sum(F.col("a.estimated_hours") - F.col("b.estimated_hours")).alias("delta_hours"))
+    return sums.select("l_orderkey", "before_cents", "after_cents", (F.col("after_cents") - F.col("before_cents")).alias("delta_cents"), "delta_hours")
