@@ -6,7 +6,8 @@ Neighbouring windows under one key travel together as a stretch.
 
 1. Each task cuts its texts into stretches, settles equal stretches among its own rows, and sends one of each on.
 2. Stretches are dealt by minimiser and streamed in sorted order: a stretch seen before is removed; the first ones of a
-   minimiser that has several different stretches are passed on, as they may share only part of their windows.
+   minimiser that has several different stretches are passed on, as they may share only part of their windows, and so is
+   a lone one that has its minimiser more than once, as its own windows may be equal (a periodic passage).
 3. Those are compared by an enhanced suffix array per block of minimisers: suffixes of at least ``length`` bytes are
    sorted, their longest common prefixes form an interval tree, a stack scan walks it, and every interval whose left
    extensions differ is a maximal repeat with all its occurrences.  All but the first occurrence are removed.
@@ -35,17 +36,20 @@ from .scratch import materialize, small_batches
 
 LENGTH, GRAM, MAX_WINDOWS, BLOCK = 100, 28, 256, 300_000
 NO_ID = -(2**63)
-STRETCH = "mh long, sk long, doc long, start int, windows int, done boolean"
+STRETCH = "mh long, sk long, doc long, start int, windows int, inner boolean, done boolean"
 
 
 def stretches(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(minimiser, content hash, document index, start in the document, windows) of every stretch of windows with one minimiser."""
+    """(minimiser, content hash, document index, start in the document, windows, inner) of every stretch of windows with one minimiser.
+
+    ``inner`` is set if two windows of the stretch may be equal: its minimiser then stands in it twice.
+    """
     n = len(buf) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool))
     sums = K.prefix_sums(buf)
     at = np.arange(len(buf) - gram + 1)
-    least = K.span_hash(sums, at, at + gram)
+    least = own = K.span_hash(sums, at, at + gram)
     span, wide = length - gram + 1, 1
     while wide * 2 <= span:
         least = np.minimum(least[:-wide], least[wide:])
@@ -63,15 +67,30 @@ def stretches(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple
     new[off[:-1][off[:-1] < n]] = True
     head = np.flatnonzero(valid & new)
     if not len(head):
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool))
     doc = np.searchsorted(off, head, "right") - 1
     end = np.minimum(np.append(head[1:], n), off[doc + 1] - length + 1)
+    place = _least_places(own, least, span)
+    twin = np.flatnonzero(own[place[1:]] == own[place[:-1]])
+    # Between two places of a stretch's minimiser no window of it has another one, so they are neighbours here.
+    begin, finish = place[twin], np.append(place[twin + 1], len(buf) + length)
+    inner = finish[np.searchsorted(begin, head)] < end + span - 1
     if (parts := (end - head + MAX_WINDOWS - 1) // MAX_WINDOWS).max() > 1:  # a periodic text
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        end, doc = np.repeat(end, parts), np.repeat(doc, parts)
+        end, doc, inner = np.repeat(end, parts), np.repeat(doc, parts), np.repeat(inner, parts)
         head = np.repeat(head, parts) + nth * MAX_WINDOWS
         end = np.minimum(end, head + MAX_WINDOWS)
-    return least[head], K.span_hash(sums, head, end + length - 1), doc, head - off[doc], end - head
+    return least[head], K.span_hash(sums, head, end + length - 1), doc, head - off[doc], end - head, inner
+
+
+def _least_places(own: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
+    """Places whose hash is the least of a window of ``span`` places, ``least`` having that of each window."""
+    most, wide = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)]), 1
+    while wide * 2 <= span:
+        most = np.maximum(most[:-wide], most[wide:])
+        wide *= 2
+    most = np.maximum(most[: len(most) - (span - wide)], most[span - wide :])
+    return np.flatnonzero(own == most[: len(own)])
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,12 +109,12 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], np.maximum.reduceat(end, first)
 
 
-def _rows(mh: np.ndarray, sk: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, done: bool) -> Iterator[pa.RecordBatch]:
+def _rows(mh: np.ndarray, sk: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, inner: np.ndarray, done: bool) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(mh), 50_000):
         j = slice(i, i + 50_000)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(mh[j].view(np.int64)), pa.array(sk[j].view(np.int64)), pa.array(doc[j]), pa.array(start[j].astype(np.int32)), pa.array(windows[j].astype(np.int32)), pa.array(np.full(len(mh[j]), done))],
-            names=["mh", "sk", "doc", "start", "windows", "done"],
+            [pa.array(mh[j].view(np.int64)), pa.array(sk[j].view(np.int64)), pa.array(doc[j]), pa.array(start[j].astype(np.int32)), pa.array(windows[j].astype(np.int32)), pa.array(inner[j].astype(bool)), pa.array(np.full(len(mh[j]), done))],
+            names=["mh", "sk", "doc", "start", "windows", "inner", "done"],
         )
 
 
@@ -104,25 +123,25 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[
     size = 0
 
     def settle() -> Iterator[pa.RecordBatch]:
-        mh, sk, doc, start, win = (np.concatenate(x) for x in zip(*held, strict=True))
+        mh, sk, doc, start, win, inner = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((start, doc, sk, mh))
-        mh, sk, doc, start, win = mh[order], sk[order], doc[order], start[order], win[order]
+        mh, sk, doc, start, win, inner = mh[order], sk[order], doc[order], start[order], win[order], inner[order]
         first = np.ones(len(mh), bool)
         first[1:] = (mh[1:] != mh[:-1]) | (sk[1:] != sk[:-1])
         again = ~first
         head = np.flatnonzero(first)[np.cumsum(first) - 1]
         again &= (doc != doc[head]) | (start != start[head])
-        yield from _rows(mh[first], sk[first], doc[first], start[first], win[first], False)
+        yield from _rows(mh[first], sk[first], doc[first], start[first], win[first], inner[first], False)
         d, s, e = merged(doc[again], start[again], start[again] + win[again] + length - 1)
         salt = K.hash_ints(d.view(np.uint64) ^ s.astype(np.uint64), 5)
-        yield from _rows(salt, salt, d, s, e - s - length + 1, True)
+        yield from _rows(salt, salt, d, s, e - s - length + 1, np.zeros(len(d), bool), True)
 
     for b in batches:
         ids = np.asarray(b.column(0).fill_null(NO_ID))
         for lo, hi, buf, off in K.slices(b.column(1)):
-            mh, sk, doc, start, win = stretches(buf, off, length, gram)
-            held.append((mh, sk, ids[lo:hi][doc], start, win))
+            mh, sk, doc, start, win, inner = stretches(buf, off, length, gram)
+            held.append((mh, sk, ids[lo:hi][doc], start, win, inner))
             size += len(mh)
             if size >= BLOCK:
                 yield from settle()
@@ -132,14 +151,14 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (mh, sk, doc, start).  Out: repeats (done) and the first stretches of minimisers with several."""
+    """Rows come sorted by (mh, sk, doc, start).  Out: repeats (done) and the first stretches of minimisers with several, or with ``inner``."""
     last: tuple | None = None  # mh, sk, doc, start of the row before
     lone: tuple | None = None  # the only stretch so far of the minimiser before, not sent
     for b in batches:
         if not b.num_rows:
             continue
         mh, sk, doc, start, win = (np.asarray(b.column(i)) for i in range(5))
-        passed = np.asarray(b.column(5).to_numpy(zero_copy_only=False), bool)
+        inner, passed = (np.asarray(b.column(i).to_numpy(zero_copy_only=False), bool) for i in (5, 6))
         new_mh, new_sk = np.ones(len(mh), bool), np.ones(len(mh), bool)
         new_mh[1:] = mh[1:] != mh[:-1]
         new_sk[1:] = new_mh[1:] | (sk[1:] != sk[:-1])
@@ -154,19 +173,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new_mh)[heads]
         count = np.bincount(group, minlength=int(new_mh.sum()) + 1)
         carried = not new_mh[0]
-        several = count[group] > 1
+        several = (count[group] > 1) | inner[heads]
         if carried and count[0]:
             several |= group == 0
             if lone is not None:
-                yield from _rows(*(np.array([x], t) for x, t in zip(lone, (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True)), False)
+                yield from _rows(*(np.array([x], t) for x, t in zip(lone, (np.int64, np.int64, np.int64, np.int32, np.int32, bool), strict=True)), False)
                 lone = None
-        yield from _rows(mh[gone], sk[gone], doc[gone], start[gone], win[gone], True)
+        yield from _rows(mh[gone], sk[gone], doc[gone], start[gone], win[gone], inner[gone], True)
         sent = heads[several]
-        yield from _rows(mh[sent], sk[sent], doc[sent], start[sent], win[sent], False)
+        yield from _rows(mh[sent], sk[sent], doc[sent], start[sent], win[sent], inner[sent], False)
         tail = heads[group == group.max()] if len(heads) else heads
         if not (carried and not new_mh.any()):
             ends_here = len(tail) == 1 and mh[tail[0]] == mh[-1] and not several[-1]
-            lone = (mh[tail[0]], sk[tail[0]], doc[tail[0]], start[tail[0]], win[tail[0]]) if ends_here else None
+            lone = (mh[tail[0]], sk[tail[0]], doc[tail[0]], start[tail[0]], win[tail[0]], False) if ends_here else None
         last = (mh[-1], sk[-1], doc[-1], start[-1])
 
 

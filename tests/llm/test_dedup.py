@@ -76,6 +76,29 @@ def test_repeats_of_defined_cases(spark):
     assert repeats.remove_repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "data",
+    [["a" * 200], [" auf" * 42], ["a" * 611], ["a" * 611, "a" * 611], ["x" * 30 + "".join(map(chr, range(40, 113))) * 4], [" ".join(f"n{i}" for i in range(90)) + "ab" * 75 + " ".join(f"m{i}" for i in range(90))]],
+)
+def test_repeats_inside_one_stretch_are_the_brute_force(spark, data):
+    data = list(enumerate(data))
+    got = [tuple(r)[:4] + (bytes(r.kept),) for r in repeats.remove_repeats(documents(spark, texts(data))).collect()]
+    assert sorted(got, key=str) == sorted(removed_by_force(data, 100), key=str)
+    assert sum(r[2] for r in got) > 0
+
+
+@pytest.mark.parametrize("period", [1, 2, 5, 40, 73])
+def test_stretches_that_hold_equal_windows_are_marked(period):
+    rng = random.Random(period)
+    for _ in range(20):
+        text = "".join(rng.choices("abcdefgh", k=60)) + ("".join(rng.choices("abcdefgh", k=period)) * 400)[: rng.randrange(90, 420)] + "".join(rng.choices("abcdefgh", k=60))
+        raw = text.encode()
+        buf, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        for *_, start, n, inner in zip(*repeats.stretches(buf, off, 100, 28), strict=True):
+            windows = [raw[i : i + 100] for i in range(start, start + n)]
+            assert inner or len(set(windows)) == n
+
+
 def test_maximal_repeats_have_all_occurrences():
     parts = [b"xabcdefgy", b"zabcdefgw", b"qabcdefgabcde"]
     buf, off = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
