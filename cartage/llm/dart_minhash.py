@@ -17,8 +17,9 @@ classes by label propagation with pointer jumping on shared tables.
 Vertices are distinct shingle sets, so copies cost one row in one aggregation.
 
 Defined cases: null text is empty; texts without words are one class (equal sets); a text of fewer than five words has one
-shingle of all its words; rows that repeat an id are members like any other; null ids sort lowest; other columns are
-ignored; an empty table gives an empty result.
+shingle of all its words; rows that repeat an id are members like any other; a class's id is its smallest id that is
+not null; the row with that id stays, of several the one with the smallest text digest, so a class keeps one text; rows that
+repeat an id and text share the verdict; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -149,7 +150,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int)
             band += np.arange(bands, dtype=np.uint64) * _U(0xA0761D6478BD642F)
             size = np.bincount(doc, minlength=n).astype(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(key.view(np.int64)), pa.array(size), flat], names=["doc_id", "v", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(key.view(np.int64)), pa.array(size), flat], names=["doc_id", "digest", "v", "size", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -166,10 +167,14 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """(doc_id, v: key of the shingle set, size, bands) of every row."""
+    """(doc_id, digest of the text, v: key of the shingle set, size, bands) of every row."""
     small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(partial(_sign, bands=bands, rows=rows, width=width), "doc_id long, v long, size long, bands array<long>")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _digest(text_col).alias("digest"))
+    return src.mapInArrow(partial(_sign, bands=bands, rows=rows, width=width), "doc_id long, digest binary, v long, size long, bands array<long>")
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def _similarity(batches: Iterator[pa.RecordBatch], differences: bool) -> Iterator[pa.RecordBatch]:
@@ -244,6 +249,11 @@ def classes_of(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest id of its class), class_size, kept, n_shingles."""
+    return _verdicts(docs, id_col, text_col, threshold, bands, rows, width).drop("digest")
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """The rows of ``near_duplicates`` with the digest of their text."""
     sig = materialize(signatures(docs, id_col, text_col, bands, rows, width))
     vertices = sig.where("size > 0").groupBy("v").agg(F.min("bands").alias("bands"))
     at = materialize(vertices.select("v", F.explode("bands").alias("b")))
@@ -268,18 +278,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         still = compared.where(F.col("sim") < threshold).select(F.col("x").alias("m"), F.col("y").alias("v"))
         inside = materialize(met.join(still, ["m", "v"]).select("b", "v", "w"))
     labels = classes_of(links) if links is not None else None
-    rowsets = sig.select("doc_id", "v", "size")
+    rowsets = sig.select("doc_id", "digest", "v", "size")
     if labels is not None:
-        rowsets = materialize(rowsets.join(labels, "v", "left").select("doc_id", F.coalesce("c", "v").alias("c"), "size"))
+        rowsets = materialize(rowsets.join(labels, "v", "left").select("doc_id", "digest", F.coalesce("c", "v").alias("c"), "size"))
     else:
         rowsets = rowsets.withColumnRenamed("v", "c")
-    groups = rowsets.groupBy("c").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
+    groups = rowsets.groupBy("c").agg(lead.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     out = attach_groups(rowsets, groups, ["c"], "n")
-    first = F.when(F.col("n").isNotNull(), F.col("first")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", first.alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"), F.col("doc_id").eqNullSafe(first).alias("kept"), F.col("size").alias("n_shingles"))
+    alone = F.col("n").isNull()
+    first = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
+    return out.select("doc_id", first.alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"), kept.alias("kept"), F.col("size").alias("n_shingles"), "digest")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class; columns are unchanged."""
-    gone = materialize(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` with one row of each class, known by id and text; columns are unchanged."""
+    verdicts = materialize(_verdicts(docs, id_col, text_col))
+    gone = materialize(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": _digest(text_col)})
+    stay = keyed.join(gone.withColumnsRenamed({"__id": "__gone", "__digest": "__lost"}), F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__lost")), "left_anti")
+    again = verdicts.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
+    return (stay if again.isEmpty() else stay.dropDuplicates(["__id", "__digest"])).drop("__id", "__digest")

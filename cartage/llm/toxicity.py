@@ -24,7 +24,7 @@ from functools import partial
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -169,21 +169,29 @@ def _score(batches: Iterator[pa.RecordBatch], model: dict, keep: bool = False) -
     for b in batches:
         found = [raw_score(fold(t), a) for t in b.column(1).to_pylist()]
         cols = [b.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())]
-        yield pa.RecordBatch.from_arrays([*cols, *([b.column(2)] if keep else [])], names=["doc_id", "raw", "matches", *(["toxic"] if keep else [])])
+        yield pa.RecordBatch.from_arrays([*cols, *([b.column(2)] if keep else [])], names=[b.schema.names[0], "raw", "matches", *(["toxic"] if keep else [])])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int = MAX_TERMS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, matches."""
-    small_batches(docs.sparkSession)
-    model = learn_lexicon(training_rows(docs, labels, sample), max_terms)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(partial(_score, model=model), "doc_id long, raw double, matches long")
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(2.0) * (F.col("raw") - F.lit(model["middle"]))))
+    scored, score = _scores(docs, labels, rows, "doc_id long", sample, max_terms)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "matches")
 
 
+def _scores(docs: DataFrame, labels: DataFrame, rows: DataFrame, key: str, sample: int = SAMPLE, max_terms: int = MAX_TERMS) -> tuple[DataFrame, Column]:
+    """(``rows`` of a key and a text with raw score and matches, the column of the score), learnt from ``docs``."""
+    small_batches(docs.sparkSession)
+    model = learn_lexicon(training_rows(docs, labels, sample), max_terms)
+    scored = rows.mapInArrow(partial(_score, model=model), f"{key}, raw double, matches long")
+    return scored, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(2.0) * (F.col("raw") - F.lit(model["middle"]))))
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic; columns are unchanged."""
-    bad = materialize(score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """``docs`` without the rows predicted toxic; columns are unchanged.  The verdict follows the text, so rows go by its digest, not by id."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    digest = F.unhex(F.sha2(text.cast("binary"), 256))
+    scored, score = _scores(docs, labels, docs.select(digest.alias("__bad"), text.alias("text")), "__bad binary")
+    bad = materialize(scored.where(score >= 0.5).select("__bad").distinct())
+    return docs.join(bad, digest == F.col("__bad"), "left_anti")

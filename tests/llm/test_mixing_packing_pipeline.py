@@ -4,7 +4,7 @@ import math
 import random
 
 import corpus_pipeline
-from cartage.llm import mixing, packing
+from cartage.llm import dart_minhash, mixing, packing, toxicity
 from pyspark.sql import functions as F
 
 from .fixtures import documents, rows, texts
@@ -113,3 +113,26 @@ def test_empty_pipeline(spark, tmp_path):
     documents(spark, texts([])).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rejected_rows_take_no_other_row_of_their_id_along(spark):
+    rng = random.Random(12)
+    text = [" ".join(f"q{k}w{rng.randrange(10**6)}" for _ in range(60)) for k in range(6)]
+    data = [(None, text[0]), (None, text[1]), (1, text[1] + " tail"), (None, text[2]), (None, text[2] + " tail")]
+    data += [(5, text[3]), (4, text[3] + " tail"), (5, text[4]), (9, text[4] + " tail"), (7, text[5]), (7, text[5] + " tail"), (7, text[5])]
+    docs = documents(spark, texts(data))
+    kept = sorted((str(r.doc_id), r.text) for r in dart_minhash.drop_near_duplicates(docs).collect())
+    by_class = [[k for k in kept if k[1].startswith(t)] for t in text]
+    assert [len(k) for k in by_class] == [1] * 6 and len(kept) == 6
+    assert [k[0][0] for k in by_class] == ["None", "1", "None", "4", "5", "7"]
+    flagged = dart_minhash.near_duplicates(docs).where("kept").collect()
+    assert sorted({str(r.doc_id) for r in flagged}) == sorted({k[0] for k in kept})
+
+
+def test_toxic_rows_take_no_clean_row_of_their_id_along(spark):
+    rng = random.Random(13)
+    train = [(i, f"calm words {rng.randrange(10**6)} {'moron' if i % 2 else 'person'} " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(20))) for i in range(60)]
+    mixed = [(None, "a moron"), (None, "a person"), (None, None), (500, "the moron"), (500, "the person")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = [(r.doc_id, r.text) for r in toxicity.drop_toxic(documents(spark, texts(train + mixed)), labels).collect()]
+    assert sorted((k for k in kept if k[0] is None or k[0] >= 500), key=str) == sorted([(None, "a person"), (None, None), (500, "the person")], key=str)
