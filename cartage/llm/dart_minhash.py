@@ -1,10 +1,11 @@
 """Operator 9: near-duplicates by DartMinHash.
 
-Elements are 5-word shingles with weight 1 + ln(count).  Every unit of weight throws hashed darts: in cell c of the rank
+Elements are 5-word shingles, each of weight 1, as what is accepted is the similarity of plain sets: the search then finds a
+pair by the very measure that accepts it, however often a text repeats itself.  Every unit of weight throws hashed darts: in cell c of the rank
 axis a Poisson number of them, at hashed ranks and weights; a dart counts if its weight lies below the element's.  Ranks
 are thrown up to a bound that gives about k ln k + 2k darts a document, so the work follows the number of darts, not
 elements times coordinates.  A dart falls on one of ``k`` coordinates and each coordinate keeps its earliest dart; where one
-stays empty the bound is doubled.  Two documents agree on a coordinate with the probability of their weighted similarity.
+stays empty the bound is doubled.  Two documents agree on a coordinate with the probability of their similarity.
 
 Bands of coordinates are joined.  Inside a bucket every document is compared exactly (set similarity of shingles) with one
 leader, its most central member, never all pairs.  Members that reach the threshold are settled.  What a member lacks or has
@@ -141,9 +142,9 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int)
     for b in batches:
         for lo, hi, buf, off in K.slices(b.column(1)):
             n = hi - lo
-            sh, doc, count = weighted_shingles(buf, off, width)
+            sh, doc, _ = weighted_shingles(buf, off, width)
             key = _set_hash(sh, doc, n)
-            sig = dart_signatures(sh, doc, 1 + np.log(np.maximum(count, 1)), n, bands * rows)
+            sig = dart_signatures(sh, doc, np.ones(len(sh)), n, bands * rows)
             band = np.zeros((n, bands), np.uint64)
             for r in range(rows):
                 band = K.mix(band * _U(0x9E3779B97F4A7C15) + sig[:, r::rows][:, :bands])

@@ -163,6 +163,16 @@ def test_near_duplicate_classes_of_large_groups_are_the_brute_force(spark):
     assert got == classes_by_force(data)[0]
 
 
+def test_texts_written_several_times_over_meet_the_single_one(spark):
+    rng = random.Random(21)
+    data = []
+    for k in range(120):
+        text = words(rng, 60, 10**6)
+        data += [(2 * k, text), (2 * k + 1, " ".join([text] * (2, 3, 5, 10)[k % 4]))]
+    got = sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in dart_minhash.near_duplicates(documents(spark, texts(data))).collect())
+    assert got == sorted((str(i), str(i - i % 2), 2) for i, _ in data)
+
+
 def test_differences_meet_all_links_of_open_members(spark):
     rng = random.Random(5)
     base = [rng.randrange(2**32) for _ in range(60)]
