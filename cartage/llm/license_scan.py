@@ -103,7 +103,7 @@ def evaluate(rpn: list[str]) -> tuple[bool, list[str]]:
 def tag_tokens(line: str) -> list[str]:
     """The longest run of tokens from the line's start that alternates licences and operators, brackets aside."""
     found, operand, depth = [], True, 0
-    for t in TOKEN.findall(line)[:64]:
+    for t in map(re.Match.group, TOKEN.finditer(line)):
         if t in BINDS or t == ")":
             if operand or (t == ")" and not depth):
                 break

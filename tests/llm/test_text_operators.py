@@ -35,6 +35,16 @@ def test_malformed_expressions_have_no_value(bad):
     assert license_scan.to_rpn(bad.split()) is None
 
 
+@pytest.mark.parametrize("joined", [" AND {}", " AND ({}"])
+def test_long_expressions_are_read_whole(joined):
+    names = [f"lic-{i}" for i in range(80)]
+    line = "SPDX-License-Identifier: MIT" + "".join(joined.format(x) for x in [*["ISC"] * 79, *names, "GPL-3.0"]) + ")" * (joined.count("(") * 160)
+    got = license_scan.scan_text(f"a\n{line}\nb")
+    assert set(got["labels"].split(",")) == {"mit", "isc", "gpl-3.0", *names}
+    assert (got["permissive"], got["score"]) == (False, 1.0)
+    assert got["expression"].endswith("gpl-3.0" + " )" * (joined.count("(") * 160))
+
+
 def test_media_round_trip(spark):
     import hashlib
 
