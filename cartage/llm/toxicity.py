@@ -2,8 +2,8 @@
 
 Texts are folded first: ASCII and lookalike letters to one lower-case form, digits that stand for letters inside words,
 zero-width characters dropped.  Terms are whole words and word beginnings of 4 to 6 letters, so that inflected and
-suffixed forms count.  Their weights are smoothed log odds over the labelled training rows; rows that share a MinHash of
-their shingles count once, so that copies do not make their rare words look toxic.  Phrases of two words that hold a
+suffixed forms count.  Their weights are smoothed log odds over the labelled training rows; a term counts once for all
+rows that share a MinHash of their shingles, so that copies do not make their rare words look toxic.  Phrases of two words that hold a
 lexicon word but stand mostly in clean rows become exceptions.  One Aho-Corasick pass finds terms and exceptions; a
 word counts by its heaviest term, each word once, and the sum is divided by a slow function of the text's length.
 
@@ -16,6 +16,7 @@ repeated rows get equal scores; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -67,17 +68,21 @@ def terms_of(words: list[str]) -> set[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], keep: set[str] | None) -> Iterator[pa.RecordBatch]:
-    """Rows (toxic, text) once per sketch and class: terms, or with ``keep`` two-word phrases that hold one of those words."""
-    seen: set[tuple[int, int]] = set()
+    """The terms of every row (toxic, text) with its sketch, or with ``keep`` two-word phrases that hold one of those words.
+
+    Equal texts of a class have equal terms and are read once.
+    """
+    seen: set[tuple[int, bytes]] = set()
     for b in batches:
         for lo, hi, buf, off in K.slices(b.column(1)):
             sh, doc = K.shingles(*K.words(K.LOWER[buf], off))
             least = np.full(hi - lo, np.iinfo(np.uint64).max, np.uint64)
             np.minimum.at(least, doc, K.hash_ints(sh, 23))
             for toxic, text, h in zip(b.column(0)[lo:hi].to_pylist(), b.column(1)[lo:hi].to_pylist(), least.tolist(), strict=True):
-                if (toxic, h) in seen:
+                same = (toxic, hashlib.blake2b((text or "").encode(), digest_size=16).digest())
+                if same in seen:
                     continue
-                seen.add((toxic, h))
+                seen.add(same)
                 words = fold(text)
                 found = terms_of(words) if keep is None else {f"{a} {z} " for a, z in zip(words, words[1:], strict=False) if a in keep or z in keep}
                 yield pa.RecordBatch.from_arrays(

@@ -213,3 +213,13 @@ def test_toxicity_on_held_out_documents(spark):
     found = toxicity.score_toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels).where("held_out").join(labels.where("toxic is not null"), "doc_id").select("predicted", "toxic").collect()
     right = [sum(r.predicted == r.toxic == k for r in found) / max(1, sum(r.toxic == k for r in found)) for k in (0, 1)]
     assert min(right) > 0.9, right
+
+
+def test_words_of_all_rows_of_one_sketch_are_counted(spark):
+    base = [f"t{k}" for k in range(400)]  # long, so that rows which differ in one word share their MinHash nearly always
+    toxic = [(1, " ".join([*base, f"insult{i}"])) for i in range(6)]
+    for order in (toxic, toxic[::-1]):
+        rows_ = spark.createDataFrame(order + [(0, "calm words")], "toxic int, text string").coalesce(1)
+        counts, t, n = toxicity._weights(rows_)
+        assert {f"insult{i} " for i in range(6)} <= {r.term for r in counts.where("t >= 1").collect()}
+        assert 1 <= t <= 6 and n == 1
