@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed weights, scales and orders.
@@ -54,9 +54,9 @@ def compare(gaps: dict[str, Column], weights: dict[str, float] | None = None) ->
     )
 
 
-def top_matches(query: DataFrame, candidates: DataFrame, join: Column, gaps: dict[str, Column], order: list[Column], k: int = 10, max_queries: int = 1000) -> DataFrame:
-    """The k best candidates over a stated set of queries (one block of at most ``max_queries`` rows, which is broadcast)."""
-    if query.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; call in blocks")
-    scored = candidates.join(F.broadcast(query), join).withColumn("cmp", compare(gaps)).where("cmp.comparable")
-    return scored.orderBy(F.desc("cmp.score"), *order).limit(k)
+def top_matches(query: DataFrame, candidates: DataFrame, join: Column, gaps: dict[str, Column], order: list[Column], query_key: str, k: int = 10, max_queries: int = 1000) -> DataFrame:
+    """The k best candidates of each query of a stated set; a set of at most ``max_queries`` rows is broadcast."""
+    side = F.broadcast(query) if query.limit(max_queries + 1).count() <= max_queries else query
+    scored = candidates.join(side, join).withColumn("cmp", compare(gaps)).where("cmp.comparable")
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("cmp.score"), *order))
+    return scored.withColumn("place", place).where(F.col("place") <= k)

@@ -202,11 +202,12 @@ def similar_topk(spark, d):
     return _similar(spark, d).select("p_partkey", F.col("cmp.score").alias("score"))
 
 
-def _similar(spark, d):
+def _similar(spark, d, every=False):
+    """The best matches of the first part, or of every part whose key is divisible by 100."""
     p = t(spark, d, "part")
-    q = p.orderBy("p_partkey").limit(1).select(*[F.col(c).alias(f"q_{c}") for c in p.columns])
+    q = (p.where("p_partkey % 100 = 0") if every else p.orderBy("p_partkey").limit(1)).select(*[F.col(c).alias(f"q_{c}") for c in p.columns])
     gaps = {"home_size": similarity.scaled_gap(F.col("p_size"), F.col("q_p_size"), 10.0), "distance_miles": similarity.scaled_gap(F.col("p_retailprice"), F.col("q_p_retailprice"), 500.0), "packing_service": F.when(F.col("p_type") == F.col("q_p_type"), 0.0).otherwise(1.0)}
-    return similarity.top_matches(q, p, F.col("p_partkey") != F.col("q_p_partkey"), gaps, [F.col("p_partkey")])
+    return similarity.top_matches(q, p, F.col("p_partkey") != F.col("q_p_partkey"), gaps, [F.col("p_partkey")], "q_p_partkey")
 
 
 @query(SIMILAR + """ SELECT (SELECT count(*) FROM s) AS comparable_count, count(*) AS used, round(median(p_retailprice), 6) AS median_price, round(quantile_cont(p_retailprice::DOUBLE, 0.25), 6) AS q1, round(quantile_cont(p_retailprice::DOUBLE, 0.75), 6) AS q3 FROM k""")
@@ -216,6 +217,24 @@ def similar_signals(spark, d):
     return every.crossJoin(top)  # one row each
 
 
+SIMILAR_EACH = """WITH q AS (SELECT * FROM part WHERE p_partkey % 100 = 0),
+s AS (SELECT q.p_partkey AS query_id, p.p_partkey, p.p_retailprice, (30 * least(abs(p.p_size - q.p_size) / 10.0, 1) + 20 * least(abs(p.p_retailprice - q.p_retailprice) / 500.0, 1) + 8 * CASE WHEN p.p_type = q.p_type THEN 0 ELSE 1 END) / 58.0 AS gap
+  FROM part p, q WHERE p.p_partkey <> q.p_partkey), r AS (SELECT query_id, p_partkey, p_retailprice, round(1 - gap, 4) AS score FROM s),
+k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) <= 10)"""
+
+
+@query(SIMILAR_EACH + " SELECT query_id, p_partkey, score FROM k")
+def similar_topk_each(spark, d):
+    return _similar(spark, d, True).select(F.col("q_p_partkey").alias("query_id"), "p_partkey", F.col("cmp.score").alias("score"))
+
+
+@query(SIMILAR_EACH + """ SELECT query_id, (SELECT count(*) - 1 FROM part) AS comparable_count, count(*) AS used, round(median(p_retailprice), 6) AS median_price, round(quantile_cont(p_retailprice::DOUBLE, 0.25), 6) AS q1, round(quantile_cont(p_retailprice::DOUBLE, 0.75), 6) AS q3 FROM k GROUP BY 1""")
+def similar_signals_each(spark, d):
+    every = t(spark, d, "part").agg((F.count(F.lit(1)) - 1).alias("comparable_count"))
+    top = _similar(spark, d, True).groupBy(F.col("q_p_partkey").alias("query_id")).agg(F.count(F.lit(1)).alias("used"), F.round(F.median("p_retailprice"), 6).alias("median_price"), F.expr("round(percentile(p_retailprice, 0.25), 6)").alias("q1"), F.expr("round(percentile(p_retailprice, 0.75), 6)").alias("q3"))
+    return top.crossJoin(F.broadcast(every))  # one row on the right
+
+
 @query("""WITH x AS (SELECT event_id, user_id % 7 AS tenant, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS ref, user_id || ':' || event_type AS fp FROM events),
 a AS (SELECT *, ref IS NOT NULL AND row_number() OVER (PARTITION BY tenant, ref ORDER BY event_id) > 1 AS rd FROM x),
 b AS (SELECT *, max(CASE WHEN rd THEN 0 ELSE 1 END) OVER (PARTITION BY tenant, fp ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)
