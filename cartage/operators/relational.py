@@ -46,14 +46,22 @@ def flag_duplicates(rows: DataFrame, order: str, ref: str, print_col: str, known
 
 
 def chain_heads(links: DataFrame, key: str, successor: str, max_hops: int = 50) -> DataFrame:
-    """(key, head, hops): the end of each row's chain of successors, by pointer doubling: 6 joins cover 50 hops, not 50."""
-    at = links.select(F.col(key).alias("key"), F.coalesce(successor, key).alias("head"), F.when(F.col(successor).isNull(), 0).otherwise(1).alias("hops"))
+    """(key, head, hops), one row per key: the end of its chain of successors, by pointer doubling: 6 joins cover 50 hops, not 50.
+
+    A longer chain gives the link reached after ``max_hops``, a cycle the link that the walk comes to a second time.
+    """
+    after = F.col(successor)
+    at = links.select(F.col(key).alias("key"), F.when(after.isNull(), F.array().cast(f"array<{links.schema[successor].dataType.simpleString()}>")).otherwise(F.array(after)).alias("path"))
     reach = 1
     while reach < max_hops:
-        nxt = at.select(F.col("key").alias("head"), F.col("head").alias("further"), F.col("hops").alias("more"))
-        at = at.join(nxt, "head", "left").select("key", F.coalesce("further", "head").alias("head"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        nxt = at.select(F.col("key").alias("head"), F.col("path").alias("more"))
+        at = at.withColumn("head", F.coalesce(F.try_element_at("path", F.lit(-1)), "key")).join(nxt, "head", "left")
+        at = at.select("key", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"))
         reach *= 2
-    return at.where(F.col("hops") <= max_hops)
+    walk = at.select("key", F.concat(F.array("key"), F.slice("path", 1, max_hops)).alias("walk"))
+    # From its first repeated link on a walk only repeats, so that link comes after all the different ones.
+    walk = walk.withColumn("hops", F.least(F.size(F.array_distinct("walk")), F.size("walk") - 1))
+    return walk.select("key", F.element_at("walk", F.col("hops") + 1).alias("head"), "hops")
 
 
 def new_version(configs: DataFrame, incoming: DataFrame, key: str = "company_id") -> DataFrame:

@@ -172,3 +172,18 @@ def test_every_query_has_its_own_best_matches(spark):
     for most in (1000, 2):  # a set beyond the bound is not broadcast, with equal results
         got = similarity.top_matches(q, rows, F.col("id") != F.col("q_id"), {"home_size": similarity.scaled_gap(F.col("v"), F.col("q_v"), 50.0), "distance_miles": F.lit(0.0)}, [F.col("id")], "q_id", 2, most).collect()
         assert {(r.q_id, r.id) for r in got} == {(0, 1), (0, 2), (10, 9), (10, 11), (20, 19), (20, 21), (30, 29), (30, 31)}
+
+
+def test_long_chains_and_cycles_stop_where_the_reference_does(spark):
+    links = {i: i + 1 if i < 60 else None for i in range(61)} | {100: 101, 101: 102, 102: 103, 103: 101} | {200: 200}
+    links |= {i: i + 1 if i < 359 else 310 for i in range(300, 360)}
+
+    def resolve(key):
+        seen, at, hops = set(), key, 0
+        while hops < 50 and links[at] is not None and at not in seen:
+            seen.add(at)
+            at, hops = links[at], hops + 1
+        return key, at, hops
+
+    got = {tuple(r) for r in relational.chain_heads(spark.createDataFrame(list(links.items()), "k int, nxt int"), "k", "nxt").collect()}
+    assert got == {resolve(k) for k in links} and (0, 50, 50) in got and (100, 101, 4) in got and (200, 200, 1) in got
