@@ -288,6 +288,11 @@ def content_fingerprint(spark, d):
     return t(spark, d, "documents").where(F.col("lang").isin("en", "de")).select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.query_fingerprint(F.col("text")).alias("print"))
 
 
+@query("SELECT doc_id, sha256('text:' || text) AS content_hash, substr(sha256(lower(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '^ | $', '', 'g'))), 1, 12) AS print FROM documents")
+def content_fingerprint_all(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.query_fingerprint(F.col("text")).alias("print"))
+
+
 VECTOR = """WITH q AS (SELECT vec_id AS query_id, embedding AS e, label AS ql FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS chunk_id, ql = label AS relevant, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings WHERE vec_id <> query_id),
 v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS vector_rank FROM s),"""
 
@@ -354,12 +359,22 @@ def quality_slices(spark, d):
 @query("""WITH m AS (SELECT conv_id, turn * 2 AS pos, role, text FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, 'tool', left(text, 10) FROM conversations WHERE role = 'assistant')
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, role, text) AS position, role, sha256(text) AS text_sha FROM m""")
 def transcript_replay(spark, d):
+    return _transcript(spark, d, F.substring("text", 1, 10))
+
+
+def _transcript(spark, d, tool_text):
     own = F.struct((F.col("turn") * 2).alias("pos"), "role", "text")
-    tool = F.when(F.col("role") == "assistant", F.struct((F.col("turn") * 2 + 1).alias("pos"), F.lit("tool").alias("role"), F.substring("text", 1, 10).alias("text")))
+    tool = F.when(F.col("role") == "assistant", F.struct((F.col("turn") * 2 + 1).alias("pos"), F.lit("tool").alias("role"), tool_text.alias("text")))
     m = t(spark, d, "conversations").select("conv_id", F.explode(F.array_compact(F.array(own, tool))).alias("m")).select("conv_id", "m.*")
     return m.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("pos", "role", "text")).cast("long").alias("position"), "role", F.sha2("text", 256).alias("text_sha"))
 
 
+@query("""WITH m AS (SELECT conv_id, turn * 2 AS pos, role, text FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, 'tool', text FROM conversations WHERE role = 'assistant')
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, role, text) AS position, role, sha256(text) AS text_sha FROM m""")
+def transcript_replay_whole(spark, d):
+    return _transcript(spark, d, F.col("text"))
+
+
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def event_claim(spark, d):
     return state.claim(t(spark, d, "events").select("user_id", "event_type", "event_id"), None, ["user_id", "event_type"], "event_id")

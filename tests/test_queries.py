@@ -40,6 +40,13 @@ def test_query_is_its_sql(spark, duck, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
 
 
+def test_fingerprints_and_transcripts_are_whole(spark, duck):
+    of = plans.QUERIES["content_fingerprint_all"](spark, DATA)
+    assert sorted(r.doc_id for r in of.collect()) == sorted(x for (x,) in duck.execute("SELECT doc_id FROM documents").fetchall())
+    said = {r.text_sha for r in plans.QUERIES["transcript_replay_whole"](spark, DATA).where("role = 'assistant'").collect()}
+    assert said == {r.text_sha for r in plans.QUERIES["transcript_replay_whole"](spark, DATA).where("role = 'tool'").collect()}
+
+
 def test_sliding_limit_is_the_fold(spark):
     rows = spark.read.parquet(f"{DATA}/events.parquet").collect()
     from collections import defaultdict
