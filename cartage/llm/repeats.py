@@ -2,27 +2,26 @@
 
 A repeat of ``length`` bytes is found where it can be found once: every window of that many bytes is assigned to the
 smallest hash of the ``gram``-byte strings inside it (its minimiser), so equal windows always meet under one key.
-Neighbouring windows under one key travel together as a stretch.
-
-1. Each task cuts its texts into stretches, settles equal stretches among its own rows, and sends one of each on.
-2. Stretches are dealt by minimiser and streamed in sorted order: a stretch seen before is removed; the first ones of a
-   minimiser that has several different stretches are passed on, as they may share only part of their windows, and so is
-   a lone one that has its minimiser more than once, as its own windows may be equal (a periodic passage).
-3. Those are compared by an enhanced suffix array per block of minimisers: suffixes of at least ``length`` bytes are
-   sorted, their longest common prefixes form an interval tree, a stack scan walks it, and every interval whose left
-   extensions differ is a maximal repeat with all its occurrences.  All but the first occurrence are removed.
-4. A minimiser with more than ``hot`` different stretches would make one task's block unbounded.  Its windows are met by
-   digest instead, in an aggregation that combines before the shuffle; the result is the same.
-
-Defined cases: null text is empty; texts shorter than ``length`` keep every byte; null ids are one document before all
-others; rows that repeat an id and text are one document, so neither loses bytes to the other; an id that stands for
-different texts has the removals of each applied to all, cut to their length; other columns are ignored; an empty table
-gives an empty result.
+Neighbouring windows under one key travel together as a stretch; equal stretches are a class.
+
+1. Each task cuts its texts into stretches and sends the first two of a class among its own rows on.
+2. Stretches are dealt by minimiser and streamed in sorted order.  The first two of each class are passed on to the
+   tree, unless a stretch is the only one of its minimiser and no two windows of it can be equal.
+3. An enhanced suffix array per block of minimisers decides: suffixes of at least ``length`` bytes are sorted, their
+   longest common prefixes form an interval tree, a stack scan walks it, and every interval whose left extensions differ
+   is a maximal repeat with all its occurrences.  All but the first occurrence are removed.  A third or later stretch of
+   a class goes as the second does, so a class of any size puts two texts into the tree.
+4. A minimiser with more than ``hot`` stretches would make one task's block unbounded.  Its stretches are cut anew with
+   longer grams and take the same way; with grams of ``length`` bytes a minimiser has a bounded number of classes.
+
+Defined cases: null text is empty; texts shorter than ``length`` keep every byte; a text of any length is cut in one
+task, in memory of some 100 times its size; null ids come before all others; rows that repeat an id and text are one
+document, so neither loses bytes to the other; different texts of one id are different documents, ordered by a hash of
+the text; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -36,7 +35,10 @@ from .scratch import materialize, small_batches
 
 LENGTH, GRAM, MAX_WINDOWS, BLOCK = 100, 28, 256, 300_000
 NO_ID = -(2**63)
-STRETCH = "mh long, sk long, doc long, start int, windows int, inner boolean, done boolean"
+STRETCH = "mh long, sk long, doc long, sub long, start int, windows int, inner boolean, done boolean"
+NAMES = ["mh", "sk", "doc", "sub", "start", "windows", "inner", "done"]
+TYPES = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, bool)
+Columns = tuple[np.ndarray, ...]  # the first seven of NAMES
 
 
 def stretches(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -93,55 +95,61 @@ def _least_places(own: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(own == most[: len(own)])
 
 
-def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unions of spans that touch or overlap, by document."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
+def merged(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, end: np.ndarray) -> Columns:
+    """(doc, sub, start, end) of the unions of spans that touch or overlap, by document."""
+    order = np.lexsort((start, sub, doc))
+    doc, sub, start, end = doc[order], sub[order], start[order].astype(np.int64), end[order].astype(np.int64)
     if not len(doc):
-        return doc, start, end
+        return doc, sub, start, end
     fresh = np.ones(len(doc), bool)
-    fresh[1:] = doc[1:] != doc[:-1]
-    group = np.cumsum(fresh) - 1
-    shift = group * (int(end.max()) + 1)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])
+    shift = (np.cumsum(fresh) - 1) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + shift)
     fresh[1:] |= (start + shift)[1:] > reach[:-1]
     first = np.flatnonzero(fresh)
-    return doc[first], start[first], np.maximum.reduceat(end, first)
+    return doc[first], sub[first], start[first], np.maximum.reduceat(end, first)
 
 
-def _rows(mh: np.ndarray, sk: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, inner: np.ndarray, done: bool) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(mh), 50_000):
-        j = slice(i, i + 50_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(mh[j].view(np.int64)), pa.array(sk[j].view(np.int64)), pa.array(doc[j]), pa.array(start[j].astype(np.int32)), pa.array(windows[j].astype(np.int32)), pa.array(inner[j].astype(bool)), pa.array(np.full(len(mh[j]), done))],
-            names=["mh", "sk", "doc", "start", "windows", "inner", "done"],
-        )
+def _rows(columns: Columns, done: bool) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), 50_000):
+        part = [np.ascontiguousarray(c[i : i + 50_000]).astype(t, copy=False) for c, t in zip(columns, TYPES, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in part), pa.array(np.full(len(part[0]), done))], names=NAMES)
+
+
+def _nth(new_class: np.ndarray, same: np.ndarray, before: int) -> np.ndarray:
+    """Number of each row among the different ones of its class, from 0; ``before`` are those of the first row's class in earlier batches."""
+    different = np.cumsum(~same)
+    nth = different - different[np.maximum.accumulate(np.where(new_class, np.arange(len(same)), 0))]
+    first = np.cumsum(new_class) == 0
+    nth[first] = different[first] + before - 1
+    return nth
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
+    """Rows (doc, sub, base, text): text is what a document has from base on.  Out: the first two stretches of each class, and the others (done)."""
+    held: list[Columns] = []
     size = 0
 
     def settle() -> Iterator[pa.RecordBatch]:
-        mh, sk, doc, start, win, inner = (np.concatenate(x) for x in zip(*held, strict=True))
+        mh, sk, doc, sub, start, win, inner = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((start, doc, sk, mh))
-        mh, sk, doc, start, win, inner = mh[order], sk[order], doc[order], start[order], win[order], inner[order]
-        first = np.ones(len(mh), bool)
-        first[1:] = (mh[1:] != mh[:-1]) | (sk[1:] != sk[:-1])
-        again = ~first
-        head = np.flatnonzero(first)[np.cumsum(first) - 1]
-        again &= (doc != doc[head]) | (start != start[head])
-        yield from _rows(mh[first], sk[first], doc[first], start[first], win[first], inner[first], False)
-        d, s, e = merged(doc[again], start[again], start[again] + win[again] + length - 1)
-        salt = K.hash_ints(d.view(np.uint64) ^ s.astype(np.uint64), 5)
-        yield from _rows(salt, salt, d, s, e - s - length + 1, np.zeros(len(d), bool), True)
+        order = np.lexsort((start, sub, doc, sk, mh))
+        columns = mh, sk, doc, sub, start, win, inner = tuple(c[order] for c in (mh, sk, doc, sub, start, win, inner))
+        new, same = np.ones(len(mh), bool), np.zeros(len(mh), bool)
+        new[1:] = (mh[1:] != mh[:-1]) | (sk[1:] != sk[:-1])
+        same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (start[1:] == start[:-1])
+        nth = _nth(new, same, 0)
+        yield from _rows(tuple(c[(nth < 2) & ~same] for c in columns), False)
+        late = nth >= 2
+        d, u, s, e = merged(doc[late], sub[late], start[late], start[late] + win[late] + length - 1)
+        spread = K.hash_ints(d.view(np.uint64) ^ s.astype(np.uint64), 5).view(np.int64)
+        yield from _rows((spread, spread, d, u, s, e - s - length + 1, np.zeros(len(d), bool)), True)
 
     for b in batches:
-        ids = np.asarray(b.column(0).fill_null(NO_ID))
-        for lo, hi, buf, off in K.slices(b.column(1)):
+        ids, subs, bases = (np.asarray(b.column(i)) for i in range(3))
+        for lo, hi, buf, off in K.slices(b.column(3)):
             mh, sk, doc, start, win, inner = stretches(buf, off, length, gram)
-            held.append((mh, sk, ids[lo:hi][doc], start, win, inner))
+            held.append((mh.view(np.int64), sk.view(np.int64), ids[lo:hi][doc], subs[lo:hi][doc], start + bases[lo:hi][doc], win, inner))
             size += len(mh)
             if size >= BLOCK:
                 yield from settle()
@@ -151,52 +159,52 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (mh, sk, doc, start).  Out: repeats (done) and the first stretches of minimisers with several, or with ``inner``."""
-    last: tuple | None = None  # mh, sk, doc, start of the row before
-    lone: tuple | None = None  # the only stretch so far of the minimiser before, not sent
+    """Rows come sorted by (mh, sk, doc, sub, start).  Out: the first two stretches of each class for the tree, the others (done).
+
+    A stretch that is alone under its minimiser is left out, unless it is ``inner``.
+    """
+    last: tuple | None = None  # mh, sk, doc, sub, start of the row before
+    seen = 0  # different rows of its class
+    lone: Columns | None = None  # that row, if it is the only one of its minimiser so far and not sent
     for b in batches:
         if not b.num_rows:
             continue
-        mh, sk, doc, start, win = (np.asarray(b.column(i)) for i in range(5))
-        inner, passed = (np.asarray(b.column(i).to_numpy(zero_copy_only=False), bool) for i in (5, 6))
-        new_mh, new_sk = np.ones(len(mh), bool), np.ones(len(mh), bool)
+        columns = mh, sk, doc, sub, start, _, inner = tuple(np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(7))
+        passed = np.asarray(b.column(7).to_numpy(zero_copy_only=False), bool)
+        new_mh, new_sk, same = np.ones(len(mh), bool), np.ones(len(mh), bool), np.zeros(len(mh), bool)
         new_mh[1:] = mh[1:] != mh[:-1]
         new_sk[1:] = new_mh[1:] | (sk[1:] != sk[:-1])
-        same = np.zeros(len(mh), bool)
-        same[1:] = ~new_sk[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+        same[1:] = ~new_sk[1:] & (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (start[1:] == start[:-1])
         if last is not None and last[0] == mh[0]:
-            new_mh[0] = False
-            new_sk[0] = last[1] != sk[0]
-            same[0] = not new_sk[0] and last[2:] == (doc[0], start[0])
-        gone = passed | ~(new_sk | same)
-        heads = np.flatnonzero(new_sk & ~passed)
-        group = np.cumsum(new_mh)[heads]
-        count = np.bincount(group, minlength=int(new_mh.sum()) + 1)
+            new_mh[0], new_sk[0] = False, last[1] != sk[0]
+            same[0] = not new_sk[0] and last[2:] == (doc[0], sub[0], start[0])
+        nth = _nth(new_sk, same, seen)
+        group = np.cumsum(new_mh)
+        rows = np.bincount(group[~same], minlength=int(group[-1]) + 1)
         carried = not new_mh[0]
-        several = (count[group] > 1) | inner[heads]
-        if carried and count[0]:
-            several |= group == 0
-            if lone is not None:
-                yield from _rows(*(np.array([x], t) for x, t in zip(lone, (np.int64, np.int64, np.int64, np.int32, np.int32, bool), strict=True)), False)
-                lone = None
-        yield from _rows(mh[gone], sk[gone], doc[gone], start[gone], win[gone], inner[gone], True)
-        sent = heads[several]
-        yield from _rows(mh[sent], sk[sent], doc[sent], start[sent], win[sent], inner[sent], False)
-        tail = heads[group == group.max()] if len(heads) else heads
-        if not (carried and not new_mh.any()):
-            ends_here = len(tail) == 1 and mh[tail[0]] == mh[-1] and not several[-1]
-            lone = (mh[tail[0]], sk[tail[0]], doc[tail[0]], start[tail[0]], win[tail[0]], False) if ends_here else None
-        last = (mh[-1], sk[-1], doc[-1], start[-1])
+        sent = (nth < 2) & ~same & ~passed & ((rows[group] > 1) | inner.astype(bool) | (carried & (group == 0)))
+        if carried and rows[0] and lone is not None:
+            yield from _rows(lone, False)
+        if rows[0] or new_mh.any():
+            lone = None
+        yield from _rows(tuple(c[(nth >= 2) & ~same | passed] for c in columns), True)
+        yield from _rows(tuple(c[sent] for c in columns), False)
+        tail = np.flatnonzero((group == group[-1]) & ~same)
+        if new_mh.any() and len(tail) == 1 and not sent[tail[0]] and not passed[tail[0]]:
+            lone = tuple(c[tail] for c in columns)
+        last, seen = (mh[-1], sk[-1], doc[-1], sub[-1], start[-1]), int(nth[-1]) + 1
 
 
 def suffix_array(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes whose first ``least`` bytes occur again, in order, and the longest common prefix of each with the one before.
 
     A suffix ends where its text ends.  Only prefixes of ``least`` bytes and more are of interest, so the order starts
-    with a hash of that prefix and goes on with the bytes after it; suffixes with a common prefix still stand together.
+    with a hash of that prefix and goes on with the bytes after it, eight at a time; suffixes with a common prefix still
+    stand together.
     """
-    owner = np.repeat(np.arange(len(off) - 1), np.maximum(np.diff(off) - least + 1, 0))
-    starts = np.arange(len(owner)) + (off[:-1] - np.concatenate([[0], np.cumsum(np.maximum(np.diff(off) - least + 1, 0))])[:-1])[owner]
+    counts = np.maximum(np.diff(off) - least + 1, 0)
+    owner = np.repeat(np.arange(len(off) - 1), counts)
+    starts = np.arange(len(owner)) + (off[:-1] - (np.cumsum(counts) - counts))[owner]
     head = K.span_hash(K.prefix_sums(buf), starts, starts + least)
     order = np.argsort(head, kind="stable")
     same = head[order][1:] == head[order][:-1]
@@ -205,31 +213,25 @@ def suffix_array(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarr
     again[:-1] |= same
     order = order[again]
     starts, head, room = starts[order], head[order], off[owner[order] + 1] - starts[order] - least
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.int64)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, ">u8", padded, strides=(1,))  # the eight bytes from each place on
     keys = []
-    for word in range((int(room.max(initial=0)) + 6) // 7):
-        key = np.zeros(len(starts), np.int64)
-        for i in range(7 * word, 7 * word + 7):
-            at = np.minimum(starts + least + i, len(buf))
-            key = (key << 9) | np.where(room > i, padded[at] + 1, 0)
-        keys.append(key)
-    order = np.lexsort((*keys[::-1], head))
-    sa, head = starts[order], head[order]
+    for at in range(0, int(room.max(initial=0)), 8):
+        word = eight[np.minimum(starts + least + at, len(buf))].astype(np.uint64)
+        beyond = np.clip(8 * (at + 8 - room), 0, 64)  # bits after the end of the text
+        keys.append(np.where(beyond < 64, word >> np.minimum(beyond, 63).astype(np.uint64) << np.minimum(beyond, 63).astype(np.uint64), 0))
+    order = np.lexsort((room, *keys[::-1], head))
+    sa, head, room = starts[order], head[order], room[order]
     lcp = np.zeros(len(sa), np.int64)
     if len(sa) > 1:
-        got, equal = np.full(len(sa) - 1, least), head[1:] == head[:-1]
-        lcp_open = equal.copy()
+        open_pair = head[1:] == head[:-1]
+        got = np.where(open_pair, least, 0)
         for key in keys:
-            key = key[order]
-            diff = key[1:] ^ key[:-1]
-            whole = lcp_open & (diff == 0)
-            part = lcp_open & (diff != 0)
-            for k in range(1, 7):
-                got[part] += (diff[part] >> (63 - 9 * k)) == 0
-            got[whole] += 7
-            lcp_open = whole
-        left = room[order] + least
-        lcp[1:] = np.where(equal, np.minimum(got, np.minimum(left[1:], left[:-1])), 0)
+            at = np.flatnonzero(open_pair)
+            diff = key[order[at + 1]] ^ key[order[at]]
+            got[at] += sum((diff >> np.uint64(bits)) == 0 for bits in range(56, -8, -8))  # leading bytes that agree
+            open_pair[at[diff != 0]] = False
+        lcp[1:] = np.where(head[1:] == head[:-1], np.minimum(got, np.minimum(room[1:], room[:-1]) + least), 0)
     return sa, lcp
 
 
@@ -269,18 +271,18 @@ def maximal_repeats(buf: np.ndarray, off: np.ndarray, least: int) -> Iterator[tu
         yield depth, sa[lo:hi]
 
 
-def later_occurrences(buf: np.ndarray, off: np.ndarray, least: int, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of each occurrence of a maximal repeat but the first, for the longest repeat that it is not the first of.
+def later_occurrences(buf: np.ndarray, off: np.ndarray, least: int, doc: np.ndarray, sub: np.ndarray, at: np.ndarray) -> Columns:
+    """(doc, sub, start, end) of each occurrence of a maximal repeat but the first, for the longest repeat that it is not the first of.
 
-    Text i is what document doc[i] has from at[i] on.  Intervals come inner first, so an occurrence is settled once, by
-    the deepest interval in which another one stands before it; only the first ones go on to the outer interval.
+    Text i is what document (doc[i], sub[i]) has from at[i] on.  Intervals come inner first, so an occurrence is settled
+    once, by the deepest interval in which another one stands before it; only the first ones go on to the outer interval.
     """
     sa, lcp = suffix_array(buf, off, least)
     own = np.searchsorted(off, sa, "right") - 1
-    d, s = doc[own], at[own] + sa - off[own]
-    order = np.lexsort((s, d))
+    d, u, s = doc[own], sub[own], at[own] + sa - off[own]
+    order = np.lexsort((s, u, d))
     step = np.ones(len(sa), np.int64)
-    step[1:] = (d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1])
+    step[1:] = (d[order][1:] != d[order][:-1]) | (u[order][1:] != u[order][:-1]) | (s[order][1:] != s[order][:-1])
     rank_at = np.empty(len(sa), np.int64)
     rank_at[order] = np.cumsum(step)
     rank = rank_at.tolist()
@@ -305,75 +307,71 @@ def later_occurrences(buf: np.ndarray, off: np.ndarray, least: int, doc: np.ndar
                 depth_of[k] = depth
                 skip[k] = k + 1
     late = depth_of > 0
-    return d[late], s[late], s[late] + depth_of[late]
+    return d[late], u[late], s[late], s[late] + depth_of[late]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (mh, doc, start, body), sorted by mh.  Out: removed spans (doc, start, bytes)."""
-    held: list[tuple[int, int, int, bytes]] = []
+    """Rows (mh, doc, sub, start, body), sorted by mh.  Out: removed spans (doc, sub, start, bytes)."""
+    held: list[tuple[int, int, int, int, bytes]] = []
     size = 0
 
     def settle() -> pa.RecordBatch:
-        docs, at = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
-        off = np.concatenate([[0], np.cumsum([len(x[3]) for x in held])]).astype(np.int64)
-        buf = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
+        _, docs, subs, at, texts = zip(*held, strict=True)
         held.clear()
-        d, s, e = merged(*later_occurrences(buf, off, length, docs, at))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32))], names=["doc", "start", "bytes"])
+        off = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        d, u, s, e = merged(*later_occurrences(buf, off, length, *(np.array(x, np.int64) for x in (docs, subs, at))))
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(u), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32))], names=["doc", "sub", "start", "bytes"])
 
     for b in batches:
-        for mh, doc, start, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if size > 1_000_000 and mh != held[-1][0]:
+        for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if size > 1_000_000 and row[0] != held[-1][0]:
                 yield settle()
                 size = 0
-            held.append((mh, doc, start, body))
-            size += len(body)
+            held.append(row)
+            size += len(row[4])
     if held:
         yield settle()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every window of stretches (mh, doc, start, body) by its digest."""
-    for b in batches:
-        for doc, start, body in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            n = len(body) - length + 1
-            digests = [hashlib.blake2b(body[i : i + length], digest_size=16).digest() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int32())], names=["digest", "doc", "start"])
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, sub, text): two rows are one document if both id and text agree."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).select("id", F.coalesce("id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("sub"), F.col("text").cast("binary").alias("text"))
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 5_000) -> DataFrame:
-    """(doc, start, bytes) of spans that are covered by a repeated string of ``length`` bytes; they may overlap."""
-    small_batches(docs.sparkSession)
-    gram = min(gram, length)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cut = rows.where(F.octet_length("text") >= length).mapInArrow(partial(_cut, length=length, gram=gram), STRETCH)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = materialize(cut.repartition(parts, "mh").sortWithinPartitions("mh", "sk", "doc", "start").mapInArrow(_meet, STRETCH))
-    spans = met.where("done").select("doc", "start", (F.col("windows") + F.lit(length - 1)).alias("bytes"))
-    firsts = met.where("NOT done").select("mh", F.col("doc").alias("of"), "start", "windows")
-    body = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("windows") + F.lit(length - 1))
-    full = rows.withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
-    bodies = materialize(full.join(firsts, F.col("doc") == F.col("of")).select("mh", "doc", "start", body.alias("body")))
-    crowded = materialize(bodies.groupBy("mh").count().where(F.col("count") > hot).select("mh"))  # at most 1/hot of the rows
-    few = bodies if crowded.isEmpty() else bodies.join(crowded, "mh", "left_anti")
-    spans = spans.unionByName(few.repartition(parts, "mh").sortWithinPartitions("mh").mapInArrow(partial(_compare, length=length), "doc long, start int, bytes int"))
-    if not crowded.isEmpty():
-        at = materialize(bodies.join(crowded, "mh", "left_semi").mapInArrow(partial(_windows, length=length), "digest binary, doc long, start int"))
-        lead = at.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        late = at.join(lead, "digest").where((F.col("doc") != F.col("lead.doc")) | (F.col("start") != F.col("lead.start")))
-        spans = spans.unionByName(late.select("doc", "start", F.lit(length).alias("bytes")))
-    return spans
+    """(doc, sub, start, bytes) of spans that are covered by a repeated string of ``length`` bytes; they may overlap."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    full = _documents(docs, id_col, text_col).drop("id").withColumn("base", F.lit(0))
+    rows, spans, gram = full.where(F.octet_length("text") >= length), None, min(gram, length)
+    while True:
+        cut = rows.select("doc", "sub", "base", "text").mapInArrow(partial(_cut, length=length, gram=gram), STRETCH)
+        met = materialize(cut.repartition(parts, "mh").sortWithinPartitions("mh", "sk", "doc", "sub", "start").mapInArrow(_meet, STRETCH))
+        firsts = met.where("NOT done").select("mh", F.col("doc").alias("of"), F.col("sub").alias("of_sub"), "start", "windows")
+        inside = (F.col("doc") == F.col("of")) & (F.col("sub") == F.col("of_sub")) & (F.col("start") >= F.col("base")) & (F.col("start") + F.col("windows") + F.lit(length - 1) <= F.col("base") + F.octet_length("text"))
+        body = F.substring(F.col("text"), F.col("start") - F.col("base") + 1, F.col("windows") + F.lit(length - 1))
+        bodies = materialize(rows.join(firsts, inside).select("mh", "doc", "sub", "start", body.alias("body")))
+        crowded = materialize(bodies.groupBy("mh").count().where(F.col("count") > hot).select("mh"))  # at most 1/hot of the rows
+        last = gram == length or crowded.isEmpty()
+        few = bodies if last else bodies.join(crowded, "mh", "left_anti")
+        tree = few.repartition(parts, "mh").sortWithinPartitions("mh").mapInArrow(partial(_compare, length=length), "doc long, sub long, start int, bytes int")
+        found = met.where("done").select("doc", "sub", "start", (F.col("windows") + F.lit(length - 1)).alias("bytes")).unionByName(tree)
+        spans = found if spans is None else spans.unionByName(found)
+        if last:
+            return spans
+        rows, gram = bodies.join(crowded, "mh", "left_semi").select("doc", "sub", F.col("start").alias("base"), F.col("body").alias("text")), (gram + length + 1) // 2 if length - gram > length // 2 else length
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
-        for doc, text, starts, sizes in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            raw = (text or "").encode()
+        for doc, raw, starts, sizes in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if starts:
-                s = np.minimum(np.array(starts, np.int64), len(raw))
-                _, s, e = merged(np.zeros(len(s), np.int64), s, np.minimum(s + np.array(sizes, np.int64), len(raw)))
-                s, e = s[e > s], e[e > s]
+                s, none = np.array(starts, np.int64), np.zeros(len(starts), np.int64)
+                _, _, s, e = merged(none, none, s, s + np.array(sizes, np.int64))
                 edges = [0, *np.stack([s, e], 1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
                 out.append((doc, len(raw), len(raw) - len(kept), len(s), kept))
@@ -386,7 +384,6 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans and the bytes that are kept."""
     spans = materialize(removed_spans(docs, id_col, text_col, length, **options))
-    found = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "bytes")).alias("spans"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    both = rows.join(found, F.coalesce("id", F.lit(NO_ID)) == F.col("doc"), "left")
+    found = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "bytes")).alias("spans"))
+    both = _documents(docs, id_col, text_col).join(found, ["doc", "sub"], "left")
     return both.select("id", "text", F.col("spans.start").alias("starts"), F.col("spans.bytes").alias("sizes")).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -87,6 +87,24 @@ def test_repeats_inside_one_stretch_are_the_brute_force(spark, data):
     assert sum(r[2] for r in got) > 0
 
 
+def test_periodic_texts_of_every_period_are_the_brute_force(spark):
+    rng = random.Random(11)
+    for data in ([(p, ("".join(rng.choices("abcdefgh ", k=p)) * 400)[: rng.randrange(100, 401)]) for p in range(1, 100)],):
+        alone = repeats.remove_repeats(documents(spark, texts(data))).collect()
+        assert sorted((tuple(r)[:4] + (bytes(r.kept),) for r in alone), key=str) == sorted(removed_by_force(data, 100), key=str)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_different_texts_of_one_id_are_different_documents(spark, hot):
+    rng = random.Random(5)
+    passage = words(rng, 40)
+    data = [(7, passage + "".join(rng.choices("abc", k=150))) for _ in range(3)] + [(7, "".join(rng.choices("xyz", k=300))), (None, "q" * 130), (None, words(rng, 60))]
+    got = {bytes(r.kept): r.n_removed for r in repeats.remove_repeats(documents(spark, texts(data)), hot=hot).collect()}
+    assert sorted(x == 0 for x in got.values()) == [False, False, False, True, True, True]
+    assert sum(x > len(passage) - 10 for x in got.values()) == 2
+    assert got[b"q"] == 129
+
+
 @pytest.mark.parametrize("period", [1, 2, 5, 40, 73])
 def test_stretches_that_hold_equal_windows_are_marked(period):
     rng = random.Random(period)
