@@ -200,38 +200,47 @@ def suffix_array(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarr
 
     A suffix ends where its text ends.  Only prefixes of ``least`` bytes and more are of interest, so the order starts
     with a hash of that prefix and goes on with the bytes after it, eight at a time; suffixes with a common prefix still
-    stand together.
+    stand together.  Runs of one hash are sorted with others that go on for about as long.
     """
     counts = np.maximum(np.diff(off) - least + 1, 0)
     owner = np.repeat(np.arange(len(off) - 1), counts)
     starts = np.arange(len(owner)) + (off[:-1] - (np.cumsum(counts) - counts))[owner]
+    if not len(starts):
+        return starts, starts
     head = K.span_hash(K.prefix_sums(buf), starts, starts + least)
     order = np.argsort(head, kind="stable")
-    same = head[order][1:] == head[order][:-1]
-    again = np.zeros(len(order), bool)
-    again[1:] = same
-    again[:-1] |= same
-    order = order[again]
-    starts, head, room = starts[order], head[order], off[owner[order] + 1] - starts[order] - least
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(buf) + 1, ">u8", padded, strides=(1,))  # the eight bytes from each place on
+    first = np.flatnonzero(np.append(True, head[order][1:] != head[order][:-1]))
+    room = off[owner[order] + 1] - starts[order] - least
+    size = np.diff(np.append(first, len(order)))
+    words = np.repeat(np.where(size > 1, (np.maximum.reduceat(room, first) + 7) // 8, -1), size)
+    eight = np.ndarray(len(buf) + 1, ">u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place on
+    found = []
+    for low, high in zip((-1, 1, 3, 6, 9), (1, 3, 6, 9, int(words.max())), strict=True):
+        part = order[(words > low) & (words <= high)]
+        if len(part):
+            found.append(_sorted_runs(eight, starts[part], head[part], off[owner[part] + 1] - starts[part] - least, least))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(2))
+
+
+def _sorted_runs(eight: np.ndarray, starts: np.ndarray, head: np.ndarray, room: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order and common prefixes; ``room`` has the bytes of each after its first ``least``."""
     keys = []
     for at in range(0, int(room.max(initial=0)), 8):
-        word = eight[np.minimum(starts + least + at, len(buf))].astype(np.uint64)
+        word = eight[np.minimum(starts + least + at, len(eight) - 1)].astype(np.uint64)
         beyond = np.clip(8 * (at + 8 - room), 0, 64)  # bits after the end of the text
-        keys.append(np.where(beyond < 64, word >> np.minimum(beyond, 63).astype(np.uint64) << np.minimum(beyond, 63).astype(np.uint64), 0))
+        shift = np.minimum(beyond, 63).astype(np.uint64)
+        keys.append(np.where(beyond < 64, word >> shift << shift, np.uint64(0)))
     order = np.lexsort((room, *keys[::-1], head))
     sa, head, room = starts[order], head[order], room[order]
     lcp = np.zeros(len(sa), np.int64)
-    if len(sa) > 1:
-        open_pair = head[1:] == head[:-1]
-        got = np.where(open_pair, least, 0)
-        for key in keys:
-            at = np.flatnonzero(open_pair)
-            diff = key[order[at + 1]] ^ key[order[at]]
-            got[at] += sum((diff >> np.uint64(bits)) == 0 for bits in range(56, -8, -8))  # leading bytes that agree
-            open_pair[at[diff != 0]] = False
-        lcp[1:] = np.where(head[1:] == head[:-1], np.minimum(got, np.minimum(room[1:], room[:-1]) + least), 0)
+    open_pair = head[1:] == head[:-1]
+    got = np.where(open_pair, least, 0)
+    for key in keys:
+        at = np.flatnonzero(open_pair)
+        diff = key[order[at + 1]] ^ key[order[at]]
+        got[at] += sum((diff >> np.uint64(bits)) == 0 for bits in range(56, -8, -8))  # leading bytes that agree
+        open_pair[at[diff != 0]] = False
+    lcp[1:] = np.where(head[1:] == head[:-1], np.minimum(got, np.minimum(room[1:], room[:-1]) + least), 0)
     return sa, lcp
 
 
