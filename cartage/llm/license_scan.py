@@ -1,9 +1,13 @@
 """Operator 2: licence scan.  One Aho-Corasick pass finds notice phrases, a second finds identifier tags; a shunting-yard
 parser turns the tags' and/or/with expressions into a verdict.
 
+After an SPDX tag the expression must fill its line and may name anything; after ``license:``, which prose has too, it
+goes as far as known identifiers do.
+
 Defined cases: null text is empty; an empty text has no words, null positions, empty labels and score 0; a malformed
-expression contributes the licences before the fault and no verdict; rows are independent, so ties and repeated rows
-need no rule; other columns are ignored.
+expression contributes the known licences before the fault and no verdict; a null id stays null; rows are independent,
+so ties and repeated rows need no rule; a text of any length is read once, in time and memory in proportion to it; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,9 +45,17 @@ NOTICES = {
 #: Tag identifiers whose label differs from the identifier itself.
 ALIASES = {"apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc0-1.0": "cc0", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd"}
 PERMISSIVE = frozenset({"mit", "apache-2", "bsd", "isc", "zlib", "unlicense", "cc0", "cc-by", "0bsd"})
-TAGS = ("spdx-license-identifier:", "license-expression:", "license:")
+#: Tags, and whether what follows is an expression by syntax alone.
+TAGS = {"spdx-license-identifier:": True, "license-expression:": True, "license:": False}
+#: Families of public licence identifiers, as SPDX writes them.
+KNOWN = re.compile(
+    r"(mit(-0)?|0bsd|isc|zlib|unlicense|wtfpl|postgresql|ncsa|openssl|ruby|vim|x11|cc0-1\.0|(apache|epl|eupl|mpl|osl|afl|artistic|bsl|cddl|cpl|psf|python|php|zpl|ofl|ms-pl|ecl|upl|cecill)-[0-9.]+"
+    r"|bsd(-[0-4]-clause(-[a-z]+)?)?|[al]?gpl-[0-9.]+(\+|-only|-or-later)?|gfdl-[0-9.]+(-only|-or-later)?|cc-by(-nc)?(-sa|-nd)?-[0-9.]+|licenseref-[a-z0-9.-]+)\.?"
+)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
+TOKEN = re.compile(r"[ \t]*([()]|[a-z0-9][a-z0-9.+-]*)")
+#: What may follow an expression on its line: blanks, punctuation and ends of comments.
+REST = re.compile(r"[ \t\r.,;\"'#*/>-]*(?=\n|\Z)")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 BINDS = {"or": 1, "and": 2, "with": 3}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string, permissive boolean, phrases array<struct<label: string, first_word: long>>"
@@ -100,21 +112,29 @@ def evaluate(rpn: list[str]) -> tuple[bool, list[str]]:
     return stack[0]
 
 
-def tag_tokens(line: str) -> list[str]:
-    """The longest run of tokens from the line's start that alternates licences and operators, brackets aside."""
-    found, operand, depth = [], True, 0
-    for t in map(re.Match.group, TOKEN.finditer(line)):
+def tag_tokens(low: str, at: int = 0, any_name: bool = True) -> list[str]:
+    """The longest run of tokens from ``at`` on, within its line, that alternates licences and operators, brackets aside.
+
+    Without ``any_name`` it ends before a licence that is not known; what stands after ``with`` is an exception's name.
+    Otherwise nothing else may stand on the line, or the unknown licences are prose and the run is read again without.
+    """
+    found, operand, depth, start = [], True, 0, at
+    while m := TOKEN.match(low, at):
+        t = m.group(1)
         if t in BINDS or t == ")":
             if operand or (t == ")" and not depth):
                 break
             operand = t != ")"
             depth -= t == ")"
-        elif not operand:
+        elif not operand or not (any_name or t == "(" or KNOWN.fullmatch(t) or found[-1:] == ["with"]):
             break
         else:
             operand = t == "("
             depth += t == "("
         found.append(t)
+        at = m.end()
+    if any_name and not REST.match(low, at):
+        return tag_tokens(low, start, False)
     while found and (found[-1] in BINDS or found[-1] == "("):
         found.pop()
     return found
@@ -125,8 +145,8 @@ def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
     for p, label in {**NOTICES, **BASE_PHRASES}.items():
         phrases.add_word(f" {p} ", (len(p) + 2, label, p in BASE_PHRASES))
-    for t in TAGS:
-        tags.add_word(t, len(t))
+    for t, strict in TAGS.items():
+        tags.add_word(t, (len(t), strict))
     phrases.make_automaton()
     tags.make_automaton()
     return phrases, tags
@@ -150,10 +170,10 @@ def scan_text(text: str | None) -> dict:
     base_labels = {label for _, label in base}
     labels = {label for _, label, _ in places}
     expression, permissive = None, None
-    for end, _ in tags.iter(low):
-        tokens = tag_tokens(low[end + 1 : (low + "\n").find("\n", end)])
+    for end, (_, strict) in tags.iter_long(low):
+        tokens = tag_tokens(low, end + 1, strict)
         rpn = to_rpn(tokens)
-        named = {label_of(t) for t in tokens if t not in BINDS and t not in "()"}
+        named = {label_of(t) for t, before in zip(tokens, ["", *tokens], strict=False) if t not in BINDS and t not in "()" and before != "with"}
         if rpn:
             ok, listed = evaluate(rpn)
             named = set(listed)

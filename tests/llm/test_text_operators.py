@@ -45,6 +45,95 @@ def test_long_expressions_are_read_whole(joined):
     assert got["expression"].endswith("gpl-3.0" + " )" * (joined.count("(") * 160))
 
 
+def parsed(tokens):
+    """Value and names by recursive descent; None if malformed."""
+    pos = 0
+
+    def take(*wanted):
+        nonlocal pos
+        if pos < len(tokens) and tokens[pos] in wanted:
+            pos += 1
+            return True
+        return False
+
+    def atom():
+        nonlocal pos
+        if take("("):
+            value = either()
+            if not take(")"):
+                raise ValueError
+            return value
+        if pos == len(tokens) or tokens[pos] in ("and", "or", "with", ")"):
+            raise ValueError
+        name = license_scan.ALIASES.get(tokens[pos], tokens[pos])
+        pos += 1
+        return name in license_scan.PERMISSIVE, {name}
+
+    def chain(word, below, join):
+        value, names = below()
+        while take(word):
+            other, more = below()
+            value, names = join(value, other), names if word == "with" else names | more
+        return value, names
+
+    def bound():
+        return chain("with", atom, lambda a, b: a)
+
+    def both():
+        return chain("and", bound, lambda a, b: a and b)
+
+    def either():
+        return chain("or", both, lambda a, b: a or b)
+
+    try:
+        got = either()
+    except ValueError:
+        return None
+    return got if pos == len(tokens) else None
+
+
+def test_license_labels_expression_and_score_are_the_brute_force():
+    rng = random.Random(3)
+    names = ["mit", "gpl-3.0", "apache-2.0", "bsd-3-clause", "lgpl-2.1", "isc"]
+
+    def expression(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return [rng.choice(names)]
+        if kind < 0.5:
+            return ["(", *expression(depth - 1), ")"]
+        if kind < 0.6:
+            return [rng.choice(names), "with", "classpath-exception-2.0"]
+        return [*expression(depth - 1), rng.choice(["and", "or"]), *expression(depth - 1)]
+
+    phrases = {**license_scan.NOTICES, **license_scan.BASE_PHRASES}
+    for _ in range(400):
+        tokens = expression(3)
+        said = rng.sample(sorted(phrases), rng.randrange(3))
+        strict = rng.random() < 0.5
+        tag = rng.choice(["SPDX-License-Identifier:", "License-Expression:"]) if strict else "license:"
+        text = " -- ".join(["lorem ipsum", *said]) + f"\n// {tag} {' '.join(tokens).upper()}" + rng.choice(["", " */"] if strict else ["", " applies to all of it", ", see the office"]) + "\nlicense: see the office\nLicense: none of it"
+        got, (ok, named) = license_scan.scan_text(text), parsed(tokens)
+        flat = f" {' '.join(re.findall('[a-z0-9]+', text.lower()))} "
+        want = named | {label for p, label in phrases.items() if f" {p} " in flat}
+        assert (got["labels"], got["expression"], got["permissive"], got["score"]) == (",".join(sorted(want)), " ".join(tokens), ok, 1.0)
+    for text, labels, score in [("license: see the office", "", 0.0), ("License: none of it", "", 0.0), ("SPDX-License-Identifier: Own-1.0", "own-1.0", 1.0), ("SPDX-License-Identifier: is a tag", "", 0.0), ("license: mit license", "mit", 1.0), ("all rights reserved", "all-rights-reserved", 0.7), ("the MIT license", "mit", 0.95)]:
+        got = license_scan.scan_text(text)
+        assert (got["labels"], got["score"]) == (labels, score), text
+
+
+def test_a_long_line_of_tags_is_read_in_time_and_empty_tables_are_empty(spark):
+    import time
+
+    for line in ("license: mit ", "license: mit or ", "license: ((", "spdx-license-identifier: mit or "):
+        at = time.time()
+        assert license_scan.scan_text(line * (1_000_000 // len(line)))["labels"] in ("mit", "")
+        assert time.time() - at < 6
+    assert license_scan.scan_licenses(documents(spark, [])).count() == 0
+    clash = texts([(None, "license: mit"), (None, None)]), "doc_id long, text string"
+    assert sorted(r.labels for r in license_scan.scan_licenses(documents(spark, clash[0]).withColumnRenamed("source", "labels")).collect()) == ["", "mit"]
+
+
 def test_media_round_trip(spark):
     import hashlib
 
