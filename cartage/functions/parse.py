@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed spellings.
-TRUE_WORDS = ("yes", "y", "true", "t", "1", "x", "on", "checked", "✓")
-FALSE_WORDS = ("no", "n", "false", "f", "0", "off", "none", "unchecked")
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# Spellings of yes and no, and names of months.
+TRUE_WORDS = ("true", "t", "yes", "y", "1", "x", "✓", "✔", "on")
+FALSE_WORDS = ("false", "f", "no", "n", "0", "-", "off")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MONTH_NUMBERS = {m[:3]: i + 1 for i, m in enumerate(MONTHS)} | {m: i + 1 for i, m in enumerate(MONTHS)} | {"sept": 9}
+ISO_DATE = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
+NUMERIC_DATE = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
+NAMED_DATE = r"^(\d{1,2})?\s*([a-z]{3,9})\.?\s*(\d{1,2})?,?\s*(\d{4})$"
+ZIP = r"^[A-Za-z0-9][A-Za-z0-9 \-]{2,9}$"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 
 
 def clean(x: Column) -> Column:
@@ -26,77 +32,99 @@ def parse_bool(x: Column) -> Column:
 
 def date_vote(x: Column) -> Column:
     """dmy or mdy where a part above 12 decides; null where it does not."""
-    a = F.try_to_number(F.regexp_extract(clean(x), r"^(\d{1,2})[-/.](\d{1,2})[-/.]\d{2,4}$", 1), F.lit("99"))
-    b = F.try_to_number(F.regexp_extract(clean(x), r"^(\d{1,2})[-/.](\d{1,2})[-/.]\d{2,4}$", 2), F.lit("99"))
-    return F.when(a > 12, "dmy").when(b > 12, "mdy")
+    part = lambda i: F.regexp_extract(clean(x), NUMERIC_DATE, i).try_cast("int")
+    return F.when(part(1) > 12, "dmy").when(part(2) > 12, "mdy")
+
+
+def _first_vote(vote: Column, position: str) -> Column:
+    return F.min_by(vote, F.when(vote.isNotNull(), F.col(position)))
+
+
+def date_order(value: str, position: str) -> Column:
+    """An aggregate: the order that the first deciding value gives; iso if the dates that there are need none, else ambiguous."""
+    c = clean(F.col(value))
+    numeric, written = F.bool_or(c.rlike(NUMERIC_DATE)), F.bool_or(c.rlike(ISO_DATE) | c.rlike(NAMED_DATE))
+    return F.coalesce(_first_vote(date_vote(F.col(value)), position), F.when(~numeric & written, "iso").otherwise("ambiguous"))
 
 
 def detect_date_order(rows: DataFrame, value: str, position: str) -> DataFrame:
-    """One row: the order that the first deciding value gives, iso if no numeric date needs one, else ambiguous."""
-    numeric = clean(F.col(value)).rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}$")
-    vote = date_vote(F.col(value))
-    return rows.agg(F.coalesce(F.min_by(vote, F.when(vote.isNotNull(), F.col(position))), F.when(F.bool_or(numeric), "ambiguous").otherwise("iso")).alias("date_order"))
+    """One row: date_order."""
+    return rows.agg(date_order(value, position).alias("date_order"))
 
 
 def parse_date(x: Column, order: str) -> Column:
     """ISO, named-month and numeric dates; two-digit years from 70 on are of the last century."""
     c = clean(x)
-    iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
-    num = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})$"
-    named_day = r"^(\d{1,2})[ -]([a-z]{3})[a-z]*[ ,-]+(\d{2,4})$"
-    named_month = r"^([a-z]{3})[a-z]* (\d{1,2}),? (\d{2,4})$"
-    month_of = F.create_map(*[v for i, m in enumerate(MONTHS) for v in (F.lit(m), F.lit(str(i + 1)))])
+    month_of = F.create_map(*[F.lit(v) for pair in MONTH_NUMBERS.items() for v in pair])
 
     def made(y: Column, m: Column, d: Column) -> Column:
-        year = F.expr("try_cast(NULL as int)") if y is None else y.try_cast("int")
-        full = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
+        year = y.try_cast("int")
+        full = F.when(F.length(y) == 4, year).when(year < 70, year + 2000).otherwise(year + 1900)
         return F.try_to_date(F.format_string("%04d-%02d-%02d", full, m.try_cast("int"), d.try_cast("int")))
 
     g = lambda p, i: F.regexp_extract(c, p, i)
     day, month = (1, 2) if order == "dmy" else (2, 1)
+    named = F.try_element_at(month_of, g(NAMED_DATE, 2))
     return (
-        F.when(c.rlike(iso), made(g(iso, 1), g(iso, 2), g(iso, 3)))
-        .when(c.rlike(num), made(g(num, 3), g(num, month), g(num, day)))
-        .when(c.rlike(named_day), made(g(named_day, 3), F.try_element_at(month_of, g(named_day, 2)), g(named_day, 1)))
-        .when(c.rlike(named_month), made(g(named_month, 3), F.try_element_at(month_of, g(named_month, 1)), g(named_month, 2)))
+        F.when(c.rlike(ISO_DATE), made(g(ISO_DATE, 1), g(ISO_DATE, 2), g(ISO_DATE, 3)))
+        .when(c.rlike(NAMED_DATE) & named.isNotNull(), made(g(NAMED_DATE, 4), named, F.coalesce(F.nullif(g(NAMED_DATE, 1), F.lit("")), g(NAMED_DATE, 3))))
+        .when(c.rlike(NUMERIC_DATE), made(g(NUMERIC_DATE, 3), g(NUMERIC_DATE, month), g(NUMERIC_DATE, day)))
     )
 
 
+def _amount(x: Column) -> Column:
+    return F.regexp_replace(clean(x), r"[^0-9,.\-]", "")
+
+
 def decimal_vote(x: Column) -> Column:
     """dot or comma where a number's separators decide; a lone group of three digits does not."""
-    c = F.regexp_replace(clean(x), r"[^0-9.,-]", "")
-    dot, comma = F.instr(c, "."), F.instr(c, ",")
-    last = lambda s: F.length(c) - F.instr(F.reverse(c), s) + 1
-    both = (dot > 0) & (comma > 0)
+    c = _amount(x)
+    count = lambda s: F.length(c) - F.length(F.regexp_replace(c, s, ""))
+    dots, commas = count(r"\."), count(",")
+    after_last = lambda s: F.length(F.substring_index(c, s, -1))
     return (
-        F.when(both, F.when(last(".") > last(","), "dot").otherwise("comma"))
-        .when((dot > 0) & ~c.rlike(r"^-?\d{1,3}(\.\d{3})+$"), "dot")
-        .when((comma > 0) & ~c.rlike(r"^-?\d{1,3}(,\d{3})+$"), "comma")
-        .when(F.regexp_count(c, F.lit(r"\.")) > 1, "comma")
-        .when(F.regexp_count(c, F.lit(",")) > 1, "dot")
+        F.when((dots > 0) & (commas > 0), F.when(after_last(".") < after_last(","), "dot").otherwise("comma"))
+        .when((dots == 1) & (after_last(".") != 3), "dot")
+        .when((commas == 1) & (after_last(",") != 3), "comma")
+        .when(dots > 1, "comma")
+        .when(commas > 1, "dot")
     )
 
 
+def decimal_style(value: str, position: str) -> Column:
+    """An aggregate: the style that the first deciding amount gives; dot if none has a separator, else ambiguous."""
+    any_separator = F.bool_or(_amount(F.col(value)).rlike("[.,]"))
+    return F.coalesce(_first_vote(decimal_vote(F.col(value)), position), F.when(any_separator, "ambiguous").otherwise("dot"))
+
+
 def detect_decimal_style(rows: DataFrame, value: str, position: str) -> DataFrame:
-    vote = decimal_vote(F.col(value))
-    any_separator = F.bool_or(F.col(value).rlike("[.,]"))
-    return rows.agg(F.coalesce(F.min_by(vote, F.when(vote.isNotNull(), F.col(position))), F.when(any_separator, "ambiguous").otherwise("dot")).alias("decimal_style"))
+    """One row: decimal_style."""
+    return rows.agg(decimal_style(value, position).alias("decimal_style"))
 
 
 def parse_money_cents(x: Column, style: str) -> Column:
     """Cents, half to even; null for blank, unreadable or negative amounts."""
-    c = F.regexp_replace(F.coalesce(x, F.lit("")), r"[^0-9.,-]", "")
+    c = _amount(x)
     c = F.regexp_replace(c, ",", "") if style == "dot" else F.regexp_replace(F.regexp_replace(c, r"\.", ""), ",", ".")
-    v = c.try_cast("double")
+    v = F.when(c.rlike(NUMBER), c.try_cast("double"))
     return F.when(v >= 0, F.bround(v * 100).cast("long"))
 
 
+def _number(c: Column) -> Column:
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
+def parse_int(x: Column) -> Column:
+    """A whole number, cut toward zero; thousands may be grouped by commas."""
+    return _number(F.regexp_replace(clean(x), ",", "")).try_cast("long")
+
+
 def parse_hours(x: Column) -> Column:
     """``h:mm`` or a number with an optional unit, to four places."""
-    c = F.regexp_replace(clean(x), r"\s*(hours|hour|hrs|hr|h)$", "")
-    clock = r"^(\d{1,3}):([0-5]\d)$"
+    c = F.regexp_replace(clean(x), ",", "")
+    clock = r"^(\d+):(\d{1,2})$"
     hm = F.regexp_extract(c, clock, 1).try_cast("double") + F.regexp_extract(c, clock, 2).try_cast("double") / 60
-    return F.bround(F.when(c.rlike(clock), hm).otherwise(F.regexp_replace(c, ",", "").try_cast("double")), 4)
+    return F.bround(F.when(c.rlike(clock), hm).otherwise(_number(F.trim(F.regexp_replace(c, r"(hrs?|hours?|h)$", "")))), 4)
 
 
 def parse_list(x: Column) -> Column:
@@ -108,6 +136,31 @@ def normalize_zip(x: Column) -> Column:
     return F.nullif(F.upper(F.regexp_replace(x, r"\s+", "")), F.lit(""))
 
 
+def parse_text(x: Column, limit: int = 2000) -> Column:
+    """Single blanks, trimmed, at most ``limit`` characters; null if nothing is left."""
+    return F.nullif(F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, limit), F.lit(""))
+
+
+def parse_enum(x: Column, values: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.lower(parse_text(x, 60)))
+
+
+def parse_state(x: Column) -> Column:
+    code = F.regexp_replace(F.upper(parse_text(x, 20)), r"\.", "")
+    return F.when(code.rlike(r"^\p{L}{2}$"), code)
+
+
+def parse_zip(x: Column) -> Column:
+    code = parse_text(x, 12)
+    return F.when(code.rlike(ZIP), F.upper(code))
+
+
+def building_key(line1: Column, zip_code: Column) -> Column:
+    """Street and ZIP in lower case, so that visits to one address meet; null without a street."""
+    street = parse_text(line1, 300)
+    return F.when(street.isNotNull(), F.substring(F.concat_ws("|", F.lower(street), F.lower(F.coalesce(parse_text(zip_code, 12), F.lit("")))), 1, 320))
+
+
 def fingerprint(*fields: Column) -> Column:
-    """sha-256 of the identifying fields; nulls keep their place."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(f.cast("string"), F.lit("\0")) for f in fields)), 256)
+    """sha-256 of the identifying fields as a JSON list; nulls keep their place, floats have two places."""
+    return F.sha2(F.to_json(F.array(*(f.cast("string") for f in fields))), 256)

@@ -25,24 +25,33 @@ def calendar(tenants: DataFrame, booked: DataFrame, overrides: DataFrame, start:
     return joined.select("company_id", "day", F.coalesce("n", F.lit(0)).alias("booked"), reason.isNull().alias("available"), reason.alias("reason"))
 
 
-def flag_duplicates(rows: DataFrame, order: str, ref: str, print_col: str, known_refs: DataFrame | None = None, tenant: str | None = None) -> DataFrame:
+def flag_duplicates(rows: DataFrame, order: str, ref: str, print_col: str, known_refs: DataFrame | None = None, tenant: str | None = None, known_prints: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``duplicate``: by reference where there is one, else by fingerprint, in file order.
 
     A row with a reference repeats one seen before or known.  A row without one repeats the fingerprint of an earlier
-    row that has no reference or was kept.
+    row that has no reference or was kept, or a known one.  Each question is one smallest place per key, aggregated
+    before the shuffle; rows without a key to ask for take no part, and a frequent one is broadcast.
     """
     scope = [tenant] if tenant else []
-    seen = F.row_number().over(Window.partitionBy(*scope, ref).orderBy(order)) > 1
-    flagged = rows
-    known = F.lit(False)
+    first = rows.where(F.col(ref).isNotNull()).groupBy(*scope, ref).agg(F.min(order).alias("__first"))
     if known_refs is not None:
-        flagged = rows.join(known_refs.select(*scope, F.col(ref)).distinct().withColumn("__known", F.lit(True)), [*scope, ref], "left")
-        known = F.coalesce("__known", F.lit(False))
-    flagged = flagged.withColumn("__ref_dup", F.col(ref).isNotNull() & (seen | known))
-    stands = F.when(~F.col("__ref_dup"), 1).otherwise(0)
-    before = F.max(stands).over(Window.partitionBy(*scope, print_col).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    dup = F.when(F.col(ref).isNotNull(), F.col("__ref_dup")).otherwise(F.coalesce(before, F.lit(0)) == 1)
-    return flagged.withColumn("duplicate", dup).drop("__ref_dup", "__known")
+        known = known_refs.select(*scope, F.col(ref)).distinct().withColumn("__known", F.lit(True))
+        first = first.join(known, [*scope, ref], "left").select(*scope, ref, F.when(F.col("__known").isNull(), F.col("__first")).alias("__first"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*scope, ref)]
+    repeats = F.col("f.__first").isNull() | (F.col(f"r.{order}") > F.col("f.__first"))
+    named = rows.where(F.col(ref).isNotNull()).alias("r").join(first.alias("f"), same).select("r.*", repeats.alias("duplicate"))
+    unnamed = rows.where(F.col(ref).isNull())
+    stand = unnamed.select(*scope, print_col, order).unionByName(named.where("NOT duplicate").select(*scope, print_col, order))
+    earliest = stand.where(F.col(print_col).isNotNull()).groupBy(*scope, print_col).agg(F.min(order).alias("__first"))
+    if known_prints is not None:
+        known = known_prints.select(*scope, F.col(print_col)).distinct().withColumn("__known", F.lit(True))
+        earliest = earliest.join(known, [*scope, print_col], "left").select(*scope, print_col, F.when(F.col("__known").isNull(), F.col("__first")).alias("__first"), F.lit(True).alias("__met"))
+    else:
+        earliest = earliest.withColumn("__met", F.lit(True))
+    same = [*(F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in scope), F.col(f"r.{print_col}") == F.col(f"f.{print_col}")]
+    again = F.col("f.__met").isNotNull() & (F.col("f.__first").isNull() | (F.col(f"r.{order}") > F.col("f.__first")))
+    by_print = unnamed.alias("r").join(earliest.alias("f"), same, "left").select("r.*", again.alias("duplicate"))
+    return named.unionByName(by_print)
 
 
 def chain_heads(links: DataFrame, key: str, successor: str, max_hops: int = 50) -> DataFrame:
