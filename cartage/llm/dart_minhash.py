@@ -20,7 +20,8 @@ Vertices are distinct shingle sets, so copies cost one row in one aggregation.
 Defined cases: null text is empty; texts without words are one class (equal sets); a text of fewer than five words has one
 shingle of all its words; rows that repeat an id are members like any other; a class's id is its smallest id that is
 not null; the row with that id stays, of several the one with the smallest text digest, so a class keeps one text; rows that
-repeat an id and text share the verdict; other columns are ignored; an empty table gives an empty result.
+repeat an id and text share the verdict; other columns are ignored; a text of any length is
+one task's, its set one value of four bytes a shingle; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import attach_groups, broadcast_if, materialize, small_batches
+from .scratch import attach_groups, broadcast_if, join_spread, materialize, small_batches
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 #: Leaders a bucket has in turn; the last one's open members are met with each other.
@@ -197,7 +198,8 @@ def _similarity(batches: Iterator[pa.RecordBatch], differences: bool) -> Iterato
 
 def _compare(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
     """(x, y, sim, nx, ny, diff) of every pair (x, y)."""
-    full = pairs.join(sets.select(F.col("v").alias("x"), F.col("blob").alias("p")), "x").join(sets.select(F.col("v").alias("y"), F.col("blob").alias("q")), "y")
+    # The leader of a crowded bucket has very many partners, a partner at most one leader a band.
+    full = join_spread(pairs, sets.select(F.col("v").alias("x"), F.col("blob").alias("p")), "x", ["y"]).join(sets.select(F.col("v").alias("y"), F.col("blob").alias("q")), "y")
     return full.select("x", "y", "p", "q").mapInArrow(partial(_similarity, differences=differences), "x long, y long, sim double, nx int, ny int, diff array<int>")
 
 
@@ -208,13 +210,13 @@ def _meet_by_differences(compared: DataFrame, threshold: float, among_open: bool
     share at least (dx + dy - k (|x| + |y|)) / 2 elements, which is positive if one of the two is open.
     """
     k = (1 - threshold) / (1 + threshold)
-    uneven = compared.groupBy("x").agg(F.max(F.col("sim") < threshold).alias("any_open"), F.count(F.lit(1)).alias("n")).where("any_open AND n > 1").select("x")
+    uneven = compared.groupBy("x").agg(F.max(F.col("sim") < threshold).alias("any_open"), F.count(F.lit(1)).alias("n")).where("any_open AND n > 1").select("x", "n")
     size, lead, d = F.col("ny"), F.col("nx"), F.size("diff")
     settled = F.col("sim") >= threshold
     # The least overlap any partner asks for: partners are at most |v| / t long and differ from the leader by d - (1 - t) / t |v| at least.
     least = F.greatest(d - (1 - threshold) / threshold * size, F.when(settled, (d + k * (lead - size)) / 2).otherwise((d - k * (size + lead)) / 2))
     prefix = d - F.greatest(F.lit(1), F.ceil(least - 1e-6)) + 1
-    cell = compared.join(uneven, "x", "left_semi").where(d > 0).select(F.col("x").alias("m"), F.col("y").alias("v"), size.alias("s"), d.alias("d"), (~settled).alias("open"), prefix.cast("int").alias("prefix"), F.explode("diff").alias("e"))
+    cell = attach_groups(compared, uneven, ["x"], "n").where(F.col("n").isNotNull() & (d > 0)).select(F.col("x").alias("m"), F.col("y").alias("v"), size.alias("s"), d.alias("d"), (~settled).alias("open"), prefix.cast("int").alias("prefix"), F.explode("diff").alias("e"))
     cell = materialize(cell)
     often = cell.groupBy("m", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Elements nobody else has come first and meet nobody; they only move the others back.

@@ -12,9 +12,11 @@ _paths: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests on one machine)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset and the session is of one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='cartage-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -35,13 +37,19 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     _paths.append(path)
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete every scratch table of this process; call it when results that read them are written."""
-    n = len(_paths)
-    while _paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+def drop_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the scratch tables of this process from number ``since`` on, but the last ``keep``; call it when results that read them are written."""
+    gone = _paths[since : len(_paths) - keep]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return n
+        _paths.remove(path)
+    return len(gone)
+
+
+def scratch_tables() -> int:
+    """How many there are now, as a place for ``drop_scratch``."""
+    return len(_paths)
 
 
 def broadcast_if(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
@@ -59,6 +67,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: list[str], share: int = 1000) -> DataFrame:
+    """Inner join on ``key``, one row of ``table`` a key, in which no key's rows are all one task's.
+
+    Keys of at least one in ``share`` rows are no more than ``share``.  Their rows are dealt by a hash of ``spread`` to as
+    many parts as they have that many rows, and their row of ``table`` goes to each part.  ``rows`` is read twice.
+    """
+    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
+    floor = max(1, (counts.agg(F.sum("__n")).first()[0] or 0) // share)
+    hot = F.broadcast(counts.where(F.col("__n") > floor).select(key, F.ceil(F.col("__n") / floor).cast("int").alias("__parts")))
+    left = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    right = table.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
     """``rows`` with the columns of ``groups``, as a left join, without sending a hot group to one task.
 
