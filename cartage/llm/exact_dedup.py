@@ -1,14 +1,14 @@
 """Operator 1: exact duplicates by progressive refinement.
 
 Length groups first, then a hash of a short prefix inside them, then a full digest of the texts that are left.  Each level
-passes on only keys that two or more rows share.  The key sets prune through broadcasts of a checked size; a set beyond
-``max_keys`` prunes nothing at that level, which costs hashing but changes no result.  No text is ever shuffled: rows are
+passes on only keys that two or more rows share.  The key sets prune through broadcasts of at most ``max_keys`` rows; of a
+larger set the slots that its keys fall in are sent, so some unique texts are hashed too, which changes no result.  No text is ever shuffled: rows are
 met again by (length, prefix hash, digest), and only groups of two or more are joined back: the few largest, bounded in
 number, by broadcast, the others by shuffle.
 
 Defined cases: null text counts as empty; all empty texts are one group; a null id is smaller than any other; rows that
-repeat an id with the same text are all members and share the verdict; other columns are ignored; an empty table gives
-an empty result.
+repeat an id with the same text are all members and share the verdict; a text of any length is hashed in place; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from .scratch import attach_groups, materialize
 
 
-def _shared(rows: DataFrame, key: str, max_keys: int) -> DataFrame | None:
-    """Keys that two rows or more have, or None where there are too many to broadcast."""
-    keys = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key, F.lit(True).alias("shared")))
-    return F.broadcast(keys) if keys.count() <= max_keys else None
+def _alive(rows: DataFrame, key: str, max_keys: int) -> DataFrame:
+    """``rows`` with ``alive``: true for every key that two rows or more have, false for others as far as the broadcast tells."""
+    keys = materialize(rows.select(key).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    of = lambda c: c if keys.count() <= max_keys else F.pmod(F.xxhash64(c), F.lit(max_keys))
+    slot = of(F.col(key))
+    shared = F.broadcast(keys.select(slot.alias("slot"), F.lit(True).alias("shared")).distinct())  # at most max_keys rows
+    return rows.withColumn("slot", slot).join(shared, "slot", "left").withColumn("alive", F.coalesce("shared", F.lit(False))).drop("shared", "slot")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, max_keys: int = 1_000_000, digest_all: bool = False) -> DataFrame:
@@ -35,11 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for level, key in (("n_bytes", F.col("n_bytes")), ("prefix", F.xxhash64("n_bytes", F.substring("body", 1, prefix_chars)))):
         if level == "prefix":
             rows = rows.withColumn("prefix", F.when(F.col("alive"), key))
-        shared = _shared(rows.select(level), level, max_keys)
-        if shared is None:
-            rows = rows.withColumn("alive", F.lit(True))
-        else:
-            rows = rows.join(shared, level, "left").withColumn("alive", F.coalesce("shared", F.lit(False))).drop("shared")
+        rows = _alive(rows, level, max_keys)
     full = F.unhex(F.sha2(F.col("body").cast("binary"), 256))
     keys = materialize(rows.select("id", "n_bytes", "prefix", "alive", (full if digest_all else F.when(F.col("alive"), full)).alias("digest")))
     groups = keys.where("alive").groupBy("n_bytes", "prefix", "digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
