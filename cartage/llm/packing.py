@@ -79,14 +79,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_le
     pieces = pieces.withColumn("bucket", upper)
     place = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n")
     numbered = materialize(pieces.withColumn("row", F.row_number().over(place) - 1))
-    sizes = sorted((r["bucket"], r["shard"], r["count"]) for r in numbered.groupBy("bucket", "shard").count().collect())  # at most buckets * shards rows
-    offsets, last, total = [], None, 0
-    for b, s, c in sizes:
-        total = 0 if b != last else total
-        offsets.append((b, s, total))
-        last, total = b, total + c
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(offsets, "bucket long, shard int, offset long"))
+    before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n_rows"))
+    offset = F.coalesce(F.sum("n_rows").over(before), F.lit(0).cast("long"))
+    table = F.broadcast(sizes.select("bucket", "shard", offset.alias("offset")))  # at most buckets * shards rows
     capacity = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bucket")).cast("long"))
     rank = F.col("row") + F.col("offset")
     out = numbered.join(table, ["bucket", "shard"]).withColumn("capacity", capacity)
