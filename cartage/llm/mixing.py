@@ -80,7 +80,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     counted = joined.withColumn("__copies", count.cast("int")).where("__copies > 0").drop("__source", "__draw")
     copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     order = hashed_uniform(seed + "/order", F.col(id_col), F.col("__copy"))
-    return copies.withColumn("__order", order).orderBy("__order")
+    # Keys are uniform in [0, 1), so equal ranges are equal parts: no sample is drawn, and the draws run once.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = copies.withColumn("__order", order)
+    return ordered.repartitionById(parts, F.least(F.floor(F.col("__order") * parts), F.lit(parts - 1)).cast("int")).sortWithinPartitions("__order")
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
