@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import attach_groups, broadcast_if, materialize, scratch_root, small_batches, _delete_on_exit
+from .scratch import _delete_on_exit, attach_groups, broadcast_if, join_spread, materialize, scratch_root, small_batches
 
 RATE, UNIT = 8000, 64
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 1024, 12, 16384
@@ -159,7 +159,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = materialize(plan)
     if (plan.agg(F.sum(F.size("skip") + F.size("lend"))).first()[0] or 0) <= max_exceptions:
         plan = F.broadcast(plan)
-    copies = lists.join(files.where("n > 1").select("t", "owner"), "t").where(~F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "t")
+    copies = attach_groups(lists.select("doc_id", "t"), files.where("n > 1").select("t", "owner", "n"), ["t"], "n").where(F.col("n").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "t")
     copies, _ = broadcast_if(materialize(copies.distinct()), max_exceptions)
     firsts = rows.join(copies, rows["doc_id"].eqNullSafe(copies["doc_id"]) & (rows["t"] == copies["t"]), "left_anti")
     path = path or f"{scratch_root(spark)}/media-{uuid.uuid4().hex}"
@@ -178,7 +178,7 @@ def read_media(store: DataFrame) -> DataFrame:
     have = rest.select("t", F.explode(F.concat("own", "lent")).alias("c")).where("c.bytes IS NOT NULL")
     need = rest.select("t", F.posexplode("list").alias("pos", "digest"))
     need = need.join(rest.select("t", F.explode("own.pos").alias("pos")), ["t", "pos"], "left_anti").distinct()
-    borrowed = need.join(lent, "digest").select("t", F.struct("pos", "digest", "bytes").alias("c"))
+    borrowed = join_spread(materialize(need), lent, "digest", ["t", "pos"]).select("t", F.struct("pos", "digest", "bytes").alias("c"))
     far = have.unionByName(borrowed).groupBy("t").agg(F.collect_list("c").alias("parts")).join(rest.select("t", "media", "list").dropDuplicates(["t"]), "t")
     return near.unionByName(far.select("t", "media", "list", "parts")).mapInArrow(_rebuild, VALUES)
 
