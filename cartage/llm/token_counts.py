@@ -3,12 +3,12 @@
 A document's text is cut into pre-tokens by the tokenizer's pattern; each has its own number of tokens.  Blocks of
 pre-tokens are the leaves of a segment tree whose nodes hold sums of characters, pre-tokens and tokens.  An edit
 descends by characters, re-cuts from two pre-tokens before it until the cuts meet the old ones again, encodes only the
-new pre-tokens and updates the sums on the path.
+new pre-tokens and updates the sums on the path; a leaf that has grown to twice a block is split.
 
 Defined cases: null and empty texts have 0 tokens; edits beyond the end are moved to the end; edits of one document are
 applied in order of (seq, pos, ins), positions counted in the text as it then is; repeated edits are applied again; null
-inserts are empty; edits of unknown documents are ignored; rows that repeat an id each get all its edits; other columns
-are ignored; an empty table gives an empty result.
+inserts are empty; edits of unknown documents are ignored; rows that repeat an id each get all its edits; a text of any
+length is one tree in one task; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,13 +45,15 @@ class CountTree:
         self.pattern, self.encoding, self.cache = encoder(path)
         self.encoded = 0
         pieces = self.pattern.findall(text)
-        self.blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
-        self.size = 1
+        blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
+        self._plant(blocks, [self._leaf(b) for b in blocks])
+
+    def _plant(self, blocks: list[list[str]], leaves: list[tuple[int, int, int]]) -> None:
+        self.blocks, self.size = blocks, 1
         while self.size < len(self.blocks):
             self.size *= 2
         self.sums = [(0, 0, 0)] * (2 * self.size)
-        for i, b in enumerate(self.blocks):
-            self.sums[self.size + i] = self._leaf(b)
+        self.sums[self.size : self.size + len(leaves)] = leaves
         for k in range(self.size - 1, 0, -1):
             self.sums[k] = self._pair(k)
 
@@ -157,6 +159,18 @@ class CountTree:
                 k //= 2
                 self.sums[k] = self._pair(k)
 
+        if any(len(self.blocks[block]) > 2 * BLOCK for block in {*by_block, first[0]}):
+            self._split()
+
+    def _split(self) -> None:
+        """Cut leaves that have grown beyond twice the block; the sums of the others are taken over, nothing else is encoded."""
+        blocks, leaves = [], []
+        for k, b in enumerate(self.blocks):
+            parts = [b] if len(b) <= 2 * BLOCK else [b[i : i + BLOCK] for i in range(0, len(b), BLOCK)]
+            blocks += parts
+            leaves += [self.sums[self.size + k]] if len(parts) == 1 else [self._leaf(p) for p in parts]
+        self._plant(blocks, leaves)
+
     def text(self) -> str:
         return "".join(p for b in self.blocks for p in b)
 
