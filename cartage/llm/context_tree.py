@@ -15,7 +15,7 @@ mixed along one path from the root down.
    documents through a shuffle join.  None is cut, and the scores do not depend on ``max_keys``.
 
 Defined cases: null text is empty; an empty text is one end; null ids train (crc32 of null is not 2); repeated rows count
-and score each; without training rows every decision has probability 1/2; other columns are ignored; an empty table gives
+and score each; a text of any length is one task's, in slices of their own; without training rows every decision has probability 1/2; other columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -279,7 +279,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, distinct = int(model["total"]), int(model["distinct"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     del model
-    found = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(partial(_score, model=shared), "doc_id long, row long, n_tokens long, n_known long, log_c double, score double, n_bytes long, rare array<long>")
+    found = rows.select("doc_id", "text", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id").alias("b")).alias("row")).mapInArrow(partial(_score, model=shared), "doc_id long, row struct<a: long, b: long>, n_tokens long, n_known long, log_c double, score double, n_bytes long, rare array<long>")
     if not rare.isEmpty():
         found = materialize(found)
         which = ["row", "n_bytes"]
