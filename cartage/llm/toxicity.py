@@ -10,8 +10,10 @@ word counts by its heaviest term, each word once, and the sum is divided by a sl
 The training sample is bounded by ``sample`` rows a class, the smallest by hash of the id; the lexicon by ``max_terms``.
 
 Defined cases: null text is empty; an empty text has no matches and the lowest score; null labels and labels without a
-document are ignored; without labels of both classes every score is the same, below 0.5; rows are scored one by one, so
-repeated rows get equal scores; other columns are ignored.
+document are ignored; without labels of both classes every score is the same, below 0.5; null ids of labels
+are ignored, null ids of documents are scored and not held out; rows are scored one by one, whatever their length, so
+repeated rows get equal scores; other columns of either table are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -73,6 +75,8 @@ def _count(batches: Iterator[pa.RecordBatch], keep: set[str] | None) -> Iterator
     Equal texts of a class have equal terms and are read once.
     """
     seen: set[tuple[int, bytes]] = set()
+    terms: list[str] = []
+    whose: list[tuple[int, int, int]] = []  # class, sketch and number of terms of each row
     for b in batches:
         for lo, hi, buf, off in K.slices(b.column(1)):
             sh, doc = K.shingles(*K.words(K.LOWER[buf], off))
@@ -85,9 +89,18 @@ def _count(batches: Iterator[pa.RecordBatch], keep: set[str] | None) -> Iterator
                 seen.add(same)
                 words = fold(text)
                 found = terms_of(words) if keep is None else {f"{a} {z} " for a, z in zip(words, words[1:], strict=False) if a in keep or z in keep}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["", *found]), pa.array([toxic] * (len(found) + 1), pa.int32()), pa.array([h >> 1] * (len(found) + 1), pa.int64())], names=["term", "toxic", "sketch"]
-                )
+                terms += ["", *found]
+                whose.append((toxic, h >> 1, len(found) + 1))
+                if len(terms) >= 50_000:
+                    yield _terms(terms, whose)
+                    terms, whose = [], []
+    if terms:
+        yield _terms(terms, whose)
+
+
+def _terms(terms: list[str], whose: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    toxic, sketch, n = (np.array(x) for x in zip(*whose, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.repeat(toxic, n).astype(np.int32)), pa.array(np.repeat(sketch, n).astype(np.int64))], names=["term", "toxic", "sketch"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -4,8 +4,11 @@ import zlib
 from collections import Counter
 from math import lgamma, log, log10
 
+import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cartage.llm import context_tree, license_scan, media, token_counts, toxicity
 
 from .fixtures import documents, rows, texts, words
@@ -312,3 +315,76 @@ def test_words_of_all_rows_of_one_sketch_are_counted(spark):
         counts, t, n = toxicity._weights(rows_)
         assert {f"insult{i} " for i in range(6)} <= {r.term for r in counts.where("t >= 1").collect()}
         assert 1 <= t <= 6 and n == 1
+
+
+def lexicon_by_force(train, scored):
+    """Scores by counting sets and by searching every term at every word."""
+    import math
+
+    from cartage.llm import kernel as K
+
+    def sketch(text):
+        sh, _ = K.shingles(*K.words(K.LOWER[np.frombuffer(text.encode(), np.uint8)], np.array([0, len(text.encode())])))
+        return min((int(x) >> 1 for x in K.hash_ints(sh, 23)), default=(2**64 - 1) >> 1)
+
+    def terms(words):
+        return {w + " " for w in words} | {w[:n] for w in words for n in (4, 5, 6) if len(w) > n}
+
+    def count(of):
+        rows = {(t, c, sketch(x)) for c, x in train for t in ["", *of(toxicity.fold(x))]}
+        return Counter((t, c) for t, c, _ in rows)
+
+    met = count(terms)
+    t, n = met["", 1], met["", 0]
+    weight = {w: math.log((met[w, 1] + 0.5) / (t + 1)) - math.log((met[w, 0] + 0.5) / (n + 1)) for w, _ in met if w}
+    lexicon = {w: x for w, x in weight.items() if met[w, 1] >= toxicity.MIN_ROWS and x >= toxicity.MIN_WEIGHT}
+    whole = {w[:-1] for w in lexicon if w.endswith(" ")}
+    pairs = count(lambda ws: {f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False) if a in whole or b in whole})
+    spared = {p for p, _ in pairs if p and pairs[p, 0] >= 3 and pairs[p, 0] > 10 * pairs[p, 1]} | set(toxicity.EXCEPTIONS)
+
+    def raw(text):
+        words = toxicity.fold(text)
+        safe = {k for p in spared for k in range(len(words)) if words[k : k + len(p.split())] == p.split() for k in range(k, k + len(p.split()))}
+        found = {}
+        for k, w in enumerate(words):
+            best = max((x for term, x in lexicon.items() if (w + " ").startswith(term)), default=0.0)
+            if best and k not in safe:
+                found[w] = best
+        return sum(found.values()) / (1 + math.log1p(len(words) / toxicity.LENGTH_SCALE))
+
+    table = Counter((c, min(int(round(raw(x) * 20)), 2000)) for c, x in train)
+    middle = toxicity._middle(dict(table)) / 20
+    return [1 / (1 + math.exp(-2 * (raw(x) - middle))) for x in scored]
+
+
+def test_toxicity_scores_are_the_brute_force(spark):
+    rng = random.Random(4)
+    bad, good = ["blorgish", "snarfing", "gronk", "vexatious"], [f"word{i}" for i in range(60)]
+    data, labels = [], []
+    for i in range(160):
+        toxic = i % 3 == 0
+        body = [rng.choice(good) for _ in range(rng.randrange(5, 60))]
+        if toxic:
+            body[1:1] = rng.sample(bad, 2)
+        elif i % 5 == 0:
+            body += ["gronk", "festival"]
+        data.append((i, " ".join(body)))
+        labels.append((i, 1, int(toxic), "clash"))
+    data += [(None, "a gronk and blorgish thing"), (900, None), (901, ""), (902, "gr0nk " * 3 + "calm " * 20_000), (5, data[5][1])]
+    lab = spark.createDataFrame([*labels, (None, 0, 1, "x"), (7777, 0, 1, "x"), (8, 0, None, "x")], "doc_id long, quality int, toxic int, text string")
+    train = [(toxic, data[i][1]) for i, _, toxic, _ in labels if zlib.crc32(str(i).encode()) % 5] + [(labels[5][2], data[5][1])] * (zlib.crc32(b"5") % 5 > 0)
+    got = toxicity.score_toxicity(documents(spark, texts(data)).withColumn("toxic", F.lit("clash")), lab).collect()
+    want = lexicon_by_force(train, [t or "" for _, t in data])
+    assert sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 9), r.predicted) for r in got) == sorted((i is None, i or 0, round(s, 9), int(s >= 0.5)) for (i, _), s in zip(data, want, strict=True))
+    assert {r.predicted for r in got} == {0, 1}
+    assert toxicity.score_toxicity(documents(spark, []), lab).count() == 0
+
+
+def test_leaves_that_grow_are_split():
+    tree, text = token_counts.CountTree("one two three", token_counts.VOCABULARY), "one two three"
+    for k in range(1500):
+        tree.edit(4, 0, f"w{k} ")
+        text = text[:4] + f"w{k} " + text[4:]
+    assert max(map(len, tree.blocks)) <= 2 * token_counts.BLOCK
+    assert tree.text() == text
+    assert tree.totals == token_counts.CountTree(text, token_counts.VOCABULARY).totals
