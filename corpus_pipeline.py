@@ -1,6 +1,12 @@
 """A corpus pipeline of five of the operators; each stage works on all that the one before it kept.
 
-Defined cases follow the operators'.  A stage gets a table and returns one, so a lost executor costs a stage at most.
+A stage gets a table and returns one, so a lost executor costs a stage at most; a stage's own scratch tables go when its
+result is written.
+
+Defined cases: a row is known by its id and text, so rows with null or repeated ids share no verdict unless their texts are
+equal too; null texts count as empty, are never toxic, and one row of them stays; of rows without words one stays; texts of
+any length are worked on whole; columns of any name are carried to the mixing stage unchanged; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from cartage.llm.dart_minhash import drop_near_duplicates
 from cartage.llm.exact_dedup import drop_exact_duplicates
 from cartage.llm.mixing import mixed_documents
 from cartage.llm.packing import pack
-from cartage.llm.scratch import materialize
+from cartage.llm.scratch import drop_scratch, materialize, scratch_tables
 from cartage.llm.toxicity import drop_toxic
 
 
@@ -52,6 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = scratch_tables()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        drop_scratch(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
