@@ -164,7 +164,7 @@ p AS (SELECT *, (hours * map {2: 140, 3: 190, 4: 240, 5: 290}[crew])::DECIMAL(18
 SELECT l_orderkey, l_linenumber, crew AS crew_size, hours::DOUBLE AS estimated_hours, (round(sub, 2) * 100)::BIGINT AS subtotal_cents, (round((sub * f)::DECIMAL(24,8), 2) * 100)::BIGINT AS total_cents,
 (round((sub * f * 0.88)::DECIMAL(28,8), 0) * 100)::BIGINT AS amount_min_cents, (round((sub * f * 1.12)::DECIMAL(28,8), 0) * 100)::BIGINT AS amount_max_cents FROM p""")
 def price_kernel(spark, d):
-    return _jobs(spark, d).withColumn("p", _priced()).select("l_orderkey", "l_linenumber", "p.crew_size", "p.estimated_hours", "p.subtotal_cents", "p.total_cents", "p.amount_min_cents", "p.amount_max_cents")
+    return _priced(_jobs(spark, d), "p").select("l_orderkey", "l_linenumber", "p.crew_size", "p.estimated_hours", "p.subtotal_cents", "p.total_cents", "p.amount_min_cents", "p.amount_max_cents")
 
 
 def _jobs(spark, d):
@@ -172,14 +172,14 @@ def _jobs(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def _priced(change=None):
-    """The price of a row of ``_jobs``; ``change`` replaces its packing or floor."""
+def _priced(jobs, name, change=None):
+    """``_jobs`` with their price; ``change`` replaces packing or floor."""
     size = F.element_at(F.array(*map(F.lit, similarity.HOME_SIZES)), F.least(F.col("l_linenumber"), F.lit(6)))
     n = F.col("l_quantity").cast("int")
     own = {"packing": F.element_at(F.array(*map(F.lit, similarity.PACKING)), (F.col("l_orderkey") % 3 + 1).cast("int")), "floor": n % 6} | (change or {})
     items = F.element_at(F.array(F.array().cast("array<string>"), F.array(F.lit("piano")), F.array(F.lit("safe")), F.array(F.lit("harp"))), (F.col("l_partkey") % 4 + 1).cast("int"))
     ground = {"floor": F.lit(1), "flights": F.lit(0), "elevator": F.lit(False)}
-    return pricing.price(size, own["packing"], items, {"floor": own["floor"], "flights": n % 3, "elevator": F.col("l_orderkey") % 2 == 0}, ground, F.col("l_quantity"), F.col("day"))
+    return pricing.priced(jobs, name, size, own["packing"], items, {"floor": own["floor"], "flights": n % 3, "elevator": F.col("l_orderkey") % 2 == 0}, ground, F.col("l_quantity"), F.col("day"))
 
 
 @query("""WITH x AS (SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS a, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_tax END AS m, CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE 1 END AS f, l_discount * 200 AS p FROM lineitem)
@@ -485,7 +485,7 @@ _AFTER = ORACLE["price_kernel"].replace("['none', 'partial', 'full'][(l_orderkey
 JOIN (SELECT l_orderkey, sum(total_cents)::BIGINT AS after_cents, sum(estimated_hours) AS after_hours FROM ({_AFTER}) GROUP BY 1) USING (l_orderkey)""")
 def requote_preview(spark, d):
     """What each order's jobs would cost with full packing from the first floor; both prices are made in one pass."""
-    before, after = _priced(), _priced({"packing": F.lit("full"), "floor": F.lit(1)})
-    x = _jobs(spark, d).select("l_orderkey", before.alias("b"), after.alias("a")).groupBy("l_orderkey")
+    both = _priced(_priced(_jobs(spark, d), "b"), "a", {"packing": F.lit("full"), "floor": F.lit(1)})
+    x = both.groupBy("l_orderkey")
     sums = x.agg(F.sum("b.total_cents").alias("before_cents"), F.sum("a.total_cents").alias("after_cents"), F.sum(F.col("a.estimated_hours") - F.col("b.estimated_hours")).alias("delta_hours"))
     return sums.select("l_orderkey", "before_cents", "after_cents", (F.col("after_cents") - F.col("before_cents")).alias("delta_cents"), "delta_hours")

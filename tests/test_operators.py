@@ -13,6 +13,10 @@ from cartage.sources import files
 from cartage.streaming import state
 
 
+def one_of(df, name):
+    return df.first()[name]
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
@@ -63,14 +67,14 @@ def test_small_parsers(spark):
 )
 def test_price_goldens(spark, size, packing, items, origin, destination, miles, day, want):
     side = lambda s: dict(zip(("floor", "flights", "elevator"), map(F.lit, s), strict=True))
-    got = one(spark, pricing.price(F.lit(size), F.lit(packing), F.array(*map(F.lit, items)).cast("array<string>"), side(origin), side(destination), F.lit(float(miles)), F.lit(day).cast("date")))
+    got = one_of(pricing.priced(spark.range(1), "p", F.lit(size), F.lit(packing), F.array(*map(F.lit, items)).cast("array<string>"), side(origin), side(destination), F.lit(float(miles)), F.lit(day).cast("date")), "p")
     assert {k: got[k] for k in want} == want
     assert sum(x["amount_cents"] for x in got["line_items"]) == got["total_cents"]
 
 
 def test_price_of_unknown_size_is_null(spark):
     side = {"floor": F.lit(1), "flights": F.lit(0), "elevator": F.lit(False)}
-    assert one(spark, pricing.price(F.lit("castle"), F.lit("none"), F.lit(None), side, side, F.lit(3.0), F.lit("2026-05-30").cast("date"))) is None
+    assert one_of(pricing.priced(spark.range(1), "p", F.lit("castle"), F.lit("none"), F.lit(None), side, side, F.lit(3.0), F.lit("2026-05-30").cast("date")), "p") is None
     assert pricing.PricingConfig(crew={"studio": 9}).problems()
 
 
