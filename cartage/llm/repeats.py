@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .scratch import materialize, small_batches
 
-LENGTH, GRAM, MAX_WINDOWS, BLOCK = 100, 28, 256, 300_000
+LENGTH, GRAM, MAX_WINDOWS, BLOCK, MEMORY = 100, 28, 256, 300_000, 500_000
 NO_ID = -(2**63)
 STRETCH = "mh long, sk long, doc long, sub long, start int, windows int, inner boolean, done boolean"
 NAMES = ["mh", "sk", "doc", "sub", "start", "windows", "inner", "done"]
@@ -125,10 +125,24 @@ def _nth(new_class: np.ndarray, same: np.ndarray, before: int) -> np.ndarray:
     return nth
 
 
+def _after(known: list[np.ndarray], of: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether a stretch stands after the place that ``known`` has for its class."""
+    if not len(known[0]):
+        return np.zeros(len(of), bool)
+    at = np.minimum(np.searchsorted(known[0], of), len(known[0]) - 1)
+    d, u, s = (k[at] for k in known[1:])
+    return (known[0][at] == of) & ((doc > d) | (doc == d) & ((sub > u) | (sub == u) & (start > s)))
+
+
 def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, sub, base, text): text is what a document has from base on.  Out: the first two stretches of each class, and the others (done)."""
+    """Rows (doc, sub, base, text): text is what a document has from base on.  Out: the first two stretches of each class, and the others (done).
+
+    Classes that a block had twice are remembered, up to MEMORY of them with the place of the second: what stands after
+    that place in a later block of the task is a third or later one too.
+    """
     held: list[Columns] = []
     size = 0
+    known = [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))]  # class, doc, sub and start of the second, sorted by class
 
     def settle() -> Iterator[pa.RecordBatch]:
         mh, sk, doc, sub, start, win, inner = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -139,8 +153,14 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[
         new[1:] = (mh[1:] != mh[:-1]) | (sk[1:] != sk[:-1])
         same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (start[1:] == start[:-1])
         nth = _nth(new, same, 0)
-        yield from _rows(tuple(c[(nth < 2) & ~same] for c in columns), False)
-        late = nth >= 2
+        of = K.mix(mh.view(np.uint64) ^ K.mix(sk.view(np.uint64)))
+        late = (nth >= 2) | _after(known, of, doc, sub, start)
+        yield from _rows(tuple(c[~late & ~same] for c in columns), False)
+        late &= ~same
+        second = np.flatnonzero((nth == 1) & ~same)[: MEMORY - len(known[0])]
+        if len(second):
+            at = np.argsort(joined := np.concatenate([known[0], of[second]]), kind="stable")
+            known[:] = [joined[at], *(np.concatenate([k, c[second]])[at] for k, c in zip(known[1:], (doc, sub, start.astype(np.int64)), strict=True))]
         d, u, s, e = merged(doc[late], sub[late], start[late], start[late] + win[late] + length - 1)
         spread = K.hash_ints(d.view(np.uint64) ^ s.astype(np.uint64), 5).view(np.int64)
         yield from _rows((spread, spread, d, u, s, e - s - length + 1, np.zeros(len(d), bool)), True)
@@ -349,7 +369,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).select("id", F.coalesce("id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("sub"), F.col("text").cast("binary").alias("text"))
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 5_000) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 1_000) -> DataFrame:
     """(doc, sub, start, bytes) of spans that are covered by a repeated string of ``length`` bytes; they may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
