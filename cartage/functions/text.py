@@ -21,7 +21,7 @@ STOPWORDS = (
 def normalize(text: Column) -> Column:
     """Control characters and tags to blanks, one kind of line end, no runs of blanks, at most one empty line."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    t = F.regexp_replace(t, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", " ")
+    t = F.regexp_replace(t, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", " ")
     t = F.regexp_replace(t, "<[^>]{0,200}>", " ")
     t = F.regexp_replace(t, "[ \\t]+", " ")
     t = F.regexp_replace(t, " ?\n ?", "\n")

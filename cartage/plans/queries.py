@@ -250,8 +250,11 @@ def parse_props_json(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"), F.max(k).alias("most"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g'),
-'<[^>]{0,200}>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS normal_sha FROM documents""")
+NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'),
+'<[^>]{0,200}>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
+
+
+@query(f"SELECT doc_id, sha256({NORMAL}) AS normal_sha FROM documents")
 def text_normalise(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("normal_sha"))
 
