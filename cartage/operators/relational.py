@@ -35,8 +35,7 @@ def flag_duplicates(rows: DataFrame, order: str, ref: str, print_col: str, known
     scope = [tenant] if tenant else []
     first = rows.where(F.col(ref).isNotNull()).groupBy(*scope, ref).agg(F.min(order).alias("__first"))
     if known_refs is not None:
-        known = known_refs.select(*scope, F.col(ref)).distinct().withColumn("__known", F.lit(True))
-        first = first.join(known, [*scope, ref], "left").select(*scope, ref, F.when(F.col("__known").isNull(), F.col("__first")).alias("__first"))
+        first = _marked(first, known_refs, [*scope, ref]).select(*scope, ref, F.when(F.col("__known").isNull(), F.col("__first")).alias("__first"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*scope, ref)]
     repeats = F.col("f.__first").isNull() | (F.col(f"r.{order}") > F.col("f.__first"))
     named = rows.where(F.col(ref).isNotNull()).alias("r").join(first.alias("f"), same).select("r.*", repeats.alias("duplicate"))
@@ -44,8 +43,7 @@ def flag_duplicates(rows: DataFrame, order: str, ref: str, print_col: str, known
     stand = unnamed.select(*scope, print_col, order).unionByName(named.where("NOT duplicate").select(*scope, print_col, order))
     earliest = stand.where(F.col(print_col).isNotNull()).groupBy(*scope, print_col).agg(F.min(order).alias("__first"))
     if known_prints is not None:
-        known = known_prints.select(*scope, F.col(print_col)).distinct().withColumn("__known", F.lit(True))
-        earliest = earliest.join(known, [*scope, print_col], "left").select(*scope, print_col, F.when(F.col("__known").isNull(), F.col("__first")).alias("__first"), F.lit(True).alias("__met"))
+        earliest = _marked(earliest, known_prints, [*scope, print_col]).select(*scope, print_col, F.when(F.col("__known").isNull(), F.col("__first")).alias("__first"), F.lit(True).alias("__met"))
     else:
         earliest = earliest.withColumn("__met", F.lit(True))
     same = [*(F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in scope), F.col(f"r.{print_col}") == F.col(f"f.{print_col}")]
@@ -54,6 +52,12 @@ def flag_duplicates(rows: DataFrame, order: str, ref: str, print_col: str, known
     return named.unionByName(by_print)
 
 
+def _marked(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``__known``: true where ``known`` has the keys, null keys being equal; else null."""
+    side = known.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.lit(True).alias("__known")).distinct()
+    return rows.join(side, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left").drop(*(f"__k_{k}" for k in keys))
+
+
 def chain_heads(links: DataFrame, key: str, successor: str, max_hops: int = 50) -> DataFrame:
     """(key, head, hops), one row per key: the end of its chain of successors, by pointer doubling: 6 joins cover 50 hops, not 50.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +65,107 @@ def upper_median(value: str) -> Column:
     return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{value})")
 
 
-def numbered(rows: DataFrame, tenant: str, *order: str) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(tenant).orderBy(*order)))
+def numbered(rows: DataFrame, tenant: str, bucket: Column, *order: str) -> DataFrame:
+    """``rows`` with ``rn``: their number inside the tenant in the order of (bucket, order), from 1.
+
+    Rows are numbered inside a bucket and the buckets before are added, so a large tenant is spread over its buckets;
+    ``bucket`` is a coarse form of the first order column, such as the day of a time.
+    """
+    cut = rows.withColumn("__b", bucket)
+    before = Window.partitionBy(tenant).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(tenant, "__b").agg(F.count(F.lit(1)).alias("__n")).select(F.col(tenant).alias("__t"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = cut.withColumn("__r", F.row_number().over(Window.partitionBy(tenant, "__b").orderBy(*order)))
+    met = inside.join(sizes, F.col(tenant).eqNullSafe(F.col("__t")) & F.col("__b").eqNullSafe(F.col("__c")))
+    return met.withColumn("rn", F.col("__r") + F.col("__before")).drop("__b", "__r", "__t", "__c", "__before")
+
+
+def fold_bounds(numbered_rows: DataFrame, tenant: str, folds: int = 4, train_min: int = 20, test_min: int = 10) -> DataFrame:
+    """(tenant, n, fold, lo, hi): the first ``lo`` rows train, the next up to ``hi`` test; blocks under ``test_min`` are left out."""
+    sizes = numbered_rows.groupBy(tenant).agg(F.max("rn").cast("long").alias("n"))
+    first = F.greatest(F.lit(train_min), F.expr("n div 2"))
+    step = F.greatest(F.call_function("div", F.col("n") - first, F.lit(folds)), F.lit(test_min))
+    cut = sizes.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds))))
+    return cut.withColumn("lo", first + F.col("fold") * step).withColumn("hi", F.least(first + (F.col("fold") + 1) * step, F.col("n"))).where(F.col("hi") - F.col("lo") >= test_min)
+
+
+def backtest_predictions(rows: DataFrame, tenant: str, segment: str, base: str, actual: str) -> DataFrame:
+    """Test rows of every fold with ``calibrated`` and ``clamped``, from numbered rows (tenant, rn, segment, base, actual).
+
+    Each fold fits shrunken segment medians of log(actual / base) on the rows before it; the factor is clamped as in
+    production, by the fold's training rows, and not rounded.
+    """
+    cut = fold_bounds(rows, tenant)
+    joined = rows.withColumn("__v", F.ln(F.col(actual) / F.col(base))).join(cut, tenant).where("rn <= hi")
+    train = joined.where("rn <= lo")
+    whole = train.groupBy(tenant, "fold").agg(F.median("__v").alias("__all"))
+    parts = train.groupBy(tenant, "fold", segment).agg(F.median("__v").alias("__seg"), F.count(F.lit(1)).alias("__n"))
+    test = joined.where("rn > lo").join(whole, [tenant, "fold"]).join(parts, [tenant, "fold", segment], "left")
+    ratio = F.coalesce((F.col("__n") * F.col("__seg") + 10.0 * F.col("__all")) / (F.col("__n") + 10.0), F.col("__all"))
+    cap = clamp_cap(F.col("lo"))
+    step = test.withColumns({"__raw": F.exp(ratio), "__cap": cap})
+    factor = F.least(F.greatest(F.col("__raw"), 1 - F.col("__cap")), 1 + F.col("__cap"))
+    return step.withColumns({"calibrated": F.col(base) * factor, "clamped": F.abs(factor - F.col("__raw")) > 1e-9}).drop("__v", "__all", "__seg", "__n", "__raw", "__cap")
+
+
+def both_arms(tested: DataFrame, tenant: str, base: str, actual: str) -> DataFrame:
+    """Per tenant: tests, folds, both median absolute percent errors, the improvement in percent, the share of clamped predictions."""
+    ape = lambda p: F.abs(F.col(actual) - F.col(p)) / F.col(p) * 100
+    out = tested.groupBy(tenant).agg(F.count(F.lit(1)).alias("n_test"), F.count_distinct("fold").alias("n_folds"), F.median(ape(base)).alias("b"), F.median(ape("calibrated")).alias("c"), F.avg(F.col("clamped").cast("double")).alias("k"))
+    gain = F.when(F.col("b") > 0, (F.col("b") - F.col("c")) / F.col("b") * 100).otherwise(0.0)
+    return out.select(tenant, "n_test", "n_folds", F.round("b", 2).alias("baseline_ape_pct"), F.round("c", 2).alias("calibrated_ape_pct"), F.round(gain, 2).alias("improvement_pct"), F.round(F.col("k") * 100, 1).alias("clamp_rate_pct"))
+
+
+def interval(base: np.ndarray, candidate: np.ndarray, actual: np.ndarray, iterations: int = 2000, seed: int = 12345) -> tuple[float, float] | None:
+    """The middle 95 percent of the improvement over resampled pairs; null under ten pairs.  Seeded, so a decision repeats."""
+    n = len(actual)
+    if n < 10:
+        return None
+    gaps = [np.abs(actual - p) / p * 100 for p in (base, candidate)]
+    rng, found = np.random.default_rng(seed), []
+    at_once = max(1, 2_000_000 // n)
+    for done in range(0, iterations, at_once):
+        pick = rng.integers(0, n, (min(at_once, iterations - done), n))
+        b, c = (np.median(g[pick], axis=1) for g in gaps)
+        found.append(np.where(b > 0, (b - c) / np.where(b > 0, b, 1) * 100, 0.0))
+    ordered = np.sort(np.concatenate(found))
+    return round(float(ordered[int(0.025 * iterations)]), 2), round(float(ordered[int(0.975 * iterations) - 1]), 2)
+
+
+def intervals(tested: DataFrame, tenant: str, base: str, actual: str, iterations: int = 2000, seed: int = 12345) -> DataFrame:
+    """(tenant, n, ci_low_pct, ci_high_pct, significant).  A tenant's test rows meet in one task: they are one company's history."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rn"])
+        ci = interval(*(rows[c].to_numpy() for c in (base, "calibrated", actual)), iterations, seed)
+        low, high = ci or (None, None)
+        return pd.DataFrame({tenant: [key[0]], "n": [len(rows)], "ci_low_pct": [low], "ci_high_pct": [high], "significant": [low is not None and low > 0]})
+
+    kind = tested.schema[tenant].dataType.simpleString()
+    return tested.select(tenant, "rn", base, "calibrated", actual).where(F.col(base) > 0).groupBy(tenant).applyInPandas(one, f"{tenant} {kind}, n long, ci_low_pct double, ci_high_pct double, significant boolean")
+
+
+def set_fingerprint(rows: DataFrame, *fields: Column) -> DataFrame:
+    """One row: a digest of the rows whatever their order; sums of two parts of each row's SHA-256, so nothing is gathered."""
+    h = F.sha2(F.concat_ws(":", *fields), 256)
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)"))
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(16).alias("b"))
+    return sums.select("n", F.sha2(F.concat_ws(":", "n", F.coalesce("a", F.lit(0)).cast("string"), F.coalesce("b", F.lit(0)).cast("string")), 256).alias("fingerprint"))
+
+
+def shadow_summary(traces: DataFrame, tenant: str) -> DataFrame:
+    """Per tenant of traces (reason, clamped, applied, factor): counts, clamp rate and upper median factor of adjusted ones."""
+    adjusted = F.col("reason").isNull()
+    held = traces.withColumn("__f", F.when(adjusted, F.col("factor")))
+    out = held.groupBy(tenant).agg(F.count(F.lit(1)).alias("recorded"), F.count_if(adjusted).alias("adjusted"), F.count_if("applied").alias("applied"), F.count_if(adjusted & F.col("clamped")).alias("clamped"), upper_median("__f").alias("m"))
+    return out.select(tenant, "recorded", "adjusted", "applied", "clamped", F.round(F.try_divide(F.col("clamped") * 100, F.col("adjusted")), 1).alias("clamp_rate_pct"), F.round("m", 4).alias("median_factor"))
+
+
+def chosen_model(companies: DataFrame, models: DataFrame) -> DataFrame:
+    """(company, mode, version, applies): the active model, or in shadow mode the newest shadow one; none in mode off."""
+    best = models.groupBy("company").agg(F.max(F.when(F.col("status") == "active", F.col("version"))).alias("__a"), F.max(F.when(F.col("status") == "shadow", F.col("version"))).alias("__s"))
+    both = companies.join(best, "company", "left")
+    version = F.when(F.col("mode") == "off", None).otherwise(F.coalesce("__a", F.when(F.col("mode") == "shadow", F.col("__s"))))
+    return both.select("company", "mode", version.alias("version"), ((F.col("mode") == "active") & F.col("__a").isNotNull()).alias("applies"))
 
 
 def permuted(rows: DataFrame, tenant: str, key: str, value: str, seed: int = 99) -> DataFrame:

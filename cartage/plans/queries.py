@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartage.functions import parse, text
-from cartage.operators import pricing, relational, retrieval, similarity, stats, validation
+from cartage.operators import evidence, pricing, relational, retrieval, similarity, stats, validation
 from cartage.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,11 +142,8 @@ m AS (SELECT k.company_id, fold, lo, hi, median(v) AS fit FROM k JOIN x ON x.com
 SELECT m.company_id, fold, lo AS n_train, hi - lo AS n_test, round(fit, 6) AS fit, round(avg(abs(v - fit)), 4) AS mae FROM m JOIN x ON x.company_id = m.company_id AND rn > lo AND rn <= hi GROUP BY m.company_id, fold, lo, hi, fit""")
 def rolling_backtest(spark, d):
     o = t(spark, d, "orders").join(t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("company_id")), F.col("o_custkey") == F.col("c_custkey"))
-    x = stats.numbered(o.select("company_id", "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("v")), "company_id", "o_orderdate", "o_orderkey")
-    sizes = x.groupBy("company_id").agg(F.max("rn").cast("long").alias("n"))
-    first = F.greatest(F.lit(20), F.expr("n div 2"))
-    step = F.greatest(F.expr("(n - greatest(20, n div 2)) div 4"), F.lit(10))
-    folds = sizes.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("lo", first + F.col("fold") * step).withColumn("hi", F.least(first + (F.col("fold") + 1) * step, F.col("n"))).where("hi - lo >= 10")
+    x = stats.numbered(o.select("company_id", "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("v")), "company_id", F.to_date("o_orderdate"), "o_orderdate", "o_orderkey")
+    folds = stats.fold_bounds(x, "company_id")
     joined = x.join(folds, "company_id").where("rn <= hi")
     fit = joined.where("rn <= lo").groupBy("company_id", "fold").agg(F.median("v").alias("fit"))
     test = joined.where("rn > lo").join(fit, ["company_id", "fold"])
@@ -192,31 +189,14 @@ def ineligible_cascade(spark, d):
     return x.groupBy(F.coalesce(reason, F.lit("eligible")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SIMILAR = """WITH q AS (SELECT * FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)),
-s AS (SELECT p.p_partkey, p.p_retailprice, (30 * least(abs(p.p_size - q.p_size) / 10.0, 1) + 20 * least(abs(p.p_retailprice - q.p_retailprice) / 500.0, 1) + 8 * CASE WHEN p.p_type = q.p_type THEN 0 ELSE 1 END) / 58.0 AS gap
-  FROM part p, q WHERE p.p_partkey <> q.p_partkey), k AS (SELECT p_partkey, p_retailprice, round(1 - gap, 4) AS score FROM s ORDER BY score DESC, p_partkey LIMIT 10)"""
-
-
-@query(SIMILAR + " SELECT p_partkey, score FROM k")
-def similar_topk(spark, d):
-    return _similar(spark, d).select("p_partkey", F.col("cmp.score").alias("score"))
-
-
-def _similar(spark, d, every=False):
-    """The best matches of the first part, or of every part whose key is divisible by 100."""
+def _similar(spark, d):
+    """The best matches of every part whose key is divisible by 100."""
     p = t(spark, d, "part")
-    q = (p.where("p_partkey % 100 = 0") if every else p.orderBy("p_partkey").limit(1)).select(*[F.col(c).alias(f"q_{c}") for c in p.columns])
+    q = p.where("p_partkey % 100 = 0").select(*[F.col(c).alias(f"q_{c}") for c in p.columns])
     gaps = {"home_size": similarity.scaled_gap(F.col("p_size"), F.col("q_p_size"), 10.0), "distance_miles": similarity.scaled_gap(F.col("p_retailprice"), F.col("q_p_retailprice"), 500.0), "packing_service": F.when(F.col("p_type") == F.col("q_p_type"), 0.0).otherwise(1.0)}
     return similarity.top_matches(q, p, F.col("p_partkey") != F.col("q_p_partkey"), gaps, [F.col("p_partkey")], "q_p_partkey")
 
 
-@query(SIMILAR + """ SELECT (SELECT count(*) FROM s) AS comparable_count, count(*) AS used, round(median(p_retailprice), 6) AS median_price, round(quantile_cont(p_retailprice::DOUBLE, 0.25), 6) AS q1, round(quantile_cont(p_retailprice::DOUBLE, 0.75), 6) AS q3 FROM k""")
-def similar_signals(spark, d):
-    every = t(spark, d, "part").agg((F.count(F.lit(1)) - 1).alias("comparable_count"))
-    top = _similar(spark, d).agg(F.count(F.lit(1)).alias("used"), F.round(F.median("p_retailprice"), 6).alias("median_price"), F.expr("round(percentile(p_retailprice, 0.25), 6)").alias("q1"), F.expr("round(percentile(p_retailprice, 0.75), 6)").alias("q3"))
-    return every.crossJoin(top)  # one row each
-
-
 SIMILAR_EACH = """WITH q AS (SELECT * FROM part WHERE p_partkey % 100 = 0),
 s AS (SELECT q.p_partkey AS query_id, p.p_partkey, p.p_retailprice, (30 * least(abs(p.p_size - q.p_size) / 10.0, 1) + 20 * least(abs(p.p_retailprice - q.p_retailprice) / 500.0, 1) + 8 * CASE WHEN p.p_type = q.p_type THEN 0 ELSE 1 END) / 58.0 AS gap
   FROM part p, q WHERE p.p_partkey <> q.p_partkey), r AS (SELECT query_id, p_partkey, p_retailprice, round(1 - gap, 4) AS score FROM s),
@@ -224,17 +204,21 @@ k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
 
 
 @query(SIMILAR_EACH + " SELECT query_id, p_partkey, score FROM k")
-def similar_topk_each(spark, d):
-    return _similar(spark, d, True).select(F.col("q_p_partkey").alias("query_id"), "p_partkey", F.col("cmp.score").alias("score"))
+def similar_topk(spark, d):
+    return _similar(spark, d).select(F.col("q_p_partkey").alias("query_id"), "p_partkey", F.col("cmp.score").alias("score"))
 
 
 @query(SIMILAR_EACH + """ SELECT query_id, (SELECT count(*) - 1 FROM part) AS comparable_count, count(*) AS used, round(median(p_retailprice), 6) AS median_price, round(quantile_cont(p_retailprice::DOUBLE, 0.25), 6) AS q1, round(quantile_cont(p_retailprice::DOUBLE, 0.75), 6) AS q3 FROM k GROUP BY 1""")
-def similar_signals_each(spark, d):
+def similar_signals(spark, d):
     every = t(spark, d, "part").agg((F.count(F.lit(1)) - 1).alias("comparable_count"))
-    top = _similar(spark, d, True).groupBy(F.col("q_p_partkey").alias("query_id")).agg(F.count(F.lit(1)).alias("used"), F.round(F.median("p_retailprice"), 6).alias("median_price"), F.expr("round(percentile(p_retailprice, 0.25), 6)").alias("q1"), F.expr("round(percentile(p_retailprice, 0.75), 6)").alias("q3"))
+    top = _similar(spark, d).groupBy(F.col("q_p_partkey").alias("query_id")).agg(F.count(F.lit(1)).alias("used"), F.round(F.median("p_retailprice"), 6).alias("median_price"), F.expr("round(percentile(p_retailprice, 0.25), 6)").alias("q1"), F.expr("round(percentile(p_retailprice, 0.75), 6)").alias("q3"))
     return top.crossJoin(F.broadcast(every))  # one row on the right
 
 
+QUERIES["similar_topk_each"], ORACLE["similar_topk_each"] = similar_topk, ORACLE["similar_topk"]
+QUERIES["similar_signals_each"], ORACLE["similar_signals_each"] = similar_signals, ORACLE["similar_signals"]
+
+
 @query("""WITH x AS (SELECT event_id, user_id % 7 AS tenant, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS ref, user_id || ':' || event_type AS fp FROM events),
 a AS (SELECT *, ref IS NOT NULL AND row_number() OVER (PARTITION BY tenant, ref ORDER BY event_id) > 1 AS rd FROM x),
 b AS (SELECT *, max(CASE WHEN rd THEN 0 ELSE 1 END) OVER (PARTITION BY tenant, fp ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)
@@ -286,9 +270,9 @@ def keyword_search(spark, d):
     return retrieval.keyword_scores(t(spark, d, "part"), q, {"title": "p_name", "content": "p_type"}, "p_partkey", "query_id", "text")
 
 
-@query("SELECT doc_id, sha256('text:' || text) AS content_hash, substr(sha256(lower(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '^ | $', '', 'g'))), 1, 12) AS print FROM documents WHERE lang IN ('en', 'de')")
+@query("SELECT doc_id, sha256('text:' || text) AS content_hash, substr(sha256(lower(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '^ | $', '', 'g'))), 1, 12) AS print FROM documents")
 def content_fingerprint(spark, d):
-    return t(spark, d, "documents").where(F.col("lang").isin("en", "de")).select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.query_fingerprint(F.col("text")).alias("print"))
+    return t(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.query_fingerprint(F.col("text")).alias("print"))
 
 
 @query("SELECT doc_id, sha256('text:' || text) AS content_hash, substr(sha256(lower(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '^ | $', '', 'g'))), 1, 12) AS print FROM documents")
@@ -314,12 +298,18 @@ def vector_topk(spark, d):
 
 
 def _lexical(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("label"))
-    return retrieval.ranked(e.join(q, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id")), "query_id", [F.md5(F.col("chunk_id").cast("string"))], "lexical_rank")
+    """The words of the part with a vector's number are its text; a query asks for name and type of its part."""
+    p = t(spark, d, "part").join(t(spark, d, "embeddings").select(F.col("vec_id").alias("p_partkey")), "p_partkey", "left_semi")
+    c = p.select(F.col("p_partkey").alias("chunk_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    q = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return evidence.lexical_arm(c, q)
 
 
-@query(VECTOR + """l AS (SELECT query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(vec_id::VARCHAR)) AS lexical_rank FROM q JOIN embeddings ON ql = label WHERE vec_id <> query_id),
+LEXICAL = f"""b AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS body, p_name || ' ' || p_type AS asked FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings)), w AS (SELECT *, {TOKENS.replace('lower(text)', 'lower(body)')} AS have, {TOKENS.replace('lower(text)', 'lower(asked)')} AS want FROM b),
+l AS (SELECT x.p_partkey AS query_id, y.p_partkey AS chunk_id, row_number() OVER (PARTITION BY x.p_partkey ORDER BY sha256('text:' || y.body), y.p_partkey) AS lexical_rank FROM w x JOIN w y ON x.p_partkey % 100 = 0 AND list_has_all(y.have, x.want)),"""
+
+
+@query(VECTOR + LEXICAL + """
 f AS (SELECT query_id, chunk_id, lexical_rank, similarity, coalesce(1.0 / (60 + lexical_rank), 0) + coalesce(1.0 / (60 + vector_rank), 0) AS score FROM (SELECT * FROM l WHERE lexical_rank <= 20) FULL JOIN (SELECT * FROM v WHERE vector_rank <= 20) USING (query_id, chunk_id)),
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS position FROM f WHERE lexical_rank IS NOT NULL OR similarity >= 0.35)
 SELECT query_id, chunk_id, round(score, 9) AS score, position FROM g WHERE position <= 5""")
@@ -344,9 +334,8 @@ def threshold_sweep(spark, d):
     return r.groupBy("floor").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(F.coalesce((F.col("rank") <= 5).cast("int"), F.lit(0))), 6).alias("recall_at_5"), F.sum("false_hits").alias("false_hits"))
 
 
-@query(VECTOR + """a AS (SELECT query_id, list(chunk_id ORDER BY vector_rank) AS l FROM v WHERE vector_rank <= 5 GROUP BY 1), m AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(vec_id::VARCHAR)) AS rn FROM q JOIN embeddings ON ql = label WHERE vec_id <> query_id),
-b AS (SELECT query_id, list(vec_id ORDER BY rn) AS r FROM m WHERE rn <= 5 GROUP BY 1)
-SELECT CASE WHEN l = r THEN 'identical' WHEN length(list_intersect(l, r)) = 5 THEN 'same_set' WHEN length(list_intersect(l, r)) > 0 THEN 'overlap' ELSE 'disjoint' END AS agreement, count(*) AS n FROM a JOIN b USING (query_id) GROUP BY 1""")
+@query(VECTOR + LEXICAL + """ a AS (SELECT query_id, list(chunk_id ORDER BY vector_rank) AS r FROM v WHERE vector_rank <= 5 GROUP BY 1), k AS (SELECT query_id, list(chunk_id ORDER BY lexical_rank) AS l FROM l WHERE lexical_rank <= 5 GROUP BY 1)
+SELECT CASE WHEN l = r THEN 'identical' WHEN length(list_intersect(l, r)) = length(l) AND length(l) = length(r) THEN 'same_set' WHEN length(list_intersect(l, r)) > 0 THEN 'overlap' ELSE 'disjoint' END AS agreement, count(*) AS n FROM a JOIN k USING (query_id) GROUP BY 1""")
 def retriever_agreement(spark, d):
     ids = lambda x, r: x.where(F.col(r) <= 5).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(r, "chunk_id"))).getField("chunk_id").alias(r[0]))
     both = ids(_lexical(spark, d), "lexical_rank").join(ids(_vector(spark, d), "vector_rank"), "query_id")
@@ -359,10 +348,10 @@ def quality_slices(spark, d):
     return x.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn * 2 AS pos, role, text FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, 'tool', left(text, 10) FROM conversations WHERE role = 'assistant')
+@query("""WITH m AS (SELECT conv_id, turn * 2 AS pos, role, text FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, 'tool', text FROM conversations WHERE role = 'assistant')
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, role, text) AS position, role, sha256(text) AS text_sha FROM m""")
 def transcript_replay(spark, d):
-    return _transcript(spark, d, F.substring("text", 1, 10))
+    return _transcript(spark, d, F.col("text"))
 
 
 def _transcript(spark, d, tool_text):
@@ -416,7 +405,9 @@ def parse_sheet_values(spark, d):
     return o.select("o_orderkey", parse.parse_date(F.col("written"), "dmy").cast("string").alias("day"), parse.parse_money_cents(F.col("money"), "dot").alias("cents"))
 
 
-@query("SELECT 'dmy' AS date_order, 'dot' AS decimal_style")
+@query("""WITH w AS (SELECT o_orderkey, day(o_orderdate) AS a, month(o_orderdate) AS b, format('{:,.2f}', o_totalprice) AS m FROM orders), v AS (SELECT o_orderkey, CASE WHEN a > 12 THEN 'dmy' WHEN b > 12 THEN 'mdy' END AS dv,
+CASE WHEN m LIKE '%.%' AND m LIKE '%,%' THEN CASE WHEN strpos(reverse(m), '.') < strpos(reverse(m), ',') THEN 'dot' ELSE 'comma' END WHEN m LIKE '%.%' AND length(split_part(m, '.', 2)) <> 3 THEN 'dot' END AS mv FROM w)
+SELECT coalesce(min_by(dv, o_orderkey) FILTER (dv IS NOT NULL), 'ambiguous') AS date_order, coalesce(min_by(mv, o_orderkey) FILTER (mv IS NOT NULL), 'ambiguous') AS decimal_style FROM v""")
 def inferred_formats(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("written"), F.concat(F.lit("$"), F.format_number(F.col("o_totalprice"), 2)).alias("money"))
     return parse.detect_date_order(o, "written", "o_orderkey").crossJoin(parse.detect_decimal_style(o, "money", "o_orderkey"))  # one row each
