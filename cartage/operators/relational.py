@@ -124,3 +124,25 @@ def backfill_plan(stored: DataFrame, wanted: DataFrame, parent: str = "parent_id
     pieces = lambda df, name: df.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content_hash"))).alias(name))
     both = pieces(stored, "had").join(pieces(wanted, "want"), parent, "full")
     return both.select(parent, F.when(F.col("want").isNull(), "remove").when(F.col("had").eqNullSafe(F.col("want")), "current").otherwise("index").alias("plan"))
+
+
+def upload_plan(files: DataFrame, stored: str, deleted: str, cap: int = 200) -> DataFrame:
+    """(doc_id, step) of the ``files`` (doc_id, source, h) that are not ``stored``: duplicate, revive, create or, beyond ``cap`` live ones, refused.
+
+    Places inside a source are running counts over the blocks of 1000 ids before and inside the block, so no source is one task's.
+    """
+    old = files.where(stored).groupBy("source", "h").agg(F.bool_or(~F.expr(deleted)).alias("live"))
+    live = old.groupBy("source").agg(F.count_if("live").alias("n")).select(F.col("source").alias("__s"), "n")
+    new = files.where(f"NOT ({stored})")
+    first = new.groupBy("source", "h").agg(F.min("doc_id").alias("first"))
+    known = first.alias("a").join(old.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.h") == F.col("b.h")), "left").select("a.source", "a.h", "first", "live")
+    u = new.alias("u").join(known.alias("k"), F.col("u.source").eqNullSafe(F.col("k.source")) & (F.col("u.h") == F.col("k.h"))).select("u.doc_id", "u.source", "first", "live")
+    step = F.when(F.coalesce("live", F.lit(False)) | (F.col("doc_id") > F.col("first")), "duplicate").when(F.col("live").isNotNull(), "revive").otherwise("create")
+    g = u.select("doc_id", "source", step.alias("step"), F.call_function("div", F.col("doc_id"), F.lit(1000)).alias("block"))
+    adds = F.when(F.col("step") != "duplicate", 1).otherwise(0)
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = g.groupBy("source", "block").agg(F.sum(adds).alias("x")).select(F.col("source").alias("__t"), F.col("block").alias("__b"), F.coalesce(F.sum("x").over(before), F.lit(0)).alias("before"))
+    inside = g.withColumn("inside", F.sum(adds).over(Window.partitionBy("source", "block").orderBy("doc_id")))
+    met = inside.join(blocks, F.col("source").eqNullSafe(F.col("__t")) & (F.col("block") == F.col("__b"))).join(F.broadcast(live), F.col("source").eqNullSafe(F.col("__s")), "left")
+    full = F.coalesce("n", F.lit(0)) + F.col("before") + F.col("inside") > cap
+    return met.select("doc_id", F.when((F.col("step") != "duplicate") & full, "refused").otherwise(F.col("step")).alias("step"))

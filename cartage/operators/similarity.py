@@ -13,7 +13,8 @@ MIN_COVERAGE, MATCHED = 0.5, 0.25
 
 
 def scaled_gap(a: Column, b: Column, scale: float) -> Column:
-    return F.least(F.abs(a - b) / F.lit(scale), F.lit(1.0))
+    """From 0 to 1 at ``scale`` and beyond; null unless both are known (``least`` alone would pass over a null)."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(F.abs(a - b) / F.lit(scale), F.lit(1.0)))
 
 
 def ordinal_gap(a: Column, b: Column, order: tuple[str, ...]) -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cartage.functions import fields, parse
-from cartage.operators import geo, imports, lifecycle, relational, stats
+from cartage.operators import geo, imports, lifecycle, relational, similarity, stats
 
 
 def test_headers_are_matched_once_exact_first():
@@ -106,3 +106,9 @@ def test_distances_guards_and_settings(spark):
     assert (one.same, one.far, one.none) == (3.0, 5.0 + 100 % 56, None)
     assert (one.bad.forbidden, one.bad.unknown, one.bad.missing) == (["token"], ["x"], ["k"])
     assert (one.m, one.n, one.label, one.draft, one.acts) == ({"a": "1", "b": "3"}, 5, "Accept & pay $50 deposit", ["title", "keywords"], [])
+
+
+def test_unknown_gaps_stay_unknown(spark):
+    null = F.lit(None).cast("double")
+    one = spark.range(1).select(similarity.scaled_gap(null, F.lit(1.0), 5.0).alias("a"), similarity.mean_known(similarity.scaled_gap(F.lit(0.0), F.lit(0.0), 5.0), similarity.scaled_gap(null, F.lit(1.0), 5.0)).alias("b"), similarity.compare({"home_size": F.lit(0.0), "stairs": similarity.scaled_gap(null, null, 5.0)})["coverage"].alias("c")).first()
+    assert (one.a, one.b, one.c) == (None, 0.0, 0.3)

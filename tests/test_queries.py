@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cartage.plans import evaluation, imports, knowledge, lifecycle  # noqa: F401
+from cartage.plans import evaluation, imports, knowledge, lifecycle, reports  # noqa: F401
 from cartage.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
