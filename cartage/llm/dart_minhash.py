@@ -300,6 +300,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     verdicts = materialize(_verdicts(docs, id_col, text_col))
     gone = materialize(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": _digest(text_col)})
+    gone, _ = broadcast_if(gone, 1_000_000)  # ids and digests of 32 bytes
     stay = keyed.join(gone.withColumnsRenamed({"__id": "__gone", "__digest": "__lost"}), F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__lost")), "left_anti")
     again = verdicts.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
     return (stay if again.isEmpty() else stay.dropDuplicates(["__id", "__digest"])).drop("__id", "__digest")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import materialize, small_batches
+from .scratch import broadcast_if, materialize, small_batches
 
 SAMPLE, MAX_TERMS, PREFIXES = 20_000, 5_000, (4, 5, 6)
 MIN_ROWS, MIN_WEIGHT, LENGTH_SCALE = 5, 3.0, 200.0
@@ -211,5 +211,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
     scored, score = _scores(docs, labels, docs.select(digest.alias("__bad"), text.alias("text")), "__bad binary")
-    bad = materialize(scored.where(score >= 0.5).select("__bad").distinct())
+    bad, _ = broadcast_if(materialize(scored.where(score >= 0.5).select("__bad").distinct()), 1_000_000)  # digests of 32 bytes
     return docs.join(bad, digest == F.col("__bad"), "left_anti")
