@@ -67,6 +67,42 @@ def read_sheet(name: str, data: bytes) -> tuple[list[str], list[dict[str, str |
     return headers, rows
 
 
+def read_table(spark: SparkSession, path: str, max_rows: int | None = MAX_ROWS, multiline: bool = False) -> DataFrame:
+    """The rows of one .csv, .txt or .xlsx file as text, with ``row_number`` rising in file order; blank rows and nameless columns go.
+
+    CSV is read by Spark in as many parts as it has (one, if ``multiline``), after a look at its first lines for delimiter
+    and encoding; a workbook is one executor's.  Raises ValueError for a sheet without columns or rows, with more than
+    200 columns or, unless that is None, with more than ``max_rows`` rows.
+    """
+    kind = path.lower().rsplit(".", 1)[-1]
+    if kind == "xlsx":
+        book = spark.read.format("binaryFile").load(path).select("content")
+        cells = lambda frames: (pd.DataFrame({"row_number": range(len(r)), "cells": r}) for f in frames for d in f["content"] for r in [xlsx_rows(bytes(d))])
+        table = book.mapInPandas(cells, "row_number long, cells array<string>")
+        first = table.orderBy("row_number").first()
+        head = [(h or "").strip() for h in (first["cells"] if first else [])]
+        rows = table.where(F.col("row_number") > (first["row_number"] if first else 0)).select("row_number", *(F.try_element_at("cells", F.lit(i + 1)).alias(h) for i, h in enumerate(head) if h))
+    elif kind in ("csv", "txt"):
+        lines = [r[0] for r in spark.read.text(path).limit(50).collect()]
+        encoding = "ISO-8859-1" if any("\ufffd" in x for x in lines) else "UTF-8"
+        raw = spark.read.csv(path, header=True, sep=sniff_delimiter("\n".join(lines).lstrip("\ufeff")), encoding=encoding, inferSchema=False, multiLine=multiline, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        named = [(c, c.lstrip("\ufeff").strip()) for c in raw.columns if c.strip() and not re.fullmatch(r"_c\d+", c)]
+        rows = raw.select(F.monotonically_increasing_id().alias("row_number"), *(F.col(f"`{c}`").alias(h) for c, h in named))
+    else:
+        raise ValueError("a sheet is a .xlsx, .csv or .txt file")
+    heads = [c for c in rows.columns if c != "row_number"]
+    if not heads or len(heads) > MAX_COLUMNS:
+        raise ValueError(f"a sheet needs 1 to {MAX_COLUMNS} columns")
+    filled = F.lit(False)
+    for h in heads:
+        filled = filled | (F.trim(F.coalesce(F.col(f"`{h}`"), F.lit(""))) != "")
+    rows = rows.where(filled)
+    n = rows.limit(max_rows + 1).count() if max_rows is not None else int(not rows.isEmpty())
+    if not n or (max_rows is not None and n > max_rows):
+        raise ValueError(f"a sheet needs 1 to {max_rows} rows")
+    return rows
+
+
 def xlsx_rows(data: bytes) -> list[list[str | None]]:
     """Cells of the first sheet as text."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:

@@ -41,8 +41,11 @@ def limit_batch(events: DataFrame, key: str, t: str, order: str, limit: int, win
     return slim.repartition(parts, "key").sortWithinPartitions("key", "t", "order_id").mapInPandas(fold, "order_id long, key string, t double, allowed boolean")
 
 
-def limit_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """The same on a stream of (key, t, order_id); state of a silent key is dropped after a window."""
+def limit_stream(events: DataFrame, limit: int, window: float, delay: str = "10 minutes") -> DataFrame:
+    """The same on a stream of (key, t in seconds, order_id); a key's state goes when the watermark has passed its last hit by a window.
+
+    Rows later than ``delay`` are dropped, as their window may be gone.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -52,10 +55,19 @@ def limit_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values(["t", "order_id"])
         rows["allowed"] = [allow(hits, t, limit, window) for t in rows["t"]]
         state.update((hits,))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(int((rows["t"].max() + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows[["order_id", "key", "t", "allowed"]]
 
-    return events.groupBy("key").applyInPandasWithState(step, "order_id long, key string, t double, allowed boolean", "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("at", F.timestamp_seconds("t")).withWatermark("at", delay)
+    return timed.groupBy("key").applyInPandasWithState(step, "order_id long, key string, t double, allowed boolean", "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def limit_all(events: DataFrame, limits: dict[str, tuple[str, int, float]], t: str, order: str) -> DataFrame:
+    """(order_id, name, key, allowed) under several independent limits: name -> (key column, hits, seconds)."""
+    out = [limit_batch(events.withColumn("__key", F.concat_ws(":", F.lit(name), F.col(c).cast("string"))), "__key", t, order, n, window).select("order_id", F.lit(name).alias("name"), "key", "allowed") for name, (c, n, window) in limits.items()]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
 
 
 def claim(events: DataFrame, ledger: DataFrame | None, keys: list[str], order: str) -> DataFrame:

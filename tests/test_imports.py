@@ -4,10 +4,13 @@ import random
 import statistics
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cartage.functions import fields, parse
 from cartage.operators import geo, imports, lifecycle, relational, similarity, stats
+from cartage.sources import files
+from cartage.streaming import state
 
 
 def test_headers_are_matched_once_exact_first():
@@ -112,3 +115,30 @@ def test_unknown_gaps_stay_unknown(spark):
     null = F.lit(None).cast("double")
     one = spark.range(1).select(similarity.scaled_gap(null, F.lit(1.0), 5.0).alias("a"), similarity.mean_known(similarity.scaled_gap(F.lit(0.0), F.lit(0.0), 5.0), similarity.scaled_gap(null, F.lit(1.0), 5.0)).alias("b"), similarity.compare({"home_size": F.lit(0.0), "stairs": similarity.scaled_gap(null, null, 5.0)})["coverage"].alias("c")).first()
     assert (one.a, one.b, one.c) == (None, 0.0, 0.3)
+
+
+def test_files_are_read_by_spark(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "a.csv").write_bytes("\ufeffMove Date;Hours;;Note\n2025-01-01;6,5;x; caf\u00e9 \n;;;\n2025-01-02;;;\n".encode())
+    got = files.read_table(spark, f"file://{tmp_path}/a.csv").orderBy("row_number")
+    assert got.columns == ["row_number", "Move Date", "Hours", "Note"]
+    assert [tuple(r)[1:] for r in got.collect()] == [("2025-01-01", "6,5", "caf\u00e9"), ("2025-01-02", None, None)]
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cells = lambda n, vs: f'<row r="{n}">' + "".join(f'<c r="{c}{n}" t="inlineStr"><is><t>{v}</t></is></c>' for c, v in zip("ABC", vs, strict=False) if v) + "</row>"
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{cells(1, ['Size', '', 'Hours'])}{cells(2, ['2br', 'x', '7'])}{cells(3, ['', '', ''])}</sheetData></worksheet>")
+    assert [tuple(r)[1:] for r in files.read_table(spark, f"file://{tmp_path}/b.xlsx").collect()] == [("2br", "7")]
+    for name, data in (("c.csv", b"a,b\n"), ("d.doc", b"x")):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(ValueError):
+            files.read_table(spark, f"file://{tmp_path}/{name}")
+    with pytest.raises(ValueError):
+        files.read_table(spark, f"file://{tmp_path}/a.csv", max_rows=1)
+
+
+def test_limits_do_not_share_hits(spark):
+    rows = spark.createDataFrame([(i, "ip", f"t{i % 2}", float(i)) for i in range(6)], "i long, ip string, token string, t double")
+    got = state.limit_all(rows, {"chat": ("ip", 3, 100.0), "token": ("token", 1, 100.0)}, "t", "i").collect()
+    assert sorted(r.order_id for r in got if r.allowed and r.name == "chat") == [0, 1, 2]
+    assert sorted(r.order_id for r in got if r.allowed and r.name == "token") == [0, 1]

@@ -91,7 +91,7 @@ def test_limiter_goldens(spark):
 
 
 def test_limiter_on_a_stream(spark, tmp_path):
-    spark.createDataFrame([(i, "a" if i % 2 else "b", float(i)) for i in range(10)], "order_id long, key string, t double").coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(i, "a" if i % 2 else "b", 1000.0 + i) for i in range(10)], "order_id long, key string, t double").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("order_id long, key string, t double").parquet(f"{tmp_path}/in")
     q = state.limit_stream(stream, 3, 60.0).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
