@@ -35,7 +35,8 @@ def contains_all(query_tokens: Column, tokens: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+    unlike = F.raise_error(F.lit("vectors of different lengths")).cast("double")
+    return F.when(F.size(a) != F.size(b), unlike).when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
 def ranked(rows: DataFrame, query: str, order: list[Column], name: str, limit: int = ARM_LIMIT) -> DataFrame:
