@@ -22,8 +22,7 @@ from .scratch import attach_groups, materialize
 def _alive(rows: DataFrame, key: str, max_keys: int) -> DataFrame:
     """``rows`` with ``alive``: true for every key that two rows or more have, false for others as far as the broadcast tells."""
     keys = materialize(rows.select(key).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
-    of = lambda c: c if keys.count() <= max_keys else F.pmod(F.xxhash64(c), F.lit(max_keys))
-    slot = of(F.col(key))
+    slot = F.col(key) if keys.count() <= max_keys else F.pmod(F.xxhash64(key), F.lit(max_keys))
     shared = F.broadcast(keys.select(slot.alias("slot"), F.lit(True).alias("shared")).distinct())  # at most max_keys rows
     return rows.withColumn("slot", slot).join(shared, "slot", "left").withColumn("alive", F.coalesce("shared", F.lit(False))).drop("shared", "slot")
 

@@ -20,7 +20,7 @@ def test_exact_dedup_is_the_brute_force(spark):
         g = groups[t or ""]
         keep = max((x for x in g if x is not None), default=None)
         want.append((i, keep, len(g), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
-    for limit in (0, 1_000_000):  # key sets too large to broadcast prune nothing and change nothing
+    for limit in (1, 7, 1_000_000):  # key sets too large to broadcast prune by slots and change nothing
         got = [(r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.digest).hex()) for r in exact_dedup.exact_dedup(documents(spark), max_keys=limit, digest_all=True).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
 
