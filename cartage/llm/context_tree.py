@@ -227,16 +227,14 @@ def train(rows: DataFrame, depth: int = DEPTH, max_keys: int = MAX_KEYS) -> tupl
 class Lookup:
     """Values of keys: a direct-mapped table before a search of the sorted keys."""
 
-    BITS = 21
-
-    def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
-        self.known, self.value = key, value
-        self.key = np.zeros(1 << self.BITS, np.int64) - 1
+    def __init__(self, key: np.ndarray, value: np.ndarray, bits: int = 21) -> None:
+        self.known, self.value, self.bits = key, value, bits
+        self.key = np.zeros(1 << bits, np.int64) - 1
         slot = self._slot(key)
         self.key[slot] = np.arange(len(key))
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.BITS)).astype(np.int64)
+        return ((key * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
 
     def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, 0 where unknown; whether they are known)."""

@@ -12,13 +12,16 @@ import corpus_pipeline
 from . import context_tree as _tree
 from . import dart_minhash as _dart
 from . import exact_dedup as _exact
+from . import language_id as _language
 from . import license_scan as _license
 from . import media as _media
 from . import mixing as _mixing
 from . import packing as _packing
+from . import phrases as _phrases
 from . import repeats as _repeats
 from . import token_counts as _counts
 from . import toxicity as _toxicity
+from . import whitening as _whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +71,19 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree.score_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal, "op4_mixing": op4_mixing, "op5_media_chunks": op5_media_chunks, "op6_packing": op6_packing, "op7_lm_scores": op7_lm_scores, "op8_token_counts": op8_token_counts, "op9_near_dedup": op9_near_dedup, "op10_toxicity": op10_toxicity, "pipeline": corpus_pipeline.run}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_license_scan": op2_license_scan, "op3_repeat_removal": op3_repeat_removal, "op4_mixing": op4_mixing, "op5_media_chunks": op5_media_chunks, "op6_packing": op6_packing, "op7_lm_scores": op7_lm_scores, "op8_token_counts": op8_token_counts, "op9_near_dedup": op9_near_dedup, "op10_toxicity": op10_toxicity, "op11_collocations": op11_collocations, "op12_whitening": op12_whitening, "op13_language_id": op13_language_id, "pipeline": corpus_pipeline.run}
 
 ORACLE: dict[str, str] = {
     "op4_mixing": """
@@ -87,4 +102,19 @@ FROM d JOIN m USING (doc_id), LATERAL (SELECT unnest(range(0, copies)) AS copy)"
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_collocations": """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+f AS MATERIALIZED (SELECT lang, g, len(g) AS len, count(*) AS c
+      FROM (SELECT lang, unnest(flatten([[w[i : i + k - 1] FOR i IN range(1, len(w) - k + 2)] FOR k IN range(1, 5)])) AS g FROM p) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT x.lang, x.g, x.c AS a, l.c AS l, r.c AS r, k, ((2000000::HUGEINT * x.c) // (l.c + r.c))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, len)) AS k FROM f WHERE len > 1) x
+         JOIN f l ON l.lang = x.lang AND l.g = x.g[1 : k] JOIN f r ON r.lang = x.lang AND r.g = x.g[k + 1 : x.len]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, g[i : j] AS g, max(c) AS big
+           FROM (SELECT lang, g, c, len, i, unnest(range(i + 1, len + 1)) AS j FROM (SELECT *, unnest(range(1, len)) AS i FROM f WHERE len > 2)) WHERE j - i + 1 < len GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.g = b.g WHERE i.big IS NULL OR 100 * i.big < 80 * b.a),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
 }

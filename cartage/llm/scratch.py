@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _paths: list[str] = []
+#: Local folders by application, where the session names no shared one.
+_local_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -17,8 +19,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='cartage-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = f"file://{tempfile.mkdtemp(prefix='cartage-')}"
+        root = _local_roots[app]
     return root.rstrip("/")
 
 
