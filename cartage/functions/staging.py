@@ -1,4 +1,4 @@
-"""Steps that the optimiser keeps apart."""
+"""Steps that the optimiser keeps apart, and tables that are made once."""
 
 from __future__ import annotations
 
@@ -16,3 +16,13 @@ def staged(df: DataFrame, columns: Mapping[str, Column], keep: Sequence[str] | N
     """
     left = df.columns if keep is None else keep
     return df.select(*(F.col(f"`{c}`") for c in left), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` made now and read from then on: a checkpoint in the folder that the session names for them, which lost executors
+    do not touch; where none is named (a single machine), a cached table that can be made again."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    df = df.persist()
+    df.count()
+    return df

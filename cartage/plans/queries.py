@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartage.functions import parse, text
+from cartage.functions.staging import cut
 from cartage.operators import evidence, pricing, relational, retrieval, similarity, stats, validation
+from cartage.operators.quantiles import exact_quantiles, upper_middle, with_quantiles
 from cartage.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,10 +92,10 @@ def pairs(spark, d):
 @query(f"""SELECT l_returnflag AS source, count(*) AS moves, min(l_shipdate)::DATE::VARCHAR AS first_day, max(l_shipdate)::DATE::VARCHAR AS last_day, median(l_quantity) AS median_hours,
 round(median(CASE WHEN quoted <> 0 THEN (actual - quoted) / quoted * 100 END), 6) AS median_error_pct FROM ({PAIRS}) GROUP BY 1""")
 def history_summary(spark, d):
-    return pairs(spark, d).groupBy(F.col("l_returnflag").alias("source")).agg(
-        F.count(F.lit(1)).alias("moves"), F.to_date(F.min("l_shipdate")).cast("string").alias("first_day"), F.to_date(F.max("l_shipdate")).cast("string").alias("last_day"), F.median("l_quantity").alias("median_hours"),
-        F.round(F.median(stats.signed_pct(F.col("actual"), F.col("quoted"))), 6).alias("median_error_pct"),
-    )
+    rows = pairs(spark, d).withColumn("source", F.col("l_returnflag"))
+    plain = [F.count(F.lit(1)).alias("moves"), F.to_date(F.min("l_shipdate")).cast("string").alias("first_day"), F.to_date(F.max("l_shipdate")).cast("string").alias("last_day")]
+    out = with_quantiles(rows, ["source"], plain, {"median_hours": (F.col("l_quantity"), 0.5), "e": (stats.signed_pct(F.col("actual"), F.col("quoted")), 0.5)})
+    return out.withColumn("e", F.round("e", 6)).withColumnRenamed("e", "median_error_pct")
 
 
 @query(f"""SELECT count(*) AS jobs, round(avg(CASE WHEN quoted <> 0 THEN abs(actual - quoted) / quoted * 100 END), 6) AS mape, round(avg(abs(actual - quoted)), 4) AS mae
@@ -113,7 +115,7 @@ def hours_metrics(spark, d):
 @query(f"""SELECT l_returnflag, round(list_sort(list(actual / quoted))[(count(*) // 2 + 1)::BIGINT], 9) AS upper_median FROM ({PAIRS}) WHERE quoted > 0 GROUP BY 1""")
 def upper_median_factor(spark, d):
     rows = pairs(spark, d).where("quoted > 0").withColumn("factor", F.col("actual") / F.col("quoted"))
-    return rows.groupBy("l_returnflag").agg(F.round(stats.upper_median("factor"), 9).alias("upper_median"))
+    return exact_quantiles(rows, ["l_returnflag"], {"m": (F.col("factor"), upper_middle())}).select("l_returnflag", F.round("m", 9).alias("upper_median"))
 
 
 @query(f"""WITH x AS (SELECT p_type, ln(actual / quoted) AS v FROM ({PAIRS}) WHERE quoted > 0 AND actual > 0), g AS (SELECT median(v) AS m FROM x)
@@ -142,10 +144,10 @@ m AS (SELECT k.company_id, fold, lo, hi, median(v) AS fit FROM k JOIN x ON x.com
 SELECT m.company_id, fold, lo AS n_train, hi - lo AS n_test, round(fit, 6) AS fit, round(avg(abs(v - fit)), 4) AS mae FROM m JOIN x ON x.company_id = m.company_id AND rn > lo AND rn <= hi GROUP BY m.company_id, fold, lo, hi, fit""")
 def rolling_backtest(spark, d):
     o = t(spark, d, "orders").join(t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("company_id")), F.col("o_custkey") == F.col("c_custkey"))
-    x = stats.numbered(o.select("company_id", "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("v")), "company_id", F.to_date("o_orderdate"), "o_orderdate", "o_orderkey")
-    folds = stats.fold_bounds(x, "company_id")
+    x = cut(stats.numbered(o.select("company_id", "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("v")), "company_id", F.to_date("o_orderdate"), "o_orderdate", "o_orderkey"))
+    folds = cut(stats.fold_bounds(x, "company_id"))
     joined = x.join(folds, "company_id").where("rn <= hi")
-    fit = joined.where("rn <= lo").groupBy("company_id", "fold").agg(F.median("v").alias("fit"))
+    fit = exact_quantiles(joined.where("rn <= lo"), ["company_id", "fold"], {"fit": (F.col("v"), 0.5)})
     test = joined.where("rn > lo").join(fit, ["company_id", "fold"])
     return test.groupBy("company_id", "fold", "fit", F.col("lo").cast("long").alias("n_train"), (F.col("hi") - F.col("lo")).cast("long").alias("n_test")).agg(F.round(F.avg(F.abs(F.col("v") - F.col("fit"))), 4).alias("mae")).withColumn("fit", F.round("fit", 6)).withColumn("fold", F.col("fold").cast("long"))
 
