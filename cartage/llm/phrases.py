@@ -63,20 +63,45 @@ def word_keys(low: np.ndarray, s: np.ndarray, e: np.ndarray, lang: np.ndarray) -
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, hash of lang, text) to (h, lang, word, n); a task names each word once and sends counts by slice."""
+    """Rows (lang, hash of lang, text) to (h, lang, word, n); a task names each word once (n is 0) and adds up before it sends."""
     known = np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, back = np.unique(h, return_inverse=True)
+        return h, np.bincount(back, n).astype(np.int64)
+
+    def send() -> Iterator[pa.RecordBatch]:
+        h, n = added()
+        for i in range(0, len(h), 100_000):
+            part = h[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.binary()), pa.array(n[i : i + 100_000])], names=["h", "lang", "word", "n"])
+
     for b in batches:
         hashed = b.column(1).to_numpy().view(np.uint64)
         for lo, _hi, buf, off in K.slices(b.column(2)):
             low = K.LOWER[buf]
             s, e, doc, _ = split_words(low, off)
             h, first, n = np.unique(word_keys(low, s, e, hashed[lo + doc]), return_index=True, return_counts=True)
-            new = ~np.isin(h, known)
-            word = [low[s[i] : e[i]].tobytes() if is_new else None for i, is_new in zip(first, new, strict=True)]
-            lang = pa.array(np.where(new, lo + doc[first], -1)).cast(pa.int32())
-            lang = b.column(0).take(pa.compute.if_else(pa.compute.less(lang, 0), None, lang))
-            known = np.union1d(known, h[new]) if len(known) < 1_000_000 else h
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), lang, pa.array(word, pa.binary()), pa.array(n)], names=["h", "lang", "word", "n"])
+            held.append((h, n))
+            size += len(h)
+            new = first[~np.isin(h, known, assume_unique=True)]
+            if len(new):
+                h = h[~np.isin(h, known, assume_unique=True)]
+                word = [low[i:j].tobytes() for i, j in zip(s[new].tolist(), e[new].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(lo + doc[new])), pa.array(word, pa.binary()), pa.array(np.zeros(len(h), np.int64))], names=["h", "lang", "word", "n"])
+                known = np.union1d(known, h) if len(known) < 1_000_000 else h
+            if size > 2_000_000:
+                held[:] = [added()]
+                size = len(held[0][0])
+                if size > 1_000_000:
+                    yield from send()
+                    held.clear()
+                    size = 0
+    if held:
+        yield from send()
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -146,8 +171,8 @@ def _as_digits(keys: pa.Array, width: int) -> np.ndarray:
     return raw.view(">u2").astype(np.uint16).reshape(len(keys), WORDS * width)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], codes: Broadcast, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (lang_hash, text, more: places and codes that the broadcast lacks) to (key, n)."""
+def _keys(batches: Iterator[pa.RecordBatch], codes: Broadcast, width: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (lang_hash, text, more: places and codes that the broadcast lacks) to (key, n); a task sends when it holds ``most`` keys."""
     code_of = Lookup(*codes.value)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -165,13 +190,14 @@ def _keys(batches: Iterator[pa.RecordBatch], codes: Broadcast, width: int) -> It
             s, e, doc, joined = split_words(low, off)
             code = code_of(word_keys(low, s, e, hashed[lo + doc]))[0].astype(np.uint64)
             first = np.searchsorted(doc, np.arange(hi - lo))
-            for i, more in enumerate(b.column(2)[lo:hi].to_pylist()):
-                for m in more or ():
-                    code[first[i] + m["place"]] = m["code"]
+            if b.column(2).null_count < len(b.column(2)):
+                for i, more in enumerate(b.column(2)[lo:hi].to_pylist()):
+                    for m in more or ():
+                        code[first[i] + m["place"]] = m["code"]
             keys = windows(code, joined, width)
             held.append((keys, np.ones(len(keys), np.int64)))
             size += len(keys)
-            if size > HELD:
+            if size > most:
                 yield from send()
                 size = 0
     if held:
@@ -238,7 +264,7 @@ def count_phrases(rows: DataFrame, codes: DataFrame, min_count: int, max_keys: i
         lacking = rows.select("lang_hash", "text", "row").mapInArrow(partial(_unknown, codes=table), "row struct<a: long, b: long>, place long, h long")
         more = lacking.distinct().join(rest, "h").groupBy("row").agg(F.collect_list(F.struct("place", "code")).alias("more"))
         rows = rows.join(more, "row", "left")
-    keys = materialize(rows.select("lang_hash", "text", "more").mapInArrow(partial(_keys, codes=table, width=width), "key binary, n long"))
+    keys = materialize(rows.select("lang_hash", "text", "more").mapInArrow(partial(_keys, codes=table, width=width, most=HELD), "key binary, n long"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // 1_000_000))
     found = keys.repartitionByRange(parts, "key").mapInArrow(partial(_phrases, width=width, least=min_count), "w1 long, w2 long, w3 long, w4 long, n long")
     return found.groupBy(*CODES).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
