@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartage.functions.text import content_hash, search_tokens
-from cartage.operators import retrieval
+from cartage.operators import retrieval, topk, vector_index
 
 
 def visible(chunks: DataFrame, documents: DataFrame, entries: DataFrame) -> DataFrame:
@@ -34,15 +35,25 @@ def lexical_arm(chunks: DataFrame, queries: DataFrame, limit: int = retrieval.AR
     return retrieval.ranked(hits, "query_id", [F.col("hash"), F.col("chunk_id")], "lexical_rank", limit).select("query_id", "chunk_id", "lexical_rank")
 
 
-def vector_arm(vectors: DataFrame, queries: DataFrame, limit: int = retrieval.ARM_LIMIT) -> DataFrame:
-    """(query_id, chunk_id, similarity, vector_rank) of unit vectors as rows (chunk_id, dim, weight) and (query_id, dim, weight)."""
-    q = queries.select("query_id", "dim", F.col("weight").alias("__q"))
-    s = vectors.join(q, "dim").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("__q")), 6).alias("similarity"))
-    return retrieval.ranked(s, "query_id", [F.desc("similarity"), F.col("chunk_id")], "vector_rank", limit)
+def exact_scores(q: topk.Columns, c: topk.Columns) -> np.ndarray:
+    return np.round(q["e"] @ c["e"].T, 6)
 
 
-def hybrid(lexical: DataFrame, vector: DataFrame, chunks: DataFrame, floor: float = retrieval.FLOOR, cap: int = retrieval.MAX_CHUNKS) -> DataFrame:
-    """(query_id, chunk_id, score, similarity, position): both arms fused, neighbours of better chunks left out, gated and cut to ``cap``.
+def vector_arm(vectors: DataFrame, queries: DataFrame, limit: int = retrieval.ARM_LIMIT, index: vector_index.Index | None = None) -> DataFrame:
+    """(query_id, chunk_id, similarity, vector_rank) of unit vectors (chunk_id, e) and (query_id, e), by similarity, then id.
+
+    With ``index`` only chunks of the cells next to a query are compared (exactly); without it all are.
+    """
+    c = vectors.select(F.col("chunk_id").alias("id"), F.col("chunk_id").alias("tie"), "e")
+    if index is None:
+        found = topk.top_k(queries, c, exact_scores, limit)
+    else:
+        found = topk.top_k(index.probes_of(queries), index.assigned(c), exact_scores, limit, group="cell")
+    return found.where("score > 0").select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("similarity"), F.col("place").alias("vector_rank"))
+
+
+def hybrid(lexical: DataFrame | None, vector: DataFrame | None, chunks: DataFrame, floor: float = retrieval.FLOOR, cap: int = retrieval.MAX_CHUNKS) -> DataFrame:
+    """(query_id, chunk_id, score, similarity, position): both arms fused, neighbours of better chunks left out, gated and cut to ``cap``; an arm that has failed is None.
 
     ``chunks`` has chunk_id, document_id, chunk_index, content_hash.
     """

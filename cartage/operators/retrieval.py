@@ -5,10 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartage.functions.staging import cut
 from cartage.functions.text import search_tokens
 
 FIELD_WEIGHTS = {"title": 3, "keywords": 2, "category": 1, "content": 1}
-RRF_K, ARM_LIMIT, FLOOR, MAX_CHUNKS = 60, 20, 0.35, 5
+RRF_K, ARM_LIMIT, FLOOR, MAX_CHUNKS, KEYWORD_LIMIT = 60, 20, 0.35, 5, 3
+
+
+def _postings(entries: DataFrame, fields: dict[str, str], entry_id: str, keep: list[str]) -> DataFrame:
+    """(entry_id, token, w): each word of an entry and, from four letters on, its beginnings, with the weight of the strongest field."""
+    weighted = F.array_compact(F.array(*[F.struct(F.lit(FIELD_WEIGHTS[f]).alias("w"), search_tokens(F.col(c)).alias("t")) for f, c in fields.items()]))
+    tokens = entries.select(F.col(entry_id).alias("entry_id"), *keep, F.explode(weighted).alias("f")).select("entry_id", *keep, "f.w", F.explode("f.t").alias("word"))
+    starts = F.transform(F.sequence(F.lit(4), F.greatest(F.length("word"), F.lit(4))), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    keys = tokens.select("entry_id", *keep, "w", F.explode(F.array_distinct(F.concat(F.array("word"), F.filter(starts, lambda s: F.length(s) >= 4)))).alias("token"))
+    return keys.groupBy("entry_id", *keep, "token").agg(F.max("w").alias("w"))
+
+
+def keyword_top(entries: DataFrame, queries: DataFrame, fields: dict[str, str], entry_id: str, title: str, query_id: str, query_text: str, tenant: str | None = None, limit: int = KEYWORD_LIMIT) -> DataFrame:
+    """(query_id, entry_id, title, score, place): at most ``limit`` entries a query, by score, then title.
+
+    Scores are those of ``keyword_scores``, but common words need not be followed.  The entry of rank ``limit`` scores at least
+    as much as the entry of that rank of any one word alone; words whose best weights add up to less than this bring no new
+    entry.  The commonest words that stay below it are only looked up for entries that a rarer word has found.
+    """
+    keep = [tenant] if tenant else []
+    q = queries.select(F.col(query_id).alias("query_id"), *keep, F.explode(search_tokens(F.col(query_text))).alias("token"))
+    asked = cut(q.select(*keep, "token").distinct())
+    found = cut(_postings(entries, fields, entry_id, keep).join(asked, [*keep, "token"], "left_semi"))
+    by_weight = [F.count_if(F.col("w") >= w).alias(f"n{w}") for w in sorted({FIELD_WEIGHTS[f] for f in fields})]
+    often = found.groupBy(*keep, "token").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("most"), *by_weight)
+    sure = F.lit(0)
+    for w in sorted({FIELD_WEIGHTS[f] for f in fields}):
+        sure = F.when(F.col(f"n{w}") >= limit, F.lit(w)).otherwise(sure)
+    each = q.join(often.select(*keep, "token", "n", "most", sure.alias("sure")), [*keep, "token"])
+    one = Window.partitionBy("query_id", *keep)
+    above = F.sum("most").over(one.orderBy(F.desc("n"), "token").rowsBetween(Window.unboundedPreceding, 0))
+    each = cut(each.withColumn("bound", F.max("sure").over(one)).withColumn("leads", above >= F.col("bound")).select("query_id", *keep, "token", "leads"))
+    hits = each.where("leads").join(found, [*keep, "token"]).groupBy("query_id", *keep, "entry_id").agg(F.sum("w").alias("s"))
+    more = hits.join(each.where(~F.col("leads")), ["query_id", *keep]).join(found, [*keep, "token", "entry_id"]).groupBy("query_id", *keep, "entry_id").agg(F.sum("w").alias("extra"))
+    scored = hits.join(more, ["query_id", *keep, "entry_id"], "left").select("query_id", *keep, "entry_id", (F.col("s") + F.coalesce("extra", F.lit(0))).cast("long").alias("score"))
+    named = scored.join(entries.select(F.col(entry_id).alias("entry_id"), F.col(title).alias("title")), "entry_id")
+    place = F.row_number().over(one.orderBy(F.desc("score"), "title", "entry_id"))
+    return named.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def keyword_scores(entries: DataFrame, queries: DataFrame, fields: dict[str, str], entry_id: str, query_id: str, query_text: str, tenant: str | None = None) -> DataFrame:
@@ -19,12 +57,7 @@ def keyword_scores(entries: DataFrame, queries: DataFrame, fields: dict[str, str
     """
     keep = [tenant] if tenant else []
     q = queries.select(F.col(query_id).alias("query_id"), *keep, F.explode(search_tokens(F.col(query_text))).alias("token"))
-    weighted = F.array_compact(F.array(*[F.struct(F.lit(FIELD_WEIGHTS[f]).alias("w"), search_tokens(F.col(c)).alias("t")) for f, c in fields.items()]))
-    tokens = entries.select(F.col(entry_id).alias("entry_id"), *keep, F.explode(weighted).alias("f")).select("entry_id", *keep, "f.w", F.explode("f.t").alias("word"))
-    starts = F.transform(F.sequence(F.lit(4), F.greatest(F.length("word"), F.lit(4))), lambda n: F.substring(F.col("word"), F.lit(1), n))
-    keys = tokens.select("entry_id", *keep, "w", F.explode(F.array_distinct(F.concat(F.array("word"), F.filter(starts, lambda s: F.length(s) >= 4)))).alias("token"))
-    best = keys.groupBy("entry_id", *keep, "token").agg(F.max("w").alias("w"))
-    return q.join(best, ["token", *keep]).groupBy("query_id", "entry_id").agg(F.sum("w").cast("long").alias("score"))
+    return q.join(_postings(entries, fields, entry_id, keep), ["token", *keep]).groupBy("query_id", "entry_id").agg(F.sum("w").cast("long").alias("score"))
 
 
 def contains_all(query_tokens: Column, tokens: Column) -> Column:
@@ -43,9 +76,19 @@ def ranked(rows: DataFrame, query: str, order: list[Column], name: str, limit: i
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col(name) <= limit)
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Full outer merge of (query_id, chunk_id, lexical_rank) and (query_id, chunk_id, vector_rank, similarity) with the fused score."""
-    both = lexical.join(vector, ["query_id", "chunk_id"], "full")
+def fuse(lexical: DataFrame | None, vector: DataFrame | None, k: int = RRF_K) -> DataFrame:
+    """Full outer merge of (query_id, chunk_id, lexical_rank) and (query_id, chunk_id, vector_rank, similarity) with the fused score.
+
+    An arm that has failed is None; the other one alone is used then.
+    """
+    if lexical is None and vector is None:
+        raise ValueError("both arms have failed")
+    if vector is None:
+        both = lexical.withColumns({"vector_rank": F.lit(None).cast("int"), "similarity": F.lit(None).cast("double")})
+    elif lexical is None:
+        both = vector.withColumn("lexical_rank", F.lit(None).cast("int"))
+    else:
+        both = lexical.join(vector, ["query_id", "chunk_id"], "full")
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(float(k)) + F.col(c)), F.lit(0.0))
     return both.withColumn("score", part("lexical_rank") + part("vector_rank"))
 
@@ -99,3 +142,9 @@ def hashed_vectors(rows: DataFrame, key: str, text_col: str, dims: int = 256) ->
     sums = tokens.select(key, F.inline(spots)).groupBy(key, "dim").agg(F.sum("x").alias("x")).where("x <> 0")
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
     return sums.select(key, "dim", (F.col("x") / norm).alias("weight"))
+
+
+def dense_vectors(rows: DataFrame, key: str, dims: int = 256) -> DataFrame:
+    """(key, e: array of ``dims`` doubles) from rows (key, dim, weight)."""
+    items = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int"), "weight"))).alias("m"))
+    return items.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("e"))

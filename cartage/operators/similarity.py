@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartage.operators.topk import half_up
+
 #: Fixed weights, scales and orders.
 WEIGHTS = {"home_size": 30.0, "distance_miles": 20.0, "stairs": 12.0, "floors": 10.0, "elevators": 8.0, "packing_service": 8.0, "special_items": 8.0, "geography": 4.0}
 HOME_SIZES = ("studio", "1br", "2br", "3br", "4br", "5br_plus")
@@ -55,9 +58,25 @@ def compare(gaps: dict[str, Column], weights: dict[str, float] | None = None) ->
     )
 
 
-def top_matches(query: DataFrame, candidates: DataFrame, join: Column, gaps: dict[str, Column], order: list[Column], query_key: str, k: int = 10, max_queries: int = 1000) -> DataFrame:
-    """The k best candidates of each query of a stated set; a set of at most ``max_queries`` rows is broadcast."""
-    side = F.broadcast(query) if query.limit(max_queries + 1).count() <= max_queries else query
-    scored = candidates.join(side, join).withColumn("cmp", compare(gaps)).where("cmp.comparable")
-    place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("cmp.score"), *order))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+def scaled_gaps(q: np.ndarray, c: np.ndarray, scale: float) -> np.ndarray:
+    """``scaled_gap`` of all pairs of two columns, NaN where unknown."""
+    return np.minimum(np.abs(c[None, :] - q[:, None]) / scale, 1.0)
+
+
+def unequal(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """1 where two texts of known value differ, else 0."""
+    names = {x: i for i, x in enumerate(set(q.tolist()))}
+    mine, theirs = (np.array([names.get(x, -1) for x in side.tolist()]) for side in (q, c))
+    return (mine[:, None] != theirs[None, :]).astype(np.float64)
+
+
+def pair_scores(gaps: dict[str, np.ndarray], weights: dict[str, float] | None = None) -> np.ndarray:
+    """``compare`` for matrices of gaps: scores of 4 places, minus infinity where too little is known."""
+    weights = weights or WEIGHTS
+    present = gap = 0.0
+    for name, d in gaps.items():
+        known = ~np.isnan(d)
+        present = present + np.where(known, weights[name], 0.0)
+        gap = gap + np.where(known, weights[name] * np.clip(d, 0.0, 1.0), 0.0)
+    score = np.where(present > 0, half_up(1 - gap / np.where(present > 0, present, 1.0), 4), 0.0)
+    return np.where(np.minimum(present / sum(weights.values()), 1.0) >= MIN_COVERAGE, score, -np.inf)

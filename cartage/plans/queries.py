@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartage.functions import parse, text
 from cartage.functions.staging import cut
-from cartage.operators import evidence, pricing, relational, retrieval, similarity, stats, validation
+from cartage.operators import evidence, pricing, relational, retrieval, similarity, stats, topk, validation
 from cartage.operators.quantiles import exact_quantiles, upper_middle, with_quantiles
 from cartage.streaming import state
 
@@ -191,12 +192,17 @@ def ineligible_cascade(spark, d):
     return x.groupBy(F.coalesce(reason, F.lit("eligible")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def part_scores(q: topk.Columns, c: topk.Columns) -> np.ndarray:
+    """Size, price and type as home size, distance and packing."""
+    gaps = {"home_size": similarity.scaled_gaps(q["p_size"], c["p_size"], 10.0), "distance_miles": similarity.scaled_gaps(q["p_retailprice"], c["p_retailprice"], 500.0), "packing_service": similarity.unequal(q["p_type"], c["p_type"])}
+    return topk.not_itself(q, c, similarity.pair_scores(gaps))
+
+
 def _similar(spark, d):
     """The best matches of every part whose key is divisible by 100."""
-    p = t(spark, d, "part")
-    q = p.where("p_partkey % 100 = 0").select(*[F.col(c).alias(f"q_{c}") for c in p.columns])
-    gaps = {"home_size": similarity.scaled_gap(F.col("p_size"), F.col("q_p_size"), 10.0), "distance_miles": similarity.scaled_gap(F.col("p_retailprice"), F.col("q_p_retailprice"), 500.0), "packing_service": F.when(F.col("p_type") == F.col("q_p_type"), 0.0).otherwise(1.0)}
-    return similarity.top_matches(q, p, F.col("p_partkey") != F.col("q_p_partkey"), gaps, [F.col("p_partkey")], "q_p_partkey")
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("tie"), F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").cast("double").alias("p_retailprice"), "p_type")
+    q = p.where("id % 100 = 0").withColumnRenamed("id", "query_id").drop("tie")
+    return topk.top_k(q, p, part_scores, 10)
 
 
 SIMILAR_EACH = """WITH q AS (SELECT * FROM part WHERE p_partkey % 100 = 0),
@@ -207,20 +213,17 @@ k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query(SIMILAR_EACH + " SELECT query_id, p_partkey, score FROM k")
 def similar_topk(spark, d):
-    return _similar(spark, d).select(F.col("q_p_partkey").alias("query_id"), "p_partkey", F.col("cmp.score").alias("score"))
+    return _similar(spark, d).select("query_id", F.col("id").alias("p_partkey"), "score")
 
 
 @query(SIMILAR_EACH + """ SELECT query_id, (SELECT count(*) - 1 FROM part) AS comparable_count, count(*) AS used, round(median(p_retailprice), 6) AS median_price, round(quantile_cont(p_retailprice::DOUBLE, 0.25), 6) AS q1, round(quantile_cont(p_retailprice::DOUBLE, 0.75), 6) AS q3 FROM k GROUP BY 1""")
 def similar_signals(spark, d):
     every = t(spark, d, "part").agg((F.count(F.lit(1)) - 1).alias("comparable_count"))
-    top = _similar(spark, d).groupBy(F.col("q_p_partkey").alias("query_id")).agg(F.count(F.lit(1)).alias("used"), F.round(F.median("p_retailprice"), 6).alias("median_price"), F.expr("round(percentile(p_retailprice, 0.25), 6)").alias("q1"), F.expr("round(percentile(p_retailprice, 0.75), 6)").alias("q3"))
+    found = _similar(spark, d).join(t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice"), "id")
+    top = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("used"), F.round(F.median("p_retailprice"), 6).alias("median_price"), F.expr("round(percentile(p_retailprice, 0.25), 6)").alias("q1"), F.expr("round(percentile(p_retailprice, 0.75), 6)").alias("q3"))
     return top.crossJoin(F.broadcast(every))  # one row on the right
 
 
-QUERIES["similar_topk_each"], ORACLE["similar_topk_each"] = similar_topk, ORACLE["similar_topk"]
-QUERIES["similar_signals_each"], ORACLE["similar_signals_each"] = similar_signals, ORACLE["similar_signals"]
-
-
 @query("""WITH x AS (SELECT event_id, user_id % 7 AS tenant, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS ref, user_id || ':' || event_type AS fp FROM events),
 a AS (SELECT *, ref IS NOT NULL AND row_number() OVER (PARTITION BY tenant, ref ORDER BY event_id) > 1 AS rd FROM x),
 b AS (SELECT *, max(CASE WHEN rd THEN 0 ELSE 1 END) OVER (PARTITION BY tenant, fp ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)
@@ -272,26 +275,41 @@ def keyword_search(spark, d):
     return retrieval.keyword_scores(t(spark, d, "part"), q, {"title": "p_name", "content": "p_type"}, "p_partkey", "query_id", "text")
 
 
-@query("SELECT doc_id, sha256('text:' || text) AS content_hash, substr(sha256(lower(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '^ | $', '', 'g'))), 1, 12) AS print FROM documents")
-def content_fingerprint(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.query_fingerprint(F.col("text")).alias("print"))
+@query(f"""WITH q AS (SELECT conv_id * 100 + turn AS query_id, unnest({TOKENS}) AS token FROM conversations WHERE role = 'user'),
+e AS (SELECT p_partkey AS entry_id, {TOKENS.replace('lower(text)', 'lower(p_name)')} AS a, {TOKENS.replace('lower(text)', 'lower(p_type)')} AS b FROM part),
+w AS (SELECT entry_id, unnest(a) AS word, 3 AS w FROM e UNION ALL SELECT entry_id, unnest(b), 1 FROM e),
+m AS (SELECT DISTINCT token, word FROM (SELECT DISTINCT token FROM q) x, (SELECT DISTINCT word FROM w) y WHERE word = token OR (length(token) >= 4 AND starts_with(word, token))),
+s AS (SELECT query_id, entry_id, q.token, max(w.w) AS best FROM q JOIN m ON q.token = m.token JOIN w ON w.word = m.word GROUP BY ALL),
+r AS (SELECT query_id, entry_id, sum(best)::BIGINT AS score FROM s GROUP BY 1, 2)
+SELECT query_id, entry_id, p_name AS title, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_name, entry_id) AS place FROM r JOIN part ON p_partkey = entry_id QUALIFY place <= 3""")
+def keyword_top(spark, d):
+    q = t(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text")
+    found = retrieval.keyword_top(t(spark, d, "part"), q, {"title": "p_name", "content": "p_type"}, "p_partkey", "p_name", "query_id", "text")
+    return found.select("query_id", "entry_id", "title", "score", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT doc_id, sha256('text:' || text) AS content_hash, substr(sha256(lower(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '^ | $', '', 'g'))), 1, 12) AS print FROM documents")
-def content_fingerprint_all(spark, d):
+def content_fingerprint(spark, d):
     return t(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.query_fingerprint(F.col("text")).alias("print"))
 
 
 VECTOR = """WITH q AS (SELECT vec_id AS query_id, embedding AS e, label AS ql FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS chunk_id, ql = label AS relevant, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings WHERE vec_id <> query_id),
-v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS vector_rank FROM s),"""
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, sha256('vector:' || chunk_id), chunk_id) AS vector_rank FROM s),"""
+
+
+def vector_scores(q: topk.Columns, c: topk.Columns) -> np.ndarray:
+    return topk.not_itself(q, c, np.round(topk.cosines(q["e"], c["e"]), 6))
 
 
 def _vector(spark, d):
+    """The nearest vectors of the stated query set, the rows divisible by 100, by cosine, then content hash."""
     e = t(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), F.col("label").alias("ql"))
-    rows = e.crossJoin(q).where("vec_id <> query_id")  # a stated query set, the rows divisible by 100, against all rows
-    s = rows.select("query_id", F.col("vec_id").alias("chunk_id"), (F.col("ql") == F.col("label")).alias("relevant"), F.round(retrieval.cosine(F.col("e"), F.col("embedding")), 6).alias("similarity"))
-    return retrieval.ranked(s, "query_id", [F.desc("similarity"), F.col("chunk_id")], "vector_rank")
+    c = e.select(F.col("vec_id").alias("id"), F.sha2(F.concat(F.lit("vector:"), F.col("vec_id").cast("string")), 256).alias("tie"), F.col("embedding").cast("array<double>").alias("e"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("e"))
+    found = topk.top_k(q, c, vector_scores, retrieval.ARM_LIMIT).select("query_id", F.col("id").alias("chunk_id"), F.col("place").alias("vector_rank"), F.col("score").alias("similarity"))
+    labels = e.select("vec_id", "label")
+    met = found.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(labels.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
+    return met.withColumn("relevant", F.col("ql") == F.col("label")).drop("ql", "label")
 
 
 @query(VECTOR.rstrip(",") + " SELECT query_id, chunk_id, vector_rank, similarity FROM v WHERE vector_rank <= 20")
@@ -363,12 +381,6 @@ def _transcript(spark, d, tool_text):
     return m.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("pos", "role", "text")).cast("long").alias("position"), "role", F.sha2("text", 256).alias("text_sha"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn * 2 AS pos, role, text FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, 'tool', text FROM conversations WHERE role = 'assistant')
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, role, text) AS position, role, sha256(text) AS text_sha FROM m""")
-def transcript_replay_whole(spark, d):
-    return _transcript(spark, d, F.col("text"))
-
-
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def event_claim(spark, d):
     return state.claim(t(spark, d, "events").select("user_id", "event_type", "event_id"), None, ["user_id", "event_type"], "event_id")

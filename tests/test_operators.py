@@ -170,14 +170,6 @@ def test_chunks_are_packed(spark):
     assert one(spark, text.estimate_tokens(F.lit("abc"))) == 1
 
 
-def test_every_query_has_its_own_best_matches(spark):
-    rows = spark.createDataFrame([(i, float(i)) for i in range(40)], "id int, v double")
-    q = rows.where("id % 10 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("q_v"))
-    for most in (1000, 2):  # a set beyond the bound is not broadcast, with equal results
-        got = similarity.top_matches(q, rows, F.col("id") != F.col("q_id"), {"home_size": similarity.scaled_gap(F.col("v"), F.col("q_v"), 50.0), "distance_miles": F.lit(0.0)}, [F.col("id")], "q_id", 2, most).collect()
-        assert {(r.q_id, r.id) for r in got} == {(0, 1), (0, 2), (10, 9), (10, 11), (20, 19), (20, 21), (30, 29), (30, 31)}
-
-
 def test_long_chains_and_cycles_stop_where_the_reference_does(spark):
     links = {i: i + 1 if i < 60 else None for i in range(61)} | {100: 101, 101: 102, 102: 103, 103: 101} | {200: 200}
     links |= {i: i + 1 if i < 359 else 310 for i in range(300, 360)}
