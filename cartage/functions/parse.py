@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spellings of yes and no, and names of months.
+# Spellings of yes and no, names of months, patterns of dates, ZIPs and numbers.
 TRUE_WORDS = ("true", "t", "yes", "y", "1", "x", "✓", "✔", "on")
 FALSE_WORDS = ("false", "f", "no", "n", "0", "-", "off")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MONTH_NUMBERS = {m[:3]: i + 1 for i, m in enumerate(MONTHS)} | {m: i + 1 for i, m in enumerate(MONTHS)} | {"sept": 9}
 ISO_DATE = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
-NUMERIC_DATE = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
+NUMERIC_DATE = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2}|\d{4})$"
 NAMED_DATE = r"^(\d{1,2})?\s*([a-z]{3,9})\.?\s*(\d{1,2})?,?\s*(\d{4})$"
 ZIP = r"^[A-Za-z0-9][A-Za-z0-9 \-]{2,9}$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"

@@ -55,47 +55,3 @@ def content_hash(text: Column) -> Column:
 
 def query_fingerprint(query: Column) -> Column:
     return F.substring(F.sha2(F.lower(F.regexp_replace(F.regexp_replace(query, r"\s+", " "), "^ | $", "")), 256), 1, 12)
-
-
-def pack_paragraphs(text: str, title: str = "", target: int = 220, least: int = 40) -> list[tuple[int, str, int, str]]:
-    """(index, content, tokens, hash): paragraphs packed up to ``target`` tokens; long ones are cut at sentences first."""
-    pieces: list[str] = []
-    for para in re.split(r"\n\s*\n", text):
-        para = para.strip()
-        if len(para) // 4 <= target:
-            pieces += [para] if para else []
-            continue
-        run = ""
-        for s in re.split(r"(?<=[.!?])\s+", para):
-            if run and (len(run) + len(s)) // 4 > target:
-                pieces.append(run)
-                run = ""
-            run = f"{run} {s}".strip()
-            while len(run) > target * 6:
-                pieces.append(run[: target * 4])
-                run = run[target * 4 :]
-        pieces += [run] if run else []
-    packed: list[str] = []
-    for p in pieces:
-        if packed and (len(packed[-1]) + len(p)) // 4 <= target:
-            packed[-1] += "\n\n" + p
-        else:
-            packed.append(p)
-    kept = [p for p in packed if len(p) >= least] or packed
-    out = []
-    for i, p in enumerate(kept):
-        body = f"{title}\n\n{p}" if title else p
-        out.append((i, body, max(1, len(body) // 4), hashlib.sha256(("text:" + body).encode()).hexdigest()))
-    return out
-
-
-CHUNKS = "array<struct<chunk_index: int, content: string, token_count: int, content_hash: string>>"
-
-
-def chunk_text(text: Column) -> Column:
-    """The chunks of a text; made here, as a pandas UDF needs a session."""
-
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: [dict(zip(("chunk_index", "content", "token_count", "content_hash"), c, strict=True)) for c in pack_paragraphs(t)])
-
-    return F.pandas_udf(cut, CHUNKS, F.PandasUDFType.SCALAR)(text)

@@ -147,15 +147,6 @@ def batch_rows(judged: DataFrame, company: str, batch: str, today: str) -> tuple
     return rows, stamp
 
 
-def append_batch(rows: DataFrame, stamp: DataFrame, history: str, batches: str) -> int:
-    """Write a batch and then its provenance row, both partitioned; nothing if no row is importable.  Returns the importable rows."""
-    n = stamp.first()["importable"]
-    if n:
-        rows.write.mode("append").partitionBy("company_id", "import_batch_id").parquet(history)
-        stamp.write.mode("append").partitionBy("company_id").parquet(batches)
-    return n
-
-
 def revert(history: DataFrame, batches: DataFrame, batch: str, today: str) -> tuple[DataFrame, DataFrame, Column]:
     """(history without the batch's imported rows, batches with the stamp, an aggregate over ``batches``: not_found, conflict or reverted).
 
@@ -167,6 +158,21 @@ def revert(history: DataFrame, batches: DataFrame, batch: str, today: str) -> tu
     return relational.revert_batch(history, batch), batches.withColumn("reverted_on", F.when(hit, F.coalesce("reverted_on", F.lit(today).cast("date"))).otherwise(F.col("reverted_on"))), verdict
 
 
+def revert_verdicts(asked: DataFrame, batches: DataFrame, batch: str) -> DataFrame:
+    """``asked`` (a column ``batch``) with what a revert of each comes to: not_found, conflict or reverted."""
+    known = batches.groupBy(F.col("import_batch_id").alias(batch)).agg(F.bool_or(F.col("reverted_on").isNotNull()).alias("__was"))
+    verdict = F.when(F.col("__was").isNull(), "not_found").when(F.col("__was"), "conflict").otherwise("reverted")
+    return asked.join(known, batch, "left").select(*asked.columns, verdict.alias("verdict"))
+
+
+def suggested(sheet: DataFrame) -> DataFrame:
+    """(field, header, confidence, filled, total): what a sheet's headers suggest, and how many of its rows fill each of them."""
+    found = list(fields.suggest(sheet.columns))
+    filled = [F.count(F.nullif(F.trim(F.col(f"`{h}`").cast("string")), F.lit(""))) for _, h, _ in found]
+    each = [F.struct(F.lit(f).alias("field"), F.lit(h).alias("header"), F.lit(c).alias("confidence"), n.alias("filled")) for (f, h, c), n in zip(found, filled, strict=True)]
+    return sheet.agg(F.count(F.lit(1)).alias("total"), F.array(*each).alias("each")).select(F.inline("each"), "total")
+
+
 def patch(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``rows`` with the non-null fields of ``changes``; the fingerprint is made anew only for rows without a job number."""
     new = [c for c in changes.columns if c != key]

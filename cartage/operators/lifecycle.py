@@ -13,20 +13,30 @@ def quote_status(status: Column, valid_until: Column, now: Column) -> Column:
     return F.when((status == "sent") & (valid_until < now), "expired").otherwise(status)
 
 
-def quote_step(status: Column, action: Column, valid_until: Column, now: Column, low: Column, high: Column) -> Column:
-    """Struct: status after ``action`` (approve, accept, decline), error (null where it is allowed), lead status and whether a booking is made.
+def quote_step(status: Column, action: Column, valid_until: Column, now: Column, low: Column, high: Column, own_low: Column | None = None, own_high: Column | None = None) -> Column:
+    """Struct: status after ``action`` (approve, accept, decline), error (null where it is allowed), lead status, whether a booking is made,
+    the range after it (amount_min_cents, amount_max_cents) and whether this step has adjusted it.
 
-    ``low`` and ``high`` are the range that an approval sets; both null leaves it as it is.
+    ``low`` and ``high`` are the range that an approval sets: a bound that is not given stays the quote's own (``own_low``,
+    ``own_high``), and the range of both must be positive and in order.
     """
     at = quote_status(status, valid_until, now)
-    bad_range = (low.isNotNull() | high.isNotNull()) & ~((low > 0) & (high >= low))
+    mine = [F.lit(None).cast("long") if c is None else c for c in (own_low, own_high)]
+    new = [F.coalesce(given, own) for given, own in zip((low, high), mine, strict=True)]
+    given = low.isNotNull() | high.isNotNull()
+    bad_range = given & ~F.coalesce((new[0] > 0) & (new[1] >= new[0]), F.lit(False))
     error = (
         F.when(action == "approve", F.when(status != "draft", "only drafts can be approved").when(bad_range, "invalid range"))
         .when(at == "expired", "expired").when(at != "sent", "not on offer")
     )
     after = F.when(error.isNotNull(), at).when(action == "approve", "sent").when(action == "accept", "accepted").otherwise("declined")
     done = lambda what: error.isNull() & (action == what)
-    return F.struct(after.alias("status"), error.alias("error"), F.when(done("accept"), "booked").when(done("decline"), "lost").alias("lead_status"), done("accept").alias("booked"))
+    adjusted = done("approve") & given
+    bounds = [F.when(adjusted, n).otherwise(own) for n, own in zip(new, mine, strict=True)]
+    return F.struct(
+        after.alias("status"), error.alias("error"), F.when(done("accept"), "booked").when(done("decline"), "lost").alias("lead_status"), done("accept").alias("booked"),
+        bounds[0].alias("amount_min_cents"), bounds[1].alias("amount_max_cents"), adjusted.alias("adjusted"),
+    )
 
 
 def edit_refusal(status: Column, reviewed: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartage.functions.staging import cut
+
 
 def of_tenant(df: DataFrame, tenant: object, column: str = "company_id") -> DataFrame:
     """The tenant predicate, the first of every query, so that it reaches the scan."""
@@ -30,7 +32,8 @@ def flag_duplicates(rows: DataFrame, order: str, ref: str, print_col: str, known
 
     A row with a reference repeats one seen before or known.  A row without one repeats the fingerprint of an earlier
     row that has no reference or was kept, or a known one.  Each question is one smallest place per key, aggregated
-    before the shuffle; rows without a key to ask for take no part, and a frequent one is broadcast.
+    before the shuffle; rows without a key to ask for take no part.  The joins back have one row a key on one side, so Spark
+    splits a frequent key's rows at run time.
     """
     scope = [tenant] if tenant else []
     first = rows.where(F.col(ref).isNotNull()).groupBy(*scope, ref).agg(F.min(order).alias("__first"))
@@ -59,19 +62,53 @@ def _marked(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chain_heads(links: DataFrame, key: str, successor: str, max_hops: int = 50) -> DataFrame:
-    """(key, head, hops), one row per key: the end of its chain of successors, by pointer doubling: 6 joins cover 50 hops, not 50.
+    """(key, head, hops), one row per key: the end of its chain of successors, or the last link whose successor is a row.
 
-    A longer chain gives the link reached after ``max_hops``, a cycle the link that the walk comes to a second time.
+    Pointers and counts are doubled, so 50 hops are 7 joins of narrow rows.  A longer chain gives the link reached after
+    ``max_hops``, a cycle the link that the walk comes to a second time; only walks that are still open then are
+    followed with the links they have passed.
     """
-    after = F.col(successor)
-    at = links.select(F.col(key).alias("key"), F.when(after.isNull(), F.array().cast(f"array<{links.schema[successor].dataType.simpleString()}>")).otherwise(F.array(after)).alias("path"))
+    own = links.select(F.col(key).alias("key"), F.col(successor).alias("next"))
+    there = own.select(F.col("key").alias("next")).distinct()
+    own = cut(own.join(there.withColumn("__there", F.lit(True)), "next", "left").select("key", F.when(F.col("__there"), F.col("next")).alias("next")))
+    step = own.select("key", F.coalesce("next", "key").alias("to"), F.col("next").isNotNull().cast("int").alias("n"))
+    done, bits = None, max_hops
+    while bits:
+        if bits & 1:
+            done = step if done is None else _then(done, step)
+        bits >>= 1
+        if bits:
+            step = _then(step, step)
+    done = cut(done)
+    more = done.where(F.col("n") == max_hops).join(own.where("next IS NOT NULL").select(F.col("key").alias("to")), "to", "left_semi").select("key")
+    out = done.select("key", F.col("to").alias("head"), F.col("n").alias("hops"))
+    if more.isEmpty():
+        return out
+    walks = _walks(more, own, max_hops)
+    return out.join(walks.select("key"), "key", "left_anti").unionByName(walks)
+
+
+def _then(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(key, to, n): the walk ``a`` and from its end the walk ``b``."""
+    after = b.select(F.col("key").alias("to"), F.col("to").alias("__to"), F.col("n").alias("__n"))
+    return a.join(after, "to").select("key", F.col("__to").alias("to"), (F.col("n") + F.col("__n")).alias("n"))
+
+
+def _walks(keys: DataFrame, links: DataFrame, max_hops: int, stride: int = 8) -> DataFrame:
+    """(key, head, hops) of keys whose walks have passed ``max_hops`` links or a cycle, from paths of ``stride`` links."""
+    none = F.array().cast(f"array<{links.schema['key'].dataType.simpleString()}>")
+    ahead = links.select("key", F.when(F.col("next").isNull(), none).otherwise(F.array("next")).alias("path"))
     reach = 1
-    while reach < max_hops:
-        nxt = at.select(F.col("key").alias("head"), F.col("path").alias("more"))
-        at = at.withColumn("head", F.coalesce(F.try_element_at("path", F.lit(-1)), "key")).join(nxt, "head", "left")
-        at = at.select("key", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"))
+    while reach < stride:
+        more = ahead.select(F.col("key").alias("end"), F.col("path").alias("more"))
+        ahead = ahead.withColumn("end", F.coalesce(F.try_element_at("path", F.lit(-1)), "key")).join(more, "end")
+        ahead = ahead.select("key", F.when(F.size("path") == reach, F.concat("path", "more")).otherwise(F.col("path")).alias("path"))
         reach *= 2
-    walk = at.select("key", F.concat(F.array("key"), F.slice("path", 1, max_hops)).alias("walk"))
+    ahead = cut(ahead.select(F.col("key").alias("end"), F.col("path").alias("more")))
+    walk = keys.select("key", F.array("key").alias("walk"))
+    for _ in range(-(-max_hops // stride)):
+        walk = walk.withColumn("end", F.element_at("walk", -1)).join(ahead, "end").select("key", F.concat("walk", "more").alias("walk"))
+    walk = walk.select("key", F.slice("walk", 1, max_hops + 1).alias("walk"))
     # From its first repeated link on a walk only repeats, so that link comes after all the different ones.
     walk = walk.withColumn("hops", F.least(F.size(F.array_distinct("walk")), F.size("walk") - 1))
     return walk.select("key", F.element_at("walk", F.col("hops") + 1).alias("head"), "hops")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartage.functions import fields, parse
+from cartage.functions import parse
+from cartage.functions.staging import cut, shared_folder
 from cartage.operators import imports
 from cartage.plans.queries import query, t
+from cartage.sources import commits
 
 MAPPING = {"move_date": "Move Date", "home_size": "Size", "actual_hours": "Hours", "actual_crew_size": "Men", "actual_total_cents": "Total", "external_ref": "Job #"}
 TODAY = "1998-06-01"
@@ -87,13 +89,13 @@ def import_revert(spark, d):
     return left.groupBy("source", F.col("import_batch_id").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.count("external_ref").alias("refs"), F.count("row_hash").alias("hashes"))
 
 
-@query("""SELECT * FROM (VALUES ('0', 'reverted'), ('1', 'conflict'), ('9', 'not_found')) v(batch, verdict)
-WHERE (SELECT count(*) FROM region) = 5""")
+@query("""WITH b AS (SELECT DISTINCT o_custkey % 500 AS batch, (o_custkey % 500) % 3 = 1 AS was FROM orders), a AS (SELECT c_custkey % 600 AS batch FROM customer GROUP BY 1)
+SELECT a.batch::VARCHAR AS batch, CASE WHEN b.batch IS NULL THEN 'not_found' WHEN was THEN 'conflict' ELSE 'reverted' END AS verdict FROM a LEFT JOIN b USING (batch)""")
 def import_revert_verdicts(spark, d):
-    """A first revert works, a second is a conflict, an unknown batch is not found; the regions stand for the batches."""
-    stamps = t(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("import_batch_id"), F.when(F.col("r_regionkey") == 1, F.to_date(F.lit("1998-01-01"))).alias("reverted_on"))
-    out = [stamps.agg(imports.revert(history(spark, d), stamps, b, TODAY)[2].alias("verdict")).select(F.lit(b).alias("batch"), "verdict") for b in ("0", "1", "9")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """What each asked revert comes to: batches of orders, a third of them reverted before, and batches that nobody made."""
+    stamps = t(spark, d, "orders").select((F.col("o_custkey") % 500).alias("n")).distinct().select(F.col("n").cast("string").alias("import_batch_id"), F.when(F.col("n") % 3 == 1, F.to_date(F.lit("1998-01-01"))).alias("reverted_on"))
+    asked = t(spark, d, "customer").select((F.col("c_custkey") % 600).cast("string").alias("batch")).distinct()
+    return imports.revert_verdicts(asked, stamps, "batch")
 
 
 @query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS row_number, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_shipdate::DATE END AS day, l_linenumber <= 4 AS sized, l_quantity - 3 AS hours, l_suppkey % 14 AS crew, l_extendedprice AS total FROM lineitem)
@@ -122,9 +124,29 @@ def typed_cells(spark, d):
     return x.select("c_custkey", parse.parse_state(F.col("state")).alias("state"), parse.parse_zip(F.col("zip")).alias("zip"), parse.building_key(F.col("street"), F.col("zip")).alias("building"), parse.parse_int(F.col("number")).alias("whole"), parse.parse_bool(F.col("flag")).alias("flag"))
 
 
-@query()
+@query("""WITH s AS (SELECT count(*) AS total, count(o_orderdate) AS a, count(o_orderkey) AS b, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS c, count(o_orderpriority) AS e FROM orders)
+SELECT field, header, 'exact' AS confidence, filled, total FROM s, LATERAL (VALUES ('move_date', 'Job Date', a), ('external_ref', 'Order ID', b), ('actual_total_cents', 'Final Amount ($)', c), ('notes', 'Remarks', e)) v(field, header, filled)""")
 def header_mapping(spark, d):
-    """The fields that the headers of every driver table and of a common export suggest."""
-    files = {n: t(spark, d, n).columns for n in ("orders", "lineitem", "part")} | {"export": ["Move Date", "From ZIP.", "To Zip", "Size", "Crew notes", "Total Hours", "Est. Hrs", "Final Amount ($)", "Job #", "Hours"]}
-    rows = [(f, *s) for f, heads in files.items() for s in fields.suggest(heads)]
-    return spark.createDataFrame(rows, "file string, field string, header string, confidence string")
+    """Fields that the headers of an order export suggest, with how many of its rows fill each of them."""
+    o = t(spark, d, "orders")
+    export = o.select(F.col("o_orderdate").cast("string").alias("Job Date"), F.col("o_orderkey").cast("string").alias("Order ID"), F.when(F.col("o_totalprice") > 100_000, F.col("o_totalprice").cast("string")).alias("Final Amount ($)"), F.col("o_orderpriority").alias("Remarks"), F.col("o_orderstatus").alias("Status code"))
+    return imports.suggested(export)
+
+
+TWICE = VALID + f""", k AS (SELECT * FROM ({BATCHES}) WHERE status IN ('ok', 'warning'))"""
+
+
+@query(TWICE + """, r AS (SELECT batch, count(*) AS n FROM k GROUP BY 1), a AS (SELECT (row_number % 3)::VARCHAR AS batch, count(*) AS total FROM j GROUP BY 1)
+SELECT a.batch, total, n AS importable, batch = '1' AS reverted, CASE WHEN batch <> '1' THEN n ELSE 0 END AS stored FROM a JOIN r USING (batch)""")
+def import_commits(spark, d):
+    """Three batches stored with their provenance, one of them twice (a retry) and one reverted twice; read back from storage."""
+    root = shared_folder(spark, "imports")
+    every = cut(judged(spark, d).withColumn("batch", (F.col("row_number") % 3).cast("string")))
+    for batch in ("0", "1", "2", "2"):
+        rows, stamp = imports.batch_rows(every.where(F.col("batch") == batch).drop("batch"), "c1", batch, TODAY)
+        commits.import_batch(spark, root, rows.select("company_id", "import_batch_id", "source", "external_ref", "row_hash"), stamp, batch)
+    for _ in range(2):
+        commits.revert_import(spark, root, "1", TODAY)
+    stored = commits.read(spark, root, "history").groupBy(F.col("import_batch_id").alias("batch")).agg(F.count(F.lit(1)).alias("stored"))
+    batches = commits.read(spark, root, "batches").select(F.col("import_batch_id").alias("batch"), "total", "importable", F.col("reverted_on").isNotNull().alias("reverted"))
+    return batches.join(stored, "batch", "left").withColumn("stored", F.coalesce("stored", F.lit(0)))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartage.functions import passages, text
-from cartage.functions.staging import cut
+from cartage.functions.staging import cut, shared_folder
 from cartage.operators import evidence, retrieval, vector_index
 from cartage.plans.queries import NORMAL, TOKENS, query, t
+from cartage.sources import commits
 
 
 @query()
@@ -158,3 +159,26 @@ def answer_comparison(spark, d):
 round(count(*) FILTER (NOT failed AND len(k) > 0 AND len(h) > 0 AND k[1] = h[1]) / count(*) FILTER (NOT failed), 4) AS top1_rate, round(count(*) FILTER (agreement IN ('disjoint', 'keyword_only', 'hybrid_only')) / count(*) FILTER (NOT failed), 4) AS disagreement_rate FROM v""")
 def shadow_tally(spark, d):
     return evidence.tally(_lists(spark, d)).select("n", "identical", "overlap", "hybrid_failed", "top1_rate", "disagreement_rate")
+
+
+@query("""WITH c AS (SELECT p_partkey, p_brand, p_size % 7 <> 0 AS is_active FROM part), d AS (SELECT p_brand, count(*) AS n, count(*) FILTER (is_active) AS own FROM c GROUP BY 1)
+SELECT p_brand AS document_id, p_brand LIKE '%#2%' AS deleted, p_brand NOT LIKE '%#2%' AND p_brand NOT LIKE '%#3%' AS visible, CASE WHEN p_brand LIKE '%#2%' THEN 0 ELSE n END AS passages,
+CASE WHEN p_brand LIKE '%#2%' OR p_brand LIKE '%#3%' THEN 0 WHEN p_brand LIKE '%#4%' THEN n ELSE own END AS active FROM d""")
+def visibility_commits(spark, d):
+    """Brands as documents with their parts as passages: some are deleted, some switched off, some off and on again; read back from storage."""
+    root = shared_folder(spark, "index")
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("document_id"), (F.col("p_size") % 7 != 0).alias("is_active"))
+    docs = p.select("document_id").distinct().withColumns({"is_active": F.lit(True), "deleted_at": F.lit(None).cast("timestamp_ntz")})
+    for k in range(2):  # two commits, so that some are not touched
+        own = F.pmod(F.xxhash64("document_id"), F.lit(2)) == k
+        commits.publish(spark, root, f"load-{k}", {"documents": docs.where(own), "passages": p.where(own)})
+    names = sorted(r[0] for r in docs.select("document_id").collect())
+    of = lambda digit: [n for n in names if f"#{digit}" in n]
+    commits.set_visible(spark, root, "off-3", "document_id", of(3), False)
+    commits.set_visible(spark, root, "off-4", "document_id", of(4), False)
+    commits.set_visible(spark, root, "on-4", "document_id", of(4), True)
+    for _ in range(2):  # the second is a retry
+        commits.delete_documents(spark, root, "delete-2", "document_id", of(2), F.lit("1998-01-01").cast("timestamp_ntz"))
+    n = commits.read(spark, root, "passages").groupBy("document_id").agg(F.count(F.lit(1)).alias("passages"), F.count_if("is_active").alias("active"))
+    out = commits.read(spark, root, "documents").select("document_id", F.col("deleted_at").isNotNull().alias("deleted"), F.col("is_active").alias("visible")).join(n, "document_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("passages", "active")})

@@ -31,7 +31,21 @@ def quote_lifecycle(spark, d):
     q = quotes(spark, d)
     low = F.when(F.col("quote_id") % 5 == 0, F.col("amount_max_cents")).otherwise(F.col("amount_min_cents"))
     step = lifecycle.quote_step(F.col("status"), F.col("action"), F.col("valid_until"), F.lit(NOW).cast("timestamp_ntz"), low, F.when(F.col("quote_id") % 5 == 0, F.col("amount_min_cents")).otherwise(F.col("amount_max_cents")))
-    return q.select("quote_id", step.alias("s")).select("quote_id", "s.*")
+    return q.select("quote_id", step.alias("s")).select("quote_id", "s.status", "s.error", "s.lead_status", "s.booked")
+
+
+@query(QUOTES + """, o AS (SELECT *, (low * 0.88)::BIGINT AS own_low, (low * 1.12)::BIGINT AS own_high FROM q), g AS (SELECT *, CASE WHEN quote_id % 4 = 0 THEN own_high + 1 WHEN quote_id % 4 = 1 THEN own_low - 5 END AS new_low, CASE WHEN quote_id % 6 = 2 THEN -5 WHEN quote_id % 6 = 4 THEN own_high + 100 END AS new_high FROM o),
+b AS (SELECT *, coalesce(new_low, own_low) AS lo, coalesce(new_high, own_high) AS hi, new_low IS NOT NULL OR new_high IS NOT NULL AS given FROM g), e AS (SELECT *, CASE WHEN status <> 'draft' THEN 'only drafts can be approved' WHEN given AND NOT (lo > 0 AND hi >= lo) THEN 'invalid range' END AS error FROM b)
+SELECT quote_id, error, error IS NULL AND given AS adjusted, CASE WHEN error IS NULL AND given THEN lo ELSE own_low END AS amount_min_cents, CASE WHEN error IS NULL AND given THEN hi ELSE own_high END AS amount_max_cents FROM e""")
+def quote_adjustments(spark, d):
+    """Approvals that set both bounds, one or none of a quote's range; the other bound is the quote's own."""
+    q = quotes(spark, d)
+    k, low = F.col("quote_id"), F.round(F.col("amount_min_cents").cast("decimal(18,0)") * F.lit("0.88").cast("decimal(3,2)")).cast("long")
+    high = F.round(F.col("amount_min_cents").cast("decimal(18,0)") * F.lit("1.12").cast("decimal(3,2)")).cast("long")
+    new_low = F.when(k % 4 == 0, high + 1).when(k % 4 == 1, low - 5)
+    new_high = F.when(k % 6 == 2, F.lit(-5).cast("long")).when(k % 6 == 4, high + 100)
+    step = lifecycle.quote_step(F.col("status"), F.lit("approve"), F.col("valid_until"), F.lit(NOW).cast("timestamp_ntz"), new_low, new_high, low, high)
+    return q.select(k, step.alias("s")).select("quote_id", "s.error", "s.adjusted", "s.amount_min_cents", "s.amount_max_cents")
 
 
 @query(QUOTES + """, x AS (SELECT *, CASE WHEN quote_id % 4 = 0 THEN 0 WHEN quote_id % 4 = 1 THEN least(5000, low) ELSE CASE WHEN round_even(low * 10 / 100.0, 0) < 100 THEN 0 ELSE least(round_even(low * 10 / 100.0, 0)::BIGINT, low) END END AS deposit FROM q),

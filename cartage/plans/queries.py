@@ -427,11 +427,6 @@ def inferred_formats(spark, d):
     return parse.detect_date_order(o, "written", "o_orderkey").crossJoin(parse.detect_decimal_style(o, "money", "o_orderkey"))  # one row each
 
 
-@query()
-def chunk_pack(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.explode(text.chunk_text(text.normalize(F.col("text")))).alias("c")).select("doc_id", "c.chunk_index", "c.token_count", "c.content_hash")
-
-
 @query("""WITH x AS (SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice <= 20000 THEN 'total' END, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'date' END) AS errors,
   concat_ws(',', CASE WHEN o_totalprice > 300000 THEN 'total' END, CASE WHEN o_orderpriority LIKE '%LOW%' THEN 'priority' END) AS warnings FROM orders)
 SELECT o_orderkey, errors, warnings, CASE WHEN errors <> '' THEN 'error' WHEN warnings <> '' THEN 'warning' ELSE 'ok' END AS status FROM x""")

@@ -10,11 +10,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DELIMITERS = ",;\t|"
-MAX_ROWS, MAX_COLUMNS = 10_000, 200
+MAX_ROWS, MAX_COLUMNS, MAX_BYTES = 10_000, 200, 20 << 20
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -67,11 +67,26 @@ def read_sheet(name: str, data: bytes) -> tuple[list[str], list[dict[str, str |
     return headers, rows
 
 
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every byte of a text file is UTF-8: Spark keeps a line's bytes as they are, so all lines are judged, where they lie."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+
+
+def _in_file_order(rows: DataFrame, block: str) -> DataFrame:
+    """``rows`` with ``row_number`` from 1: counts of the file's blocks before, and the place inside the block."""
+    marked = rows.withColumn("__id", F.monotonically_increasing_id())
+    sizes = marked.groupBy(block).agg(F.count(F.lit(1)).alias("__n"))  # a row a block of the file
+    before = sizes.select(F.col(block).alias("__block"), F.coalesce(F.sum("__n").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = marked.withColumn("__place", F.row_number().over(Window.partitionBy(block).orderBy("__id")))
+    met = inside.join(F.broadcast(before), inside[block] == before["__block"])
+    return met.select((F.col("__before") + F.col("__place")).cast("long").alias("row_number"), *(F.col(f"`{c}`") for c in rows.columns if c != block))
+
+
 def read_table(spark: SparkSession, path: str, max_rows: int | None = MAX_ROWS, multiline: bool = False) -> DataFrame:
-    """The rows of one .csv, .txt or .xlsx file as text, with ``row_number`` rising in file order; blank rows and nameless columns go.
+    """The rows of one .csv, .txt or .xlsx file as text, numbered from 1 (``row_number``) in file order; blank rows and nameless columns go.
 
-    CSV is read by Spark in as many parts as it has (one, if ``multiline``), after a look at its first lines for delimiter
-    and encoding; a workbook is one executor's.  Raises ValueError for a sheet without columns or rows, with more than
+    CSV is read by Spark in as many parts as it has (one, if ``multiline``): UTF-8 if the whole file is, else latin-1; its
+    first lines give the delimiter.  A workbook is one executor's.  Raises ValueError for a sheet without columns or rows, with more than
     200 columns or, unless that is None, with more than ``max_rows`` rows.
     """
     kind = path.lower().rsplit(".", 1)[-1]
@@ -81,16 +96,16 @@ def read_table(spark: SparkSession, path: str, max_rows: int | None = MAX_ROWS,
         table = book.mapInPandas(cells, "row_number long, cells array<string>")
         first = table.orderBy("row_number").first()
         head = [(h or "").strip() for h in (first["cells"] if first else [])]
-        rows = table.where(F.col("row_number") > (first["row_number"] if first else 0)).select("row_number", *(F.try_element_at("cells", F.lit(i + 1)).alias(h) for i, h in enumerate(head) if h))
+        rows = table.where(F.col("row_number") > (first["row_number"] if first else 0)).select(F.lit(0).alias("__at"), *(F.try_element_at("cells", F.lit(i + 1)).alias(h) for i, h in enumerate(head) if h))
     elif kind in ("csv", "txt"):
         lines = [r[0] for r in spark.read.text(path).limit(50).collect()]
-        encoding = "ISO-8859-1" if any("\ufffd" in x for x in lines) else "UTF-8"
+        encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
         raw = spark.read.csv(path, header=True, sep=sniff_delimiter("\n".join(lines).lstrip("\ufeff")), encoding=encoding, inferSchema=False, multiLine=multiline, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-        named = [(c, c.lstrip("\ufeff").strip()) for c in raw.columns if c.strip() and not re.fullmatch(r"_c\d+", c)]
-        rows = raw.select(F.monotonically_increasing_id().alias("row_number"), *(F.col(f"`{c}`").alias(h) for c, h in named))
+        named = [(c, c.lstrip("\ufeff").removeprefix("\u00ef\u00bb\u00bf").strip()) for c in raw.columns if c.strip() and not re.fullmatch(r"_c\d+", c)]
+        rows = raw.select(F.col("_metadata.file_block_start").alias("__at"), *(F.col(f"`{c}`").alias(h) for c, h in named))
     else:
         raise ValueError("a sheet is a .xlsx, .csv or .txt file")
-    heads = [c for c in rows.columns if c != "row_number"]
+    heads = [c for c in rows.columns if c != "__at"]
     if not heads or len(heads) > MAX_COLUMNS:
         raise ValueError(f"a sheet needs 1 to {MAX_COLUMNS} columns")
     filled = F.lit(False)
@@ -100,7 +115,7 @@ def read_table(spark: SparkSession, path: str, max_rows: int | None = MAX_ROWS,
     n = rows.limit(max_rows + 1).count() if max_rows is not None else int(not rows.isEmpty())
     if not n or (max_rows is not None and n > max_rows):
         raise ValueError(f"a sheet needs 1 to {max_rows} rows")
-    return rows
+    return _in_file_order(rows, "__at")
 
 
 def xlsx_rows(data: bytes) -> list[list[str | None]]:
@@ -144,9 +159,11 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(x for x in lines if x.strip())
 
 
-def read_documents(spark: SparkSession, path: str, max_bytes: int = 20 << 20) -> DataFrame:
-    """(path, kind, text, error) of the files under ``path``; each executor reads its own files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def extracted(found: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, kind, text, error, and what else ``found`` has) of files (path, length, content); each executor reads its own files.
+
+    A file over ``max_bytes``, of an unknown kind, or with too little text has an error and no text.
+    """
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -166,7 +183,16 @@ def read_documents(spark: SparkSession, path: str, max_bytes: int = 20 << 20) ->
                         raise ValueError("too little text")
                 except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError) as x:
                     text, error = None, str(x) or type(x).__name__
-                rows.append((p, kind, text, error))
-            yield pd.DataFrame(rows, columns=["path", "kind", "text", "error"])
+                rows.append((kind, text, error))
+            out = f.drop(columns=["content", "length"])
+            yield out.assign(**dict(zip(("kind", "text", "error"), map(list, zip(*rows, strict=True)) if rows else ([], [], []), strict=True)))
+
+    slim = found.withColumn("content", F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(F.lit(b"")))
+    kept = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in found.schema if x.name not in ("content", "length"))
+    return slim.mapInPandas(extract, f"{kept}, kind string, text string, error string")
+
 
-    return files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(F.lit(b"")).alias("content")).mapInPandas(extract, "path string, kind string, text string, error string")
+def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, kind, text, error) of the files under ``path``."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return extracted(found.select("path", "length", "content"), max_bytes)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartage.functions import fields, parse
 from cartage.operators import geo, imports, lifecycle, relational, similarity, stats
-from cartage.sources import files
+from cartage.sources import commits, files
 from cartage.streaming import state
 
 
@@ -49,14 +49,16 @@ def test_a_sheet_is_judged_kept_and_reverted(spark, tmp_path):
     assert [w.field for w in got[6].warnings] == ["origin_zip", "mystery"] and got[6].origin_zip is None
     judged = imports.judge(sheet, mapping, "2026-01-01")
     batch, stamp = imports.batch_rows(judged, "c1", "b1", "2026-01-01")
-    assert imports.append_batch(batch, stamp, f"{tmp_path}/h", f"{tmp_path}/b") == 2
-    kept, batches = spark.read.parquet(f"{tmp_path}/h"), spark.read.parquet(f"{tmp_path}/b")
+    root = f"file://{tmp_path}/store"
+    assert commits.import_batch(spark, root, batch, stamp, "b1")
+    kept, batches = commits.read(spark, root, "history"), commits.read(spark, root, "batches")
+    assert kept.count() == 2
     assert kept.count() == 2 and batches.first().duplicates == 1
     assert imports.judge(sheet, mapping, "2026-01-01", kept.select("external_ref", "row_hash")).where("status = 'duplicate'").count() == 3
     left, stamped, verdict = imports.revert(kept, batches, "b1", "2026-01-02")
     assert left.count() == 0 and batches.agg(verdict).first()[0] == "reverted" and stamped.agg(verdict).first()[0] == "conflict"
     empty, none = imports.batch_rows(judged.where("status = 'error'"), "c1", "b2", "2026-01-01")
-    assert imports.append_batch(empty, none, f"{tmp_path}/h2", f"{tmp_path}/b2") == 0
+    assert not commits.import_batch(spark, root, empty, none, "b2") and commits.read(spark, root, "batches").count() == 1
     patched = {r.row_number: r for r in imports.patch(batch, spark.createDataFrame([(1, 8.0)], "row_number long, actual_hours double"), "row_number").collect()}
     before = {r.row_number: r for r in batch.collect()}
     assert patched[1].actual_hours == 8.0 and patched[1].row_hash != before[1].row_hash and patched[6].row_hash == before[6].row_hash

@@ -163,10 +163,7 @@ def test_sheets_and_documents(spark, tmp_path):
     assert got["a.docx"].text.startswith("# Policy") and got["b.txt"].error == "too little text" and got["c.txt"].error is None
 
 
-def test_chunks_are_packed(spark):
-    body = "\n\n".join(f"Paragraph {i}. " + "word " * 60 for i in range(12))
-    chunks = one(spark, text.chunk_text(F.lit(body)))
-    assert len(chunks) > 3 and all(c.token_count <= 240 for c in chunks)
+def test_token_estimates(spark):
     assert one(spark, text.estimate_tokens(F.lit("abc"))) == 1
 
 
