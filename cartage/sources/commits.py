@@ -40,6 +40,11 @@ def live(spark: SparkSession, root: str, table: str) -> DataFrame:
     return e.where(F.array_contains("adds", table)).select(F.col("name").alias("commit")).join(gone, "commit", "left_anti")
 
 
+def last(spark: SparkSession, root: str, table: str) -> str:
+    """The greatest name of a commit that added to ``table``; names that end in a number of fixed width count up."""
+    return _entries(spark, root).where(F.array_contains("adds", table)).agg(F.max("name")).first()[0]
+
+
 def read(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     """The published rows of ``table`` with the ``commit`` of each; None before its first commit."""
     first = _entries(spark, root).where(F.array_contains("adds", table)).orderBy("at").first()
