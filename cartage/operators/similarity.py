@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartage.operators.topk import half_up
@@ -80,3 +80,18 @@ def pair_scores(gaps: dict[str, np.ndarray], weights: dict[str, float] | None =
         gap = gap + np.where(known, weights[name] * np.clip(d, 0.0, 1.0), 0.0)
     score = np.where(present > 0, half_up(1 - gap / np.where(present > 0, present, 1.0), 4), 0.0)
     return np.where(np.minimum(present / sum(weights.values()), 1.0) >= MIN_COVERAGE, score, -np.inf)
+
+
+def recent_pool(rows: DataFrame, tenant: str, size: str, day: str, key: str, window: int, most: int) -> DataFrame:
+    """(rows, pool_size): for each tenant and size the ``most`` newest rows of sizes within ``window``, and one more for a query that is among them.
+
+    Queries of one tenant and size share candidates, so these are chosen once for all of them.  Months are counted first and
+    only those that reach the number are sorted, so a large tenant's history is not gathered.
+    """
+    spread = rows.withColumn("pool_size", F.explode(F.sequence(F.col(size) - window, F.col(size) + window)))
+    asked = rows.select(F.col(tenant).alias("__t"), F.col(size).alias("__s")).distinct()
+    spread = spread.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, (F.col(tenant) == F.col("__t")) & (F.col("pool_size") == F.col("__s")), "left_semi").withColumn("__m", F.coalesce(F.trunc(day, "month"), F.to_date(F.lit("0001-01-01"))))
+    newer = F.coalesce(F.sum("__n").over(Window.partitionBy(tenant, "pool_size").orderBy(F.desc("__m")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    months = spread.groupBy(tenant, "pool_size", "__m").agg(F.count(F.lit(1)).alias("__n")).withColumn("__newer", newer).where(F.col("__newer") <= most).select(tenant, "pool_size", "__m")
+    place = F.row_number().over(Window.partitionBy(tenant, "pool_size").orderBy(F.desc(day), key))
+    return spread.join(months, [tenant, "pool_size", "__m"], "left_semi").withColumn("__p", place).where(F.col("__p") <= most + 1).drop("__p", "__m")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cartage.functions.staging import cut
 from cartage.operators import relational, similarity
 from cartage.plans.queries import ORACLE, _jobs, _priced, query, t
 
@@ -24,9 +25,10 @@ def _moves(spark, d):
 
 def _similar_moves(spark, d):
     """Comparable moves of each query (ids divisible by 100): same tenant, home size within two steps, the most recent candidates, scored and ranked."""
-    m = _moves(spark, d)
+    m = cut(_moves(spark, d))
     q = m.where("id % 100 = 0").select("tenant", *(F.col(c).alias(f"q_{c}") for c in m.columns if c not in ("tenant", "day", "tags", "hours", "quoted")))
-    near = m.join(q, "tenant").where((F.col("id") != F.col("q_id")) & F.abs(F.col("size") - F.col("q_size")).between(0, WINDOW))
+    pool = cut(similarity.recent_pool(m, "tenant", "size", "day", "id", WINDOW, MAX_CANDIDATES))
+    near = pool.join(q, (pool["tenant"] == q["tenant"]) & (pool["pool_size"] == q["q_size"])).drop(q["tenant"], pool["pool_size"]).where(F.col("id") != F.col("q_id"))
     recent = near.withColumn("__r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("day"), "id"))).where(F.col("__r") <= MAX_CANDIDATES)
     both = lambda c: (F.col(c), F.col(f"q_{c}"))
     size = lambda c, order: similarity.ordinal_gap(*(F.element_at(F.array(*map(F.lit, order)), x + 1) for x in both(c)), order)

@@ -115,3 +115,20 @@ def test_one_arm_answers_when_the_other_fails(spark):
 
 def test_words_of_a_query(spark):
     assert sorted(spark.range(1).select(search_tokens(F.lit("Cancellations of PIANOS")).alias("t")).first().t) == ["cancellation", "piano"]
+
+
+def test_pools_hold_the_newest_rows_of_each_tenant_and_size(spark):
+    import datetime
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), rng.randrange(4), datetime.date(2020 + i % 3, i % 12 + 1, rng.randrange(1, 28)) if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, tenant string, size int, day date")
+    got = {}
+    for r in similarity.recent_pool(df, "tenant", "size", "day", "id", 1, 20).collect():
+        got.setdefault((r.tenant, r.pool_size), set()).add(r.id)
+    for tenant in "ab":
+        for size in range(4):
+            own = sorted((r for r in rows if r[1] == tenant and abs(r[2] - size) <= 1), key=lambda r: (-(r[3] or datetime.date(1, 1, 1)).toordinal(), r[0]))
+            assert got[tenant, size] == {r[0] for r in own[:21]}
+    few = df.where("id % 11 = 0")  # no day is known
+    assert {r.id for r in similarity.recent_pool(few, "tenant", "size", "day", "id", 3, 500).collect()} == {r[0] for r in rows if r[0] % 11 == 0}
