@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import attach_groups, broadcast_if, join_spread, materialize, small_batches
+from .scratch import attach_groups, broadcast_if, join_spread, materialize, small_batches, unused
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 #: Leaders a bucket has in turn; the last one's open members are met with each other.
@@ -238,12 +238,13 @@ def classes_of(links: DataFrame) -> DataFrame:
     Each step takes the smallest label among the neighbours, then the label's label; the tables are cut each time.
     """
     both = materialize(links.select(F.col("x").alias("v"), F.col("y").alias("w")).union(links.select("y", "x")).distinct())
-    labels = materialize(both.select("v").distinct().select("v", F.col("v").alias("c")))
+    degree = materialize(both.groupBy("w").agg(F.count(F.lit(1)).alias("n")))  # a hub's neighbours are dealt to several tasks
+    labels = materialize(degree.select(F.col("w").alias("v"), F.col("w").alias("c")))
     while True:
-        near = both.join(labels.select(F.col("v").alias("w"), "c"), "w").groupBy("v").agg(F.min("c").alias("m"))
-        step = labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "m").alias("c"))
+        near = join_spread(both, labels.select(F.col("v").alias("w"), "c"), "w", ["v"], counts=degree).groupBy("v").agg(F.min("c").alias("m"))
+        step = materialize(labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "m").alias("c")))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("d"))
-        labels_new = materialize(step.join(jump, "c", "left").select("v", "was", F.least("c", F.coalesce("d", "c")).alias("c")))
+        labels_new = materialize(join_spread(step, jump, "c", ["v"], how="left").select("v", "was", F.least("c", F.coalesce("d", "c")).alias("c")))
         changed = not labels_new.where("was <> c").isEmpty()
         labels = labels_new.select("v", "c")
         if not changed:
@@ -260,8 +261,8 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, threshold: float = TH
     sig = materialize(signatures(docs, id_col, text_col, bands, rows, width))
     vertices = sig.where("size > 0").groupBy("v").agg(F.min("bands").alias("bands"))
     at = materialize(vertices.select("v", F.explode("bands").alias("b")))
-    shared = at.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = materialize(at.join(shared, "b"))
+    shared = materialize(at.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    inside = materialize(join_spread(at, shared, "b", ["v"], counts=shared))
     central = materialize(inside.groupBy("v").agg(F.sum("n").alias("w")))
     inside = materialize(inside.select("b", "v").join(central, "v"))
     wanted, _ = broadcast_if(central.select("v"), 1_000_000)
@@ -271,8 +272,8 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, threshold: float = TH
     for level in range(LEVELS):
         if inside.isEmpty():
             break
-        lead = materialize(inside.groupBy("b").agg(F.max(F.struct("w", "v")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("b", F.col("m.v").alias("m")))
-        met = materialize(inside.join(lead, "b").where("v <> m"))
+        lead = materialize(inside.groupBy("b").agg(F.max(F.struct("w", "v")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("b", F.col("m.v").alias("m"), "n"))
+        met = materialize(join_spread(inside, lead.select("b", "m"), "b", ["v"], counts=lead.select("b", "n")).where("v <> m"))
         compared = materialize(_compare(met.select(F.col("m").alias("x"), F.col("v").alias("y")).distinct(), sets, True))
         maybe = materialize(_meet_by_differences(compared, threshold, level == LEVELS - 1))
         tried = materialize(compared.select("x", "y", "sim").unionByName(_compare(maybe, sets).select("x", "y", "sim")))
@@ -283,7 +284,8 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, threshold: float = TH
     labels = classes_of(links) if links is not None else None
     rowsets = sig.select("doc_id", "digest", "v", "size")
     if labels is not None:
-        rowsets = materialize(rowsets.join(labels, "v", "left").select("doc_id", "digest", F.coalesce("c", "v").alias("c"), "size"))
+        # Copies of one text share a key; they are dealt to several tasks.
+        rowsets = materialize(join_spread(rowsets, labels, "v", ["doc_id", "digest"], how="left").select("doc_id", "digest", F.coalesce("c", "v").alias("c"), "size"))
     else:
         rowsets = rowsets.withColumnRenamed("v", "c")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
@@ -298,9 +300,10 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, threshold: float = TH
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, known by id and text; columns are unchanged."""
     verdicts = materialize(_verdicts(docs, id_col, text_col))
-    gone = materialize(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": _digest(text_col)})
+    key, digest, gone_key, gone_digest = unused(docs, "__id", "__digest", "__gone", "__lost")
+    gone = materialize(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(gone_key), F.col("digest").alias(gone_digest)).distinct())
+    keyed = docs.withColumns({key: F.col(id_col).cast("long"), digest: _digest(text_col)})
     gone, _ = broadcast_if(gone, 1_000_000)  # ids and digests of 32 bytes
-    stay = keyed.join(gone.withColumnsRenamed({"__id": "__gone", "__digest": "__lost"}), F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__lost")), "left_anti")
+    stay = keyed.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.col(digest) == F.col(gone_digest)), "left_anti")
     again = verdicts.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
-    return (stay if again.isEmpty() else stay.dropDuplicates(["__id", "__digest"])).drop("__id", "__digest")
+    return (stay if again.isEmpty() else stay.dropDuplicates([key, digest])).drop(key, digest)

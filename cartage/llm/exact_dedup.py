@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import attach_groups, materialize
+from .scratch import attach_groups, materialize, unused
 
 
 def _alive(rows: DataFrame, key: str, max_keys: int) -> DataFrame:
@@ -49,13 +49,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are not kept; of rows that repeat an id and text, one stays.  Columns are unchanged."""
-    losers = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("digest").alias("__digest"))
+    gone, lost, body_key = unused(docs, "__gone", "__digest", "__body")
+    losers = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(gone), F.col("digest").alias(lost))
     body = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
     losers = materialize(losers.distinct())
     side = F.broadcast(losers) if losers.count() <= 1_000_000 else losers
-    stay = docs.join(side, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.unhex(body) == F.col("__digest")), "left_anti")
+    stay = docs.join(side, F.col(id_col).eqNullSafe(F.col(gone)) & (F.unhex(body) == F.col(lost)), "left_anti")
     again = materialize(stay.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"))
     if again.isEmpty():
         return stay
-    key = [F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("__body")]
-    return stay.withColumn("__body", key[1]).dropDuplicates([id_col, "__body"]).drop("__body")
+    return stay.withColumn(body_key, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).dropDuplicates([id_col, body_key]).drop(body_key)

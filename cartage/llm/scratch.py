@@ -71,18 +71,32 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: list[str], share: int = 1000) -> DataFrame:
-    """Inner join on ``key``, one row of ``table`` a key, in which no key's rows are all one task's.
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with signs added until ``df`` has no column of that name, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: list[str], share: int = 1000, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Inner or left join on ``key``, one row of ``table`` a key, in which no key's rows are all one task's.
 
     Keys of at least one in ``share`` rows are no more than ``share``.  Their rows are dealt by a hash of ``spread`` to as
-    many parts as they have that many rows, and their row of ``table`` goes to each part.  ``rows`` is read twice.
+    many parts as they have that many rows, and their row of ``table`` goes to each part.  ``rows`` is read twice, unless
+    ``counts`` has (key, n), the rows of each key, as a table.
     """
-    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
-    floor = max(1, (counts.agg(F.sum("__n")).first()[0] or 0) // share)
-    hot = F.broadcast(counts.where(F.col("__n") > floor).select(key, F.ceil(F.col("__n") / floor).cast("int").alias("__parts")))
+    if counts is None:
+        counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    floor = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // share)
+    hot = F.broadcast(counts.where(F.col("n") > floor).select(key, F.ceil(F.col("n") / floor).cast("int").alias("__parts")))
     left = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
     right = table.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    return left.join(right, [key, "__part"]).drop("__part")
+    return left.join(right, [key, "__part"], how).drop("__part")
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
