@@ -2,7 +2,7 @@
 parser turns the tags' and/or/with expressions into a verdict.
 
 After an SPDX tag the expression must fill its line and may name anything; after ``license:``, which prose has too, it
-goes as far as known identifiers do.
+goes as far as known identifiers do; those that are words of prose too (``ruby on rails``) must end their line.
 
 Defined cases: null text is empty; an empty text has no words, null positions, empty labels and score 0; a malformed
 expression contributes the known licences before the fault and no verdict; a null id stays null; rows are independent,
@@ -52,6 +52,8 @@ KNOWN = re.compile(
     r"(mit(-0)?|0bsd|isc|zlib|unlicense|wtfpl|postgresql|ncsa|openssl|ruby|vim|x11|cc0-1\.0|(apache|epl|eupl|mpl|osl|afl|artistic|bsl|cddl|cpl|psf|python|php|zpl|ofl|ms-pl|ecl|upl|cecill)-[0-9.]+"
     r"|bsd(-[0-4]-clause(-[a-z]+)?)?|[al]?gpl-[0-9.]+(\+|-only|-or-later)?|gfdl-[0-9.]+(-only|-or-later)?|cc-by(-nc)?(-sa|-nd)?-[0-9.]+|licenseref-[a-z0-9.-]+)\.?"
 )
+#: Known identifiers that are common words.
+PROSE = frozenset({"ruby", "vim"})
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TOKEN = re.compile(r"[ \t]*([()]|[a-z0-9][a-z0-9.+-]*)")
 #: What may follow an expression on its line: blanks, punctuation and ends of comments.
@@ -135,6 +137,8 @@ def tag_tokens(low: str, at: int = 0, any_name: bool = True) -> list[str]:
         at = m.end()
     if any_name and not REST.match(low, at):
         return tag_tokens(low, start, False)
+    if not any_name and found and found[-1] in PROSE and not REST.match(low, at):
+        found.pop()
     while found and (found[-1] in BINDS or found[-1] == "("):
         found.pop()
     return found

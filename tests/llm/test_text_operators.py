@@ -120,7 +120,7 @@ def test_license_labels_expression_and_score_are_the_brute_force():
         flat = f" {' '.join(re.findall('[a-z0-9]+', text.lower()))} "
         want = named | {label for p, label in phrases.items() if f" {p} " in flat}
         assert (got["labels"], got["expression"], got["permissive"], got["score"]) == (",".join(sorted(want)), " ".join(tokens), ok, 1.0)
-    for text, labels, score in [("license: see the office", "", 0.0), ("License: none of it", "", 0.0), ("SPDX-License-Identifier: Own-1.0", "own-1.0", 1.0), ("SPDX-License-Identifier: is a tag", "", 0.0), ("license: mit license", "mit", 1.0), ("all rights reserved", "all-rights-reserved", 0.7), ("the MIT license", "mit", 0.95)]:
+    for text, labels, score in [("license: see the office", "", 0.0), ("License: none of it", "", 0.0), ("SPDX-License-Identifier: Own-1.0", "own-1.0", 1.0), ("SPDX-License-Identifier: is a tag", "", 0.0), ("license: mit license", "mit", 1.0), ("license: ruby on rails", "", 0.0), ("license: vim is great", "", 0.0), ("license: ruby", "ruby", 1.0), ("license: mit or ruby.\n", "mit,ruby", 1.0), ("license: mit or ruby shoes", "mit", 1.0), ("all rights reserved", "all-rights-reserved", 0.7), ("the MIT license", "mit", 0.95)]:
         got = license_scan.scan_text(text)
         assert (got["labels"], got["score"]) == (labels, score), text
 
