@@ -13,7 +13,8 @@ file.  A rolling gear hash cuts the file where the bytes say so, so shared passa
 Features are computed from the bytes read back.
 
 Defined cases: null and empty texts are 64 zero bytes; equal texts share everything; repeated ids are rows of their own;
-null ids own chunks after all others; other columns are ignored; an empty table gives an empty result.
+null ids own chunks after all others; a text is as long as a row can hold (2 GiB), under the 4 GiB that the form's header counts,
+and is cut whole by one task; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

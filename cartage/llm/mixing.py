@@ -10,7 +10,7 @@ shuffle; they are joined by broadcast while there are at most ``max_sources``, e
 
 Defined cases: a null source is a source of its own; null and empty texts are replicated like others; null ids draw as
 "null"; rows that repeat an id draw the same count; a source without a target has weight n ** alpha (``alpha`` below 1
-favours small sources); an empty table gives an empty result; columns named like the added ones are kept out of the way
+favours small sources); texts of any length are carried whole and never read; an empty table gives an empty result; columns named like the added ones are kept out of the way
 by prefixes.
 """
 
