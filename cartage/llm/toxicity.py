@@ -7,7 +7,7 @@ rows that share a MinHash of their shingles, so that copies do not make their ra
 lexicon word but stand mostly in clean rows become exceptions.  One Aho-Corasick pass finds terms and exceptions; a
 word counts by its heaviest term, each word once, and the sum is divided by a slow function of the text's length.
 
-The training sample is bounded by ``sample`` rows a class, the smallest by hash of the id; the lexicon by ``max_terms``.
+The training sample is bounded by ``sample`` rows a class, the smallest by hash of the id.  ``max_terms`` is out of the reach of such a sample.
 
 Defined cases: null text is empty; an empty text has no matches and the lowest score; null labels and labels without a
 document are ignored; without labels of both classes every score is the same, below 0.5; null ids of labels
@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import broadcast_if, materialize, small_batches
+from .scratch import broadcast_if, materialize, small_batches, unused
 
-SAMPLE, MAX_TERMS, PREFIXES = 20_000, 5_000, (4, 5, 6)
+SAMPLE, MAX_TERMS, PREFIXES = 20_000, 500_000, (4, 5, 6)
 MIN_ROWS, MIN_WEIGHT, LENGTH_SCALE = 5, 3.0, 200.0
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсхуіјѕһԁɡӏⅼкмтнвαορνικτυβεηχ", "aeopcxyijshdgllkmthbaopviktubenx", strict=True))
@@ -210,6 +210,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic; columns are unchanged.  The verdict follows the text, so rows go by its digest, not by id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
-    scored, score = _scores(docs, labels, docs.select(digest.alias("__bad"), text.alias("text")), "__bad binary")
-    bad, _ = broadcast_if(materialize(scored.where(score >= 0.5).select("__bad").distinct()), 1_000_000)  # digests of 32 bytes
-    return docs.join(bad, digest == F.col("__bad"), "left_anti")
+    (key,) = unused(docs, "__bad")
+    scored, score = _scores(docs, labels, docs.select(digest.alias(key), text.alias("text")), f"`{key}` binary")
+    bad, _ = broadcast_if(materialize(scored.where(score >= 0.5).select(key).distinct()), 1_000_000)  # digests of 32 bytes
+    return docs.join(bad, digest == F.col(key), "left_anti")
