@@ -38,7 +38,7 @@ def document_details(spark, d):
 
 @query("""WITH q AS (SELECT DISTINCT o_custkey AS quote_id FROM orders), s AS (SELECT DISTINCT conv_id AS quote_id FROM conversations)
 SELECT quote_id, s.quote_id IS NULL AS created FROM q LEFT JOIN s USING (quote_id)""")
-def opened_conversations(spark, d):
+def conversation_threads(spark, d):
     """The conversation of every customer with an order: the stored one, or a new one, once for all their orders."""
     stored = t(spark, d, "conversations").select(F.col("conv_id").alias("quote_id")).distinct()
     every, _ = views.opened(t(spark, d, "orders").select(F.col("o_custkey").alias("quote_id")), stored, "quote_id", {})

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cartage.plans import evaluation, imports, knowledge, lifecycle, reports  # noqa: F401
+from cartage.plans import evaluation, imports, knowledge, lifecycle, reports, views  # noqa: F401
 from cartage.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
@@ -42,10 +42,10 @@ def test_query_is_its_sql(spark, duck, name):
 
 
 def test_fingerprints_and_transcripts_are_whole(spark, duck):
-    of = plans.QUERIES["content_fingerprint_all"](spark, DATA)
+    of = plans.QUERIES["content_fingerprint"](spark, DATA)
     assert sorted(r.doc_id for r in of.collect()) == sorted(x for (x,) in duck.execute("SELECT doc_id FROM documents").fetchall())
-    said = {r.text_sha for r in plans.QUERIES["transcript_replay_whole"](spark, DATA).where("role = 'assistant'").collect()}
-    assert said == {r.text_sha for r in plans.QUERIES["transcript_replay_whole"](spark, DATA).where("role = 'tool'").collect()}
+    said = {r.text_sha for r in plans.QUERIES["transcript_replay"](spark, DATA).where("role = 'assistant'").collect()}
+    assert said == {r.text_sha for r in plans.QUERIES["transcript_replay"](spark, DATA).where("role = 'tool'").collect()}
 
 
 def test_sliding_limit_is_the_fold(spark):
