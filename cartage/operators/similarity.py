@@ -83,7 +83,7 @@ def pair_scores(gaps: dict[str, np.ndarray], weights: dict[str, float] | None =
 
 
 def recent_pool(rows: DataFrame, tenant: str, size: str, day: str, key: str, window: int, most: int) -> DataFrame:
-    """(rows, pool_size): for each tenant and size the ``most`` newest rows of sizes within ``window``, and one more for a query that is among them.
+    """(rows, pool_size, pool_rank): for each tenant and size the ``most`` newest rows of sizes within ``window``, and one more for a query that is among them.
 
     Queries of one tenant and size share candidates, so these are chosen once for all of them.  Months are counted first and
     only those that reach the number are sorted, so a large tenant's history is not gathered.
@@ -94,4 +94,4 @@ def recent_pool(rows: DataFrame, tenant: str, size: str, day: str, key: str, win
     newer = F.coalesce(F.sum("__n").over(Window.partitionBy(tenant, "pool_size").orderBy(F.desc("__m")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     months = spread.groupBy(tenant, "pool_size", "__m").agg(F.count(F.lit(1)).alias("__n")).withColumn("__newer", newer).where(F.col("__newer") <= most).select(tenant, "pool_size", "__m")
     place = F.row_number().over(Window.partitionBy(tenant, "pool_size").orderBy(F.desc(day), key))
-    return spread.join(months, [tenant, "pool_size", "__m"], "left_semi").withColumn("__p", place).where(F.col("__p") <= most + 1).drop("__p", "__m")
+    return spread.join(months, [tenant, "pool_size", "__m"], "left_semi").withColumn("pool_rank", place).where(F.col("pool_rank") <= most + 1).drop("__m")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cartage.functions.staging import cut
+from cartage.functions.staging import cut, staged
 from cartage.operators import relational, similarity
 from cartage.plans.queries import ORACLE, _jobs, _priced, query, t
 
@@ -28,8 +28,11 @@ def _similar_moves(spark, d):
     m = cut(_moves(spark, d))
     q = m.where("id % 100 = 0").select("tenant", *(F.col(c).alias(f"q_{c}") for c in m.columns if c not in ("tenant", "day", "tags", "hours", "quoted")))
     pool = cut(similarity.recent_pool(m, "tenant", "size", "day", "id", WINDOW, MAX_CANDIDATES))
+    # A query that is in its pool takes all others of it; one that is not takes all but the last.
+    inside = pool.where(F.col("pool_size") == F.col("size")).select(F.col("id").alias("q_id"), F.lit(True).alias("q_inside"))
+    q = q.join(inside, "q_id", "left")
     near = pool.join(q, (pool["tenant"] == q["tenant"]) & (pool["pool_size"] == q["q_size"])).drop(q["tenant"], pool["pool_size"]).where(F.col("id") != F.col("q_id"))
-    recent = near.withColumn("__r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("day"), "id"))).where(F.col("__r") <= MAX_CANDIDATES)
+    recent = near.where((F.col("pool_rank") <= MAX_CANDIDATES) | F.col("q_inside"))
     both = lambda c: (F.col(c), F.col(f"q_{c}"))
     size = lambda c, order: similarity.ordinal_gap(*(F.element_at(F.array(*map(F.lit, order)), x + 1) for x in both(c)), order)
     gaps = {
@@ -37,7 +40,9 @@ def _similar_moves(spark, d):
         "floors": similarity.scaled_gap(*both("floor_o"), 5.0), "elevators": F.when(F.col("lift_o") == F.col("q_lift_o"), 0.0).otherwise(1.0), "packing_service": size("packing", similarity.PACKING), "special_items": similarity.jaccard_gap(*both("items")),
         "geography": similarity.geography_gap(*({"zip": z, "city": F.lit(None).cast("string"), "state": F.lit(None).cast("string")} for z in both("zip"))),
     }
-    scored = recent.withColumn("cmp", similarity.compare(gaps)).where("cmp.comparable")
+    # Gaps and scores are made once a pair, however often later steps name them.
+    known = staged(recent, {f"__{k}": g for k, g in gaps.items()}, ["tenant", "id", "day", "tags", "hours", "quoted", "q_id"])
+    scored = staged(known, {"cmp": similarity.compare({k: F.col(f"__{k}") for k in gaps})}, ["tenant", "id", "day", "tags", "hours", "quoted", "q_id"]).where("cmp.comparable")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("cmp.score"), F.desc("day"), "id"))).withColumn("comparable_count", F.count(F.lit(1)).over(Window.partitionBy("q_id"))).where(F.col("place") <= TOP)
 
 
