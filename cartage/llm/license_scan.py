@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from .scratch import small_batches
 
 #: The contract's phrases and their labels.
-BASE_PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notice phrases of well-known public licences.
 NOTICES = {
+    "the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license": "apache-2",
     "redistribution and use in source and binary forms": "bsd",
@@ -42,6 +43,8 @@ NOTICES = {
     "public domain dedication": "cc0",
     "all rights reserved": "all-rights-reserved",
 }
+#: Phrases that score as high as the contract's: a licence called by its full name.
+SURE = frozenset({*BASE_PHRASES, "the mit license"})
 #: Tag identifiers whose label differs from the identifier itself.
 ALIASES = {"apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc0-1.0": "cc0", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd"}
 PERMISSIVE = frozenset({"mit", "apache-2", "bsd", "isc", "zlib", "unlicense", "cc0", "cc-by", "0bsd"})
@@ -148,7 +151,7 @@ def tag_tokens(low: str, at: int = 0, any_name: bool = True) -> list[str]:
 def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
     for p, label in {**NOTICES, **BASE_PHRASES}.items():
-        phrases.add_word(f" {p} ", (len(p) + 2, label, p in BASE_PHRASES))
+        phrases.add_word(f" {p} ", (len(p) + 2, label, p in BASE_PHRASES, p in SURE))
     for t, strict in TAGS.items():
         tags.add_word(t, (len(t), strict))
     phrases.make_automaton()
@@ -162,17 +165,17 @@ def scan_text(text: str | None) -> dict:
     low = (text or "").translate(ASCII_LOWER)
     found = WORD.findall(low)
     flat = f" {' '.join(found)} "
-    hits = [(end - size + 1, label, base) for end, (size, label, base) in phrases.iter(flat)]
-    places: list[tuple[int, str, bool]] = []
+    hits = [(end - size + 1, label, base, sure) for end, (size, label, base, sure) in phrases.iter(flat)]
+    places: list[tuple[int, str, bool, bool]] = []
     if hits:
         starts, at = [], 0
         for w in found:
             starts.append(at)
             at += len(w) + 1
-        places = sorted((bisect_right(starts, s) - 1, label, base) for s, label, base in hits)
-    base = [(w, label) for w, label, b in places if b]
+        places = sorted((bisect_right(starts, s) - 1, label, base, sure) for s, label, base, sure in hits)
+    base = [(w, label) for w, label, b, _ in places if b]
     base_labels = {label for _, label in base}
-    labels = {label for _, label, _ in places}
+    labels = {label for _, label, _, _ in places}
     expression, permissive = None, None
     for end, (_, strict) in tags.iter_long(low):
         tokens = tag_tokens(low, end + 1, strict)
@@ -186,11 +189,11 @@ def scan_text(text: str | None) -> dict:
         labels |= named
     if permissive is None and labels:
         permissive = labels <= PERMISSIVE
-    score = 1.0 if expression else 0.95 if base else 0.7 if labels else 0.0
+    score = 1.0 if expression else 0.95 if any(sure for *_, sure in places) else 0.7 if labels else 0.0
     return {
         "n_words": len(found), "n_base": len(base), "first_word": base[0][0] if base else None, "last_word": base[-1][0] if base else None,
         "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels)), "score": score, "expression": expression, "permissive": permissive,
-        "phrases": [{"label": label, "first_word": w} for w, label, _ in places],
+        "phrases": [{"label": label, "first_word": w} for w, label, _, _ in places],
     }
 
 

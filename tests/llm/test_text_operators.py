@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from cartage.llm import context_tree, license_scan, media, token_counts, toxicity
+from cartage.llm import context_tree, license_scan, media, queries, token_counts, toxicity
 
 from .fixtures import documents, rows, texts, words
 
@@ -25,6 +25,25 @@ def test_license_base_places_are_the_brute_force(spark):
     assert got == want
 
 
+def test_license_base_places_are_the_contracts(spark, tmp_path):
+    """Phrases written out here, through the registered query and stored rows."""
+    want = {
+        (1, 4, 1, 0, 0, "mit", "mit", 0.95): "UNDER the\nMIT\x00License",
+        (2, 3, 0, None, None, "", "mit", 0.95): "The MIT License.",
+        (3, 5, 0, None, None, "", "mit", 0.95): "under é the MIT license",
+        (4, 4, 0, None, None, "", "mit", 0.95): "sunder the MIT license",
+        (5, 4, 0, None, None, "", "", 0.0): "under the MIT licenses",
+        (6, 20, 5, 1, 16, "apache-2,cc-by-nc,mit", "apache-2,cc-by-nc,mit", 0.95): "🙂 under the mit license, Apache-License_Version:2 CC-BY-NC cc by nc under/under the mit license",
+        (7, 4, 0, None, None, "", "", 0.0): "apache license version 2é",
+        (8, 3, 0, None, None, "", "", 0.0): "cc by\u00a0 nc",
+        (9, 0, 0, None, None, "", "", 0.0): None,
+        (None, 4, 1, 0, 0, "mit", "mit", 0.95): "under the mit license",
+    }
+    spark.createDataFrame([(k[0], t) for k, t in want.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_license_scan(spark, str(tmp_path)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    assert {tuple(r) for r in got.collect()} == set(want)
+
+
 @pytest.mark.parametrize(
     ("tokens", "ok", "names"),
     [("mit or gpl-3.0", True, ["mit", "gpl-3.0"]), ("mit and gpl-3.0", False, ["mit", "gpl-3.0"]), ("gpl-2.0 with classpath-exception-2.0 or bsd-3-clause", True, ["gpl-2.0", "bsd"]), ("( mit or gpl-3.0 ) and apache-2.0", True, ["mit", "gpl-3.0", "apache-2"]), ("gpl-3.0 or mit and gpl-2.0", False, ["gpl-3.0", "mit", "gpl-2.0"])],
