@@ -1,8 +1,10 @@
 """Work that must not grow with the square of a group: rows that any step of a plan makes, and results on many equal rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartage.operators import evidence
+from cartage.plans import knowledge, queries  # noqa: F401
 
 
 def most_rows(df):
@@ -28,3 +30,18 @@ def test_lexical_arm_meets_equal_texts_and_questions_once(spark):
     want = {(q, r.chunk_id, i + 1) for q in range(300) for i, r in enumerate(first)}
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
     assert most <= 10_000  # 300 x 3000 pairs by the common word
+
+
+def parts(spark, folder, n):
+    """``n`` parts of few texts."""
+    k = F.col("id")
+    names = F.concat(F.lit("harp "), F.element_at(F.array(*map(F.lit, ("ring", "gear", "bolt"))), (k % 3 + 1).cast("int")))
+    p = spark.range(n).select(k.alias("p_partkey"), names.alias("p_name"), F.concat(F.lit("Brand#"), (k % 2).cast("string")).alias("p_brand"), F.lit("LARGE").alias("p_type"), (k % 50 + 1).cast("int").alias("p_size"), (900 + k % 1000 / 10).alias("p_retailprice"))
+    p.write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["retrieval_evaluation"])
+def test_judging_the_lexical_arm_meets_equal_texts_once(spark, tmp_path, name):
+    rows, most = most_rows(queries.QUERIES[name](spark, parts(spark, tmp_path, 6000)))
+    assert len(rows) >= 1 and most <= 12_000  # 60 x 2 000 pairs by the rarest word
