@@ -41,7 +41,7 @@ def parts(spark, folder, n):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["retrieval_evaluation"])
+@pytest.mark.parametrize("name", ["retrieval_evaluation", "recommended_depth"])
 def test_judging_the_lexical_arm_meets_equal_texts_once(spark, tmp_path, name):
     rows, most = most_rows(queries.QUERIES[name](spark, parts(spark, tmp_path, 6000)))
     assert len(rows) >= 1 and most <= 12_000  # 60 x 2 000 pairs by the rarest word
