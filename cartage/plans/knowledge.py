@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartage.functions import passages, text
-from cartage.functions.staging import cut, shared_folder
-from cartage.operators import evidence, retrieval, vector_index
+from cartage.functions.staging import shared_folder
+from cartage.operators import evidence, retrieval
 from cartage.plans.queries import NORMAL, TOKENS, query, t
 from cartage.sources import commits
 
@@ -84,9 +84,7 @@ def questions(spark, d):
 
 def _arms(spark, d):
     c, q = chunks(spark, d), questions(spark, d)
-    own = cut(retrieval.dense_vectors(retrieval.hashed_vectors(c, "chunk_id", "text"), "chunk_id"))
-    asked = cut(retrieval.dense_vectors(retrieval.hashed_vectors(q, "query_id", "text"), "query_id"))
-    return evidence.lexical_arm(c, q), evidence.vector_arm(own, asked, index=vector_index.fit(own, "chunk_id"))
+    return evidence.lexical_arm(c, q), evidence.text_vector_arm(c, q)
 
 
 CHUNKS = f"""WITH c AS (SELECT p_partkey AS chunk_id, p_name, p_brand, p_size, p_name || ' ' || p_type || ' ' || p_brand AS body FROM part), a AS (SELECT *, {TOKENS.replace('lower(text)', 'lower(body)')} AS have, sha256('text:' || body) AS hash FROM c),

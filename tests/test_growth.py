@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartage.operators import evidence
+from cartage.operators import evidence, retrieval, vector_index
 from cartage.plans import knowledge, queries  # noqa: F401
 
 
@@ -45,3 +45,21 @@ def parts(spark, folder, n):
 def test_judging_the_lexical_arm_meets_equal_texts_once(spark, tmp_path, name):
     rows, most = most_rows(queries.QUERIES[name](spark, parts(spark, tmp_path, 6000)))
     assert len(rows) >= 1 and most <= 12_000  # 60 x 2 000 pairs by the rarest word
+
+
+def test_hybrid_search_has_one_vector_a_text(spark, tmp_path, monkeypatch):
+    seen, fit = [], vector_index.fit
+    monkeypatch.setattr(vector_index, "fit", lambda vectors, *a: seen.append(vectors.count()) or fit(vectors, *a))
+    got = queries.QUERIES["hybrid_search"](spark, parts(spark, tmp_path, 6000)).collect()
+    assert seen == [6] and {r.query_id for r in got} == set(range(0, 6000, 100))
+
+
+def test_chunks_of_one_text_are_found_as_if_each_had_a_vector(spark):
+    words = F.element_at(F.array(*map(F.lit, ("piano move", "piano fee", "move piano", "box", "fee box piano"))), (F.col("id") * 7 % 5 + 1).cast("int"))
+    chunks = spark.range(150).select(F.col("id").alias("chunk_id"), words.alias("text"))
+    asked = chunks.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "text")
+    vectors = lambda rows, key: retrieval.dense_vectors(retrieval.hashed_vectors(rows, key, "text"), key)
+    want = evidence.vector_arm(vectors(chunks, "chunk_id"), vectors(asked, "query_id"), 40).collect()
+    got = evidence.text_vector_arm(chunks, asked, 40).collect()
+    row = lambda r: (r.query_id, r.chunk_id, r.similarity, r.vector_rank)
+    assert sorted(map(row, got)) == sorted(map(row, want)) and len(got) > 500
