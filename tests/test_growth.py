@@ -1,10 +1,12 @@
 """Work that must not grow with the square of a group: rows that any step of a plan makes, and results on many equal rows."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from cartage.operators import evidence, retrieval, vector_index
-from cartage.plans import knowledge, queries  # noqa: F401
+from cartage.plans import knowledge, queries, reports  # noqa: F401
+from test_queries import plain
 
 
 def most_rows(df):
@@ -63,3 +65,26 @@ def test_chunks_of_one_text_are_found_as_if_each_had_a_vector(spark):
     got = evidence.text_vector_arm(chunks, asked, 40).collect()
     row = lambda r: (r.query_id, r.chunk_id, r.similarity, r.vector_rank)
     assert sorted(map(row, got)) == sorted(map(row, want)) and len(got) > 500
+
+
+def moves(spark, folder, n):
+    """``n`` orders of two customers, all of them queries, with days in common."""
+    k = F.col("id") * 100
+    o = spark.range(n).select(k.alias("o_orderkey"), (F.col("id") % 2 + 6).alias("o_custkey"), F.expr("TIMESTAMP_NTZ'1996-01-01' + make_dt_interval(CAST(id * 7 % 90 AS INT))").alias("o_orderdate"), F.lit("O").alias("o_orderstatus"))
+    o.write.parquet(f"{folder}/orders.parquet")
+    spark.range(10).select(F.col("id").alias("c_custkey"), F.lit(3).alias("c_nationkey")).write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["similar_moves"])
+@pytest.mark.parametrize("most", [5000, 40])
+def test_moves_of_a_tenant_are_not_paired_as_rows(spark, tmp_path, monkeypatch, name, most):
+    monkeypatch.setattr(reports, "MAX_CANDIDATES", most)
+    rows, made = most_rows(queries.QUERIES[name](spark, moves(spark, tmp_path, 600)))
+    c = duckdb.connect()
+    for t in ("orders", "customer"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = c.execute(queries.ORACLE[name].replace("<= 5000", f"<= {most}"))
+    at = [[x[0] for x in found.description].index(k) for k in sorted(rows[0].asDict())]
+    assert sorted(tuple(plain(r[k]) for k in sorted(r.asDict())) for r in rows) == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
+    assert made <= 20_000  # 240 000 pairs without the limit
