@@ -76,7 +76,7 @@ def moves(spark, folder, n):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["similar_moves"])
+@pytest.mark.parametrize("name", ["similar_moves", "move_signals"])
 @pytest.mark.parametrize("most", [5000, 40])
 def test_moves_of_a_tenant_are_not_paired_as_rows(spark, tmp_path, monkeypatch, name, most):
     monkeypatch.setattr(reports, "MAX_CANDIDATES", most)
