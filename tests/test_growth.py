@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cartage.operators import evidence, retrieval, vector_index
+from cartage.operators import evidence, retrieval, topk, vector_index
 from cartage.plans import knowledge, queries, reports  # noqa: F401
 from test_queries import plain
 
@@ -88,3 +88,16 @@ def test_moves_of_a_tenant_are_not_paired_as_rows(spark, tmp_path, monkeypatch,
     at = [[x[0] for x in found.description].index(k) for k in sorted(rows[0].asDict())]
     assert sorted(tuple(plain(r[k]) for k in sorted(r.asDict())) for r in rows) == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
     assert made <= 20_000  # 240 000 pairs without the limit
+
+
+@pytest.mark.parametrize("name", ["similar_topk"])
+def test_equal_parts_are_scored_once(spark, tmp_path, monkeypatch, name):
+    seen, top_k = [], topk.top_k
+    monkeypatch.setattr(topk, "top_k", lambda q, c, *a: seen.append((q.count(), c.count())) or top_k(q, c, *a))
+    rows = queries.QUERIES[name](spark, parts(spark, tmp_path, 12_000)).collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    found = c.execute(queries.ORACLE[name])
+    at = [[x[0] for x in found.description].index(k) for k in sorted(rows[0].asDict())]
+    assert sorted(tuple(plain(r[k]) for k in sorted(r.asDict())) for r in rows) == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
+    assert seen == [(10, 1000)]  # of 120 and 12 000
