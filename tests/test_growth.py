@@ -90,7 +90,7 @@ def test_moves_of_a_tenant_are_not_paired_as_rows(spark, tmp_path, monkeypatch,
     assert made <= 20_000  # 240 000 pairs without the limit
 
 
-@pytest.mark.parametrize("name", ["similar_topk"])
+@pytest.mark.parametrize("name", ["similar_topk", "similar_signals"])
 def test_equal_parts_are_scored_once(spark, tmp_path, monkeypatch, name):
     seen, top_k = [], topk.top_k
     monkeypatch.setattr(topk, "top_k", lambda q, c, *a: seen.append((q.count(), c.count())) or top_k(q, c, *a))
