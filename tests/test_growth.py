@@ -103,7 +103,7 @@ def test_equal_parts_are_scored_once(spark, tmp_path, monkeypatch, name):
     assert seen == [(10, 1000)]  # of 120 and 12 000
 
 
-@pytest.mark.parametrize("name", ["keyword_top"])
+@pytest.mark.parametrize("name", ["keyword_top", "keyword_search"])
 def test_equal_entries_are_read_once(spark, tmp_path, monkeypatch, name):
     seen, postings = [], retrieval._postings
     monkeypatch.setattr(retrieval, "_postings", lambda e, *a: seen.append(e.count()) or postings(e, *a))
