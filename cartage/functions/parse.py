@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,12 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 
 
 def clean(x: Column) -> Column:
-    return F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(F.coalesce(x, F.lit("")), F.lit(" \t\n\x0b\f\r")))
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is computed once however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
 
 
 def normalize_header(x: Column) -> Column:
@@ -54,31 +61,27 @@ def detect_date_order(rows: DataFrame, value: str, position: str) -> DataFrame:
 
 def parse_date(x: Column, order: str) -> Column:
     """ISO, named-month and numeric dates; two-digit years from 70 on are of the last century."""
-    c = clean(x)
     month_of = F.create_map(*[F.lit(v) for pair in MONTH_NUMBERS.items() for v in pair])
+    day, month = (0, 1) if order == "dmy" else (1, 0)
+    dated = lambda y, m, d: F.concat(y, F.lit("-"), m, F.lit("-"), F.nullif(d, F.lit("")))
+    full = lambda y: F.when(F.length(y) == 4, y).when(y < "70", F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))
+    numeric = lambda p: dated(full(p[2]), p[month], p[day])
 
-    def made(y: Column, m: Column, d: Column) -> Column:
-        year = y.try_cast("int")
-        full = F.when(F.length(y) == 4, year).when(year < 70, year + 2000).otherwise(year + 1900)
-        return F.try_to_date(F.format_string("%04d-%02d-%02d", full, m.try_cast("int"), d.try_cast("int")))
+    def read(c: Column) -> Column:
+        g = lambda i: F.regexp_extract(c, NAMED_DATE, i)
+        named = dated(g(4), F.try_element_at(month_of, g(2)).cast("string"), F.coalesce(F.nullif(g(1), F.lit("")), g(3)))
+        return F.when(c.rlike(NUMERIC_DATE), let(F.split(c, "[-/.]"), numeric)).when(c.rlike(ISO_DATE), F.translate(c, "/.", "--")).when(c.rlike(NAMED_DATE), named)
 
-    g = lambda p, i: F.regexp_extract(c, p, i)
-    day, month = (1, 2) if order == "dmy" else (2, 1)
-    named = F.try_element_at(month_of, g(NAMED_DATE, 2))
-    return (
-        F.when(c.rlike(ISO_DATE), made(g(ISO_DATE, 1), g(ISO_DATE, 2), g(ISO_DATE, 3)))
-        .when(c.rlike(NAMED_DATE) & named.isNotNull(), made(g(NAMED_DATE, 4), named, F.coalesce(F.nullif(g(NAMED_DATE, 1), F.lit("")), g(NAMED_DATE, 3))))
-        .when(c.rlike(NUMERIC_DATE), made(g(NUMERIC_DATE, 3), g(NUMERIC_DATE, month), g(NUMERIC_DATE, day)))
-    )
+    return F.try_to_date(let(clean(x), read))
 
 
-def _amount(x: Column) -> Column:
-    return F.regexp_replace(clean(x), r"[^0-9,.\-]", "")
+def amount(x: Column) -> Column:
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"[^0-9,.\-]+", "")
 
 
 def decimal_vote(x: Column) -> Column:
     """dot or comma where a number's separators decide; a lone group of three digits does not."""
-    c = _amount(x)
+    c = amount(x)
     count = lambda s: F.length(c) - F.length(F.regexp_replace(c, s, ""))
     dots, commas = count(r"\."), count(",")
     after_last = lambda s: F.length(F.substring_index(c, s, -1))
@@ -93,7 +96,7 @@ def decimal_vote(x: Column) -> Column:
 
 def decimal_style(value: str, position: str) -> Column:
     """An aggregate: the style that the first deciding amount gives; dot if none has a separator, else ambiguous."""
-    any_separator = F.bool_or(_amount(F.col(value)).rlike("[.,]"))
+    any_separator = F.bool_or(amount(F.col(value)).rlike("[.,]"))
     return F.coalesce(_first_vote(decimal_vote(F.col(value)), position), F.when(any_separator, "ambiguous").otherwise("dot"))
 
 
@@ -104,27 +107,28 @@ def detect_decimal_style(rows: DataFrame, value: str, position: str) -> DataFram
 
 def parse_money_cents(x: Column, style: str) -> Column:
     """Cents, half to even; null for blank, unreadable or negative amounts."""
-    c = _amount(x)
-    c = F.regexp_replace(c, ",", "") if style == "dot" else F.regexp_replace(F.regexp_replace(c, r"\.", ""), ",", ".")
-    v = F.when(c.rlike(NUMBER), c.try_cast("double"))
-    return F.when(v >= 0, F.bround(v * 100).cast("long"))
+    c = F.translate(amount(x), ",", "") if style == "dot" else F.translate(amount(x), ",.", ".")
+    return let(_number(c), lambda v: F.when(v >= 0, F.bround(v * 100).cast("long")))
 
 
 def _number(c: Column) -> Column:
-    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    return let(c, lambda n: F.when(n.rlike(NUMBER), n.try_cast("double")))
 
 
 def parse_int(x: Column) -> Column:
     """A whole number, cut toward zero; thousands may be grouped by commas."""
-    return _number(F.regexp_replace(clean(x), ",", "")).try_cast("long")
+    return _number(F.translate(clean(x), ",", "")).try_cast("long")
 
 
 def parse_hours(x: Column) -> Column:
     """``h:mm`` or a number with an optional unit, to four places."""
-    c = F.regexp_replace(clean(x), ",", "")
     clock = r"^(\d+):(\d{1,2})$"
-    hm = F.regexp_extract(c, clock, 1).try_cast("double") + F.regexp_extract(c, clock, 2).try_cast("double") / 60
-    return F.bround(F.when(c.rlike(clock), hm).otherwise(_number(F.trim(F.regexp_replace(c, r"(hrs?|hours?|h)$", "")))), 4)
+
+    def read(c: Column) -> Column:
+        hm = F.regexp_extract(c, clock, 1).try_cast("double") + F.regexp_extract(c, clock, 2).try_cast("double") / 60
+        return F.when(c.rlike(clock), hm).otherwise(_number(F.trim(F.regexp_replace(c, r"(hrs?|hours?|h)$", ""))))
+
+    return F.bround(let(F.translate(clean(x), ",", ""), read), 4)
 
 
 def parse_list(x: Column) -> Column:
@@ -138,7 +142,7 @@ def normalize_zip(x: Column) -> Column:
 
 def parse_text(x: Column, limit: int = 2000) -> Column:
     """Single blanks, trimmed, at most ``limit`` characters; null if nothing is left."""
-    return F.nullif(F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, limit), F.lit(""))
+    return let(F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, limit), lambda v: F.nullif(v, F.lit("")))
 
 
 def parse_enum(x: Column, values: dict[str, str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartage.functions import fields, parse
 from cartage.functions.fields import BY_NAME, IDENTIFYING, OUTCOMES, REQUIRED, Spec
-from cartage.functions.staging import staged
+from cartage.functions.staging import cut, staged
 from cartage.operators import relational
 
 ISSUES = "array<struct<field:string,message:string>>"
@@ -44,11 +44,11 @@ def typed(spec: Spec, x: Column, date_order: str, decimal_style: str) -> tuple[C
         case "date":
             value = parse.parse_date(x, date_order)
         case "money":
-            value, blank = parse.parse_money_cents(x, decimal_style), F.regexp_replace(parse.clean(x), r"[^0-9,.\-]", "").isin("", "-")
+            value, blank = parse.parse_money_cents(x, decimal_style), parse.amount(x).isin("", "-")
         case "int":
-            value, blank = parse.parse_int(x), F.regexp_replace(parse.clean(x), ",", "") == ""
+            value, blank = parse.parse_int(x), F.translate(parse.clean(x), ",", "") == ""
         case "float":
-            value, blank = parse.parse_hours(x), F.regexp_replace(parse.clean(x), ",", "") == ""
+            value, blank = parse.parse_hours(x), F.translate(parse.clean(x), ",", "") == ""
         case "bool":
             value = parse.parse_bool(x)
         case "enum":
@@ -62,7 +62,7 @@ def typed(spec: Spec, x: Column, date_order: str, decimal_style: str) -> tuple[C
         case _:
             return parse.parse_text(x), F.lit(True)
     if spec.low is not None:
-        value = F.when(value.between(spec.low, spec.high), value)
+        value = parse.let(value, lambda v: F.when(v.between(spec.low, spec.high), v))
     return value, blank
 
 
@@ -84,8 +84,9 @@ def validate(rows: DataFrame, mapping: Mapping[str, str], today: str, date_order
     known = {f: h for f, h in mapping.items() if f in BY_NAME}
     read = {f: typed(BY_NAME[f], F.col(f"`{h}`"), date_order, decimal_style) for f, h in known.items()}
     own = {"row_number": F.col(position)} | {f"raw_{f}": F.col(f"`{h}`") for f, h in known.items()} | {f: v for f, (v, _) in read.items()}
-    step = staged(rows, own | {f"bad_{f}": ~b for f, (_, b) in read.items()}, [])  # so far: what has something to read
-    step = step.withColumns({f"bad_{f}": F.col(f"bad_{f}") & F.col(f).isNull() for f in known})
+    step = staged(rows, own, [])
+    blank = {f: typed(BY_NAME[f], F.col(f"raw_{f}"), date_order, decimal_style)[1] for f in known}
+    step = step.withColumns({f"bad_{f}": F.when(F.col(f).isNull(), ~blank[f]).otherwise(F.lit(False)) for f in known})
     for side in ("origin", "destination"):
         if f"{side}_line1" in known:
             step = step.withColumn(f"{side}_building_key", parse.building_key(F.col(f"{side}_line1"), F.col(f"{side}_zip") if f"{side}_zip" in known else F.lit(None).cast("string")))
@@ -110,15 +111,14 @@ def validate(rows: DataFrame, mapping: Mapping[str, str], today: str, date_order
 
 def judge(rows: DataFrame, mapping: Mapping[str, str], today: str, known: DataFrame | None = None, **options: str) -> DataFrame:
     """``validate`` with repeats, in the file or of ``known`` (external_ref, row_hash), as duplicates without values."""
-    judged = validate(rows, mapping, today, **options)
-    good = judged.where("status <> 'error'")
+    judged = cut(validate(rows, mapping, today, **options))  # reading a sheet costs far more than keeping it
     refs = known.where("external_ref IS NOT NULL").select("external_ref") if known is not None else None
     prints = known.where("row_hash IS NOT NULL").select(F.col("row_hash").alias("fingerprint")) if known is not None else None
-    again = relational.flag_duplicates(good, "row_number", "external_ref", "fingerprint", refs, known_prints=prints)
+    # Rows with errors have neither reference nor fingerprint, so they repeat nothing.
+    again = relational.flag_duplicates(judged, "row_number", "external_ref", "fingerprint", refs, known_prints=prints)
     values = [c for c in judged.columns if c not in ("row_number", "status", "errors", "warnings", "external_ref", "fingerprint")]
     skipped = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit("already imported, skipped").alias("message")))
-    out = again.select("row_number", F.when(F.col("duplicate"), "duplicate").otherwise(F.col("status")).alias("status"), *(F.when(~F.col("duplicate"), F.col(c)).alias(c) for c in values), "errors", F.when(F.col("duplicate"), skipped).otherwise(F.col("warnings")).alias("warnings"), "external_ref", "fingerprint")
-    return out.unionByName(judged.where("status = 'error'"))
+    return again.select("row_number", F.when(F.col("duplicate"), "duplicate").otherwise(F.col("status")).alias("status"), *(F.when(~F.col("duplicate"), F.col(c)).alias(c) for c in values), "errors", F.when(F.col("duplicate"), skipped).otherwise(F.col("warnings")).alias("warnings"), "external_ref", "fingerprint")
 
 
 def counts(judged: DataFrame) -> DataFrame:

@@ -32,27 +32,30 @@ def flag_duplicates(rows: DataFrame, order: str, ref: str, print_col: str, known
 
     A row with a reference repeats one seen before or known.  A row without one repeats the fingerprint of an earlier
     row that has no reference or was kept, or a known one.  Each question is one smallest place per key, aggregated
-    before the shuffle; rows without a key to ask for take no part.  The joins back have one row a key on one side, so Spark
-    splits a frequent key's rows at run time.
+    before the shuffle.  The joins back have one row a key on one side, so Spark splits a frequent key's rows at run time; rows
+    without a fingerprint are spread by their place.  ``rows`` is read three times, once for each kind of first place and once for the result.
     """
     scope = [tenant] if tenant else []
     first = rows.where(F.col(ref).isNotNull()).groupBy(*scope, ref).agg(F.min(order).alias("__first"))
     if known_refs is not None:
         first = _marked(first, known_refs, [*scope, ref]).select(*scope, ref, F.when(F.col("__known").isNull(), F.col("__first")).alias("__first"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*scope, ref)]
-    repeats = F.col("f.__first").isNull() | (F.col(f"r.{order}") > F.col("f.__first"))
-    named = rows.where(F.col(ref).isNotNull()).alias("r").join(first.alias("f"), same).select("r.*", repeats.alias("duplicate"))
-    unnamed = rows.where(F.col(ref).isNull())
-    stand = unnamed.select(*scope, print_col, order).unionByName(named.where("NOT duplicate").select(*scope, print_col, order))
-    earliest = stand.where(F.col(print_col).isNotNull()).groupBy(*scope, print_col).agg(F.min(order).alias("__first"))
+    # A row without a reference asks under its place, which no reference has beside the false flag.
+    has = F.col(ref).isNotNull()
+    asking = rows.withColumns({"__has": has, "__at": F.when(~has, F.xxhash64(order))})
+    same = [*(F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in scope), F.col(f"r.{ref}") == F.col(f"f.{ref}"), F.coalesce(F.col("r.__at"), F.lit(0)) == F.col("f.__at")]
+    repeats = F.col("r.__has") & (F.col("f.__first").isNull() | (F.col(f"r.{order}") > F.col("f.__first")))
+    named = asking.alias("r").join(first.withColumn("__at", F.lit(0).cast("long")).alias("f"), same, "left").select("r.*", repeats.alias("__repeats")).drop("__at")
+    spread = F.coalesce(F.when(F.col(print_col).isNotNull(), F.lit(0).cast("long")), F.xxhash64(order))
+    stand = named.where(~F.col("__repeats") & F.col(print_col).isNotNull())
+    earliest = stand.groupBy(*scope, print_col).agg(F.min(order).alias("__first"))
     if known_prints is not None:
         earliest = _marked(earliest, known_prints, [*scope, print_col]).select(*scope, print_col, F.when(F.col("__known").isNull(), F.col("__first")).alias("__first"), F.lit(True).alias("__met"))
     else:
         earliest = earliest.withColumn("__met", F.lit(True))
-    same = [*(F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in scope), F.col(f"r.{print_col}") == F.col(f"f.{print_col}")]
+    same = [*(F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in scope), F.col(f"r.{print_col}") == F.col(f"f.{print_col}"), F.col("r.__at") == F.col("f.__at")]
     again = F.col("f.__met").isNotNull() & (F.col("f.__first").isNull() | (F.col(f"r.{order}") > F.col("f.__first")))
-    by_print = unnamed.alias("r").join(earliest.alias("f"), same, "left").select("r.*", again.alias("duplicate"))
-    return named.unionByName(by_print)
+    met = named.withColumn("__at", spread).alias("r").join(earliest.withColumn("__at", F.lit(0).cast("long")).alias("f"), same, "left")
+    return met.select(*(F.col(f"r.`{c}`") for c in rows.columns), F.when(F.col("r.__has"), F.col("r.__repeats")).otherwise(again).alias("duplicate"))
 
 
 def _marked(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
